@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import extract, quality
+from millrace.llm import extract, pieces, quality, warc
+
+
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,12 +23,41 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str, model_path: str = PIECE_MODEL) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.digest(docs, pieces.load(model_path)).drop("text")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a replica in which some records are lost (key mod 211 is 3) and some have one character changed."""
+    records = warc.pack(table(spark, sf_dir, "pages"))
+    key, text = F.col("key"), F.col("record")
+    spoilt = F.when(key % 101 == 7, F.concat(F.substring(text, 1, 40), F.lit("#"), F.expr("substring(record, 42)"))).otherwise(text)
+    replica = records.where(F.coalesce(key % 211 != 3, F.lit(True))).select("key", spoilt.alias("record"))
+    return warc.audit(records, replica).withColumnRenamed("key", "page_id")
+
+
+OP7_SQL = """
+WITH r AS (
+  SELECT page_id, page_id // 1000 AS file,
+    'WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:' || regexp_replace(md5(page_id::varchar), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5')
+    || '>\r\nWARC-Target-URI: ' || coalesce(url, '') || '\r\nContent-Type: text/html\r\nContent-Length: ' || octet_length(encode(coalesce(html, ''))) || '\r\n\r\n' || coalesce(html, '') || '\r\n\r\n' AS record
+  FROM pages
+), l AS (
+  SELECT *, row_number() OVER w - 1 AS pos, sum(octet_length(encode(record))) OVER w AS hi FROM r WINDOW w AS (PARTITION BY file ORDER BY page_id)
+)
+SELECT file, pos, page_id, (hi - octet_length(encode(record)))::bigint AS lo, hi::bigint AS hi, sha256(record) AS expected,
+  CASE WHEN page_id % 211 <> 3 THEN sha256(substr(record, 1, 40) || '#' || substr(record, 42)) END AS found
+FROM l WHERE page_id % 211 = 3 OR page_id % 101 = 7
+""".replace("\\r\\n", "' || chr(13) || chr(10) || '")
+
+
 def op9_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     out = extract.extract(pages, extract.learn(pages))
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op9_extract": op9_extract}
+QUERIES = {"op1_quality": op1_quality, "op6_pieces": op6_pieces, "op7_warc": op7_warc, "op9_extract": op9_extract}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_warc": OP7_SQL}
