@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import extract, pieces, quality, warc
+from millrace.llm import extract, mixing, pieces, quality, warc
 
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -23,6 +23,58 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+MIX = {"budget": 0.8, "weights": {"domain": {"group0": 4, "group1": 3}, "lang": {"en": 5, "de": 3, "fr": 2}}, "max_epochs": 3, "seed": 17}
+
+
+def tree_levels() -> dict:
+    """Documents name no domain: sources are grouped by number into four."""
+    number = F.expr("coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) as bigint), 0)")
+    return {"domain": F.concat(F.lit("group"), F.pmod(number, F.lit(4)).cast("string")), "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.mix(docs, tree_levels(), **MIX).select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
+
+
+def _share_sql(name: str, path: list[str], weight: str, budget: str) -> str:
+    """The budgets of one level in SQL."""
+    parents, keys = ", ".join(path[:-1]), ", ".join(path)
+    by = f"PARTITION BY {parents}" if parents else ""
+    source = f"SELECT {keys}, sum(cap) AS cap FROM leaf GROUP BY {keys}"
+    budget_of = f"SELECT a.*, {budget} AS budget FROM ({source}) a" if not parents else f"SELECT a.*, b.budget FROM ({source}) a JOIN {budget} b USING ({parents})"
+    return f"""{name}_a AS (SELECT *, {weight} AS weight FROM ({budget_of})),
+{name}_b AS (
+  SELECT *, CASE WHEN sum(weight) OVER g - coalesce(sum(weight) OVER b, 0) > 0 THEN (budget - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER g - coalesce(sum(weight) OVER b, 0)) ELSE 0.0 END AS rate
+  FROM {name}_a WINDOW g AS ({by}), b AS ({by} ORDER BY cap / weight, {path[-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+{name} AS (
+  SELECT {keys}, CASE WHEN cap <= weight * rate THEN cap::double ELSE weight * max(CASE WHEN cap > weight * rate THEN rate END) OVER ({by}) END AS budget FROM {name}_b
+)"""
+
+
+OP4_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, 'group' || (coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS bigint), 0) % 4) AS domain,
+    len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+'))::bigint AS tokens FROM documents
+),
+leaf AS (SELECT domain, lang, source, sum(tokens)::bigint AS tokens, 3 * sum(tokens)::bigint AS cap FROM d GROUP BY ALL),
+total AS (SELECT least(floor(sum(tokens) * 0.8::double), 3.0::double * sum(tokens)) AS budget FROM leaf),
+{_share_sql("l1", ["domain"], "CASE domain WHEN 'group0' THEN 4 WHEN 'group1' THEN 3 ELSE 1 END", "(SELECT budget FROM total)")},
+{_share_sql("l2", ["domain", "lang"], "CASE lang WHEN 'en' THEN 5 WHEN 'de' THEN 3 WHEN 'fr' THEN 2 ELSE 1 END", "l1")},
+{_share_sql("l3", ["domain", "lang", "source"], "1", "l2")},
+p AS (
+  SELECT leaf.*, CASE WHEN tokens > 0 THEN floor(floor(budget)::bigint / tokens)::bigint ELSE 0 END AS epochs, floor(budget)::bigint AS budget FROM leaf JOIN l3 USING (domain, lang, source)
+),
+r AS (
+  SELECT d.*, p.epochs, p.budget - p.epochs * p.tokens AS rest, md5('17:' || p.epochs || ':' || d.doc_id) AS h FROM d JOIN p USING (domain, lang, source)
+)
+SELECT doc_id, domain, lang, source, tokens AS n_tokens, copies FROM (
+  SELECT *, (epochs + (sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY h) <= rest)::int)::bigint AS copies FROM r
+) WHERE copies > 0
+"""
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str, model_path: str = PIECE_MODEL) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.digest(docs, pieces.load(model_path)).drop("text")
@@ -49,7 +101,7 @@ WITH r AS (
 SELECT file, pos, page_id, (hi - octet_length(encode(record)))::bigint AS lo, hi::bigint AS hi, sha256(record) AS expected,
   CASE WHEN page_id % 211 <> 3 THEN sha256(substr(record, 1, 40) || '#' || substr(record, 42)) END AS found
 FROM l WHERE page_id % 211 = 3 OR page_id % 101 = 7
-""".replace("\\r\\n", "' || chr(13) || chr(10) || '")
+"""
 
 
 def op9_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +110,6 @@ def op9_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op6_pieces": op6_pieces, "op7_warc": op7_warc, "op9_extract": op9_extract}
+QUERIES = {"op1_quality": op1_quality, "op4_mixing": op4_mixing, "op6_pieces": op6_pieces, "op7_warc": op7_warc, "op9_extract": op9_extract}
 
-ORACLES: dict[str, str] = {"op7_warc": OP7_SQL}
+ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op7_warc": OP7_SQL}
