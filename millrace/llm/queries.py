@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import extract, mixing, pieces, privacy, quality, warc
+from millrace.llm import extract, mixing, neardup, pieces, privacy, quality, warc
 
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -79,6 +79,12 @@ SELECT doc_id, domain, lang, source, tokens AS n_tokens, copies FROM (
 """
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = neardup.classes(docs, width=4, percent=80)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str, model_path: str = PIECE_MODEL) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.digest(docs, pieces.load(model_path)).drop("text")
@@ -114,6 +120,6 @@ def op9_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_privacy": op3_privacy, "op4_mixing": op4_mixing, "op6_pieces": op6_pieces, "op7_warc": op7_warc, "op9_extract": op9_extract}
+QUERIES = {"op1_quality": op1_quality, "op3_privacy": op3_privacy, "op4_mixing": op4_mixing, "op5_neardup": op5_neardup, "op6_pieces": op6_pieces, "op7_warc": op7_warc, "op9_extract": op9_extract}
 
 ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op7_warc": OP7_SQL}
