@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import extract, mixing, neardup, pieces, privacy, quality, warc
+from millrace.llm import extract, mixing, neardup, pieces, privacy, quality, vectors, warc
 
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -114,12 +114,17 @@ FROM l WHERE page_id % 211 = 3 OR page_id % 101 = 7
 """
 
 
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.links(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op9_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     out = extract.extract(pages, extract.learn(pages))
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_privacy": op3_privacy, "op4_mixing": op4_mixing, "op5_neardup": op5_neardup, "op6_pieces": op6_pieces, "op7_warc": op7_warc, "op9_extract": op9_extract}
+QUERIES = {"op1_quality": op1_quality, "op3_privacy": op3_privacy, "op4_mixing": op4_mixing, "op5_neardup": op5_neardup, "op6_pieces": op6_pieces, "op7_warc": op7_warc, "op8_vectors": op8_vectors, "op9_extract": op9_extract}
 
 ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op7_warc": OP7_SQL}
