@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import extract, mixing, neardup, pieces, privacy, quality, vectors, warc
+from millrace.llm import extract, fingerprints, mixing, neardup, pieces, privacy, quality, vectors, warc
 
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -23,6 +23,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fingerprints.compare_edited(docs).withColumnRenamed("k", "doc_id")
+
+
 def op3_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -125,6 +130,6 @@ def op9_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_privacy": op3_privacy, "op4_mixing": op4_mixing, "op5_neardup": op5_neardup, "op6_pieces": op6_pieces, "op7_warc": op7_warc, "op8_vectors": op8_vectors, "op9_extract": op9_extract}
+QUERIES = {"op1_quality": op1_quality, "op2_fingerprints": op2_fingerprints, "op3_privacy": op3_privacy, "op4_mixing": op4_mixing, "op5_neardup": op5_neardup, "op6_pieces": op6_pieces, "op7_warc": op7_warc, "op8_vectors": op8_vectors, "op9_extract": op9_extract}
 
 ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op7_warc": OP7_SQL}
