@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import extract, fingerprints, mixing, neardup, pieces, privacy, quality, vectors, warc
+from millrace.llm import classlm, extract, fingerprints, mixing, neardup, pieces, privacy, quality, vectors, warc
 
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -130,6 +130,12 @@ def op9_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_fingerprints": op2_fingerprints, "op3_privacy": op3_privacy, "op4_mixing": op4_mixing, "op5_neardup": op5_neardup, "op6_pieces": op6_pieces, "op7_warc": op7_warc, "op8_vectors": op8_vectors, "op9_extract": op9_extract}
+def op10_classlm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(quality.fold("doc_id", 5) == 1, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    return classlm.scores(docs, docs.where(~F.col("held_out")))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_fingerprints": op2_fingerprints, "op3_privacy": op3_privacy, "op4_mixing": op4_mixing, "op5_neardup": op5_neardup, "op6_pieces": op6_pieces, "op7_warc": op7_warc, "op8_vectors": op8_vectors, "op9_extract": op9_extract, "op10_classlm": op10_classlm}
 
 ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op7_warc": OP7_SQL}
