@@ -1,6 +1,465 @@
-"""Registered queries over the star-schema tables, with their SQL."""
+"""Registered queries over the star-schema tables, each with SQL for the same rows where SQL can say it."""
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from millrace import rowfn, sinks
+from millrace.functions import scalar
+from millrace.model import KEY
+from millrace.operators import catalog, lineage, media, telemetry
+from millrace.pipeline import Pipeline
+from millrace.sources.files import files, plan_splits
+from millrace.sources.frames import dataframe
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _source(sf_dir: str, name: str):
+    return files(f"{sf_dir}/{name}.parquet", "parquet")
+
+
+# Transforms
+
+
+@query("""
+SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, sum(l_quantity) AS quantity
+FROM lineitem WHERE l_quantity > 10 GROUP BY ALL""")
+def etl_map_filter_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = Pipeline("etl").source("items", _source(sf_dir, "lineitem"))
+    p.map("priced", {"revenue": "l_extendedprice * (1 - l_discount)", "processed": "true"}).filter("large", "l_quantity > 10")
+    p.aggregate("sums", ["l_returnflag", "l_linestatus"], n="count(*)", revenue="round(sum(revenue), 2)", quantity="sum(l_quantity)")
+    return p.result(spark)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity AS value, true AS processed, l_quantity * 2 AS value_doubled FROM lineitem WHERE coalesce(l_quantity, 0) > 10")
+def etl_map_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = Pipeline("simple").source("items", _source(sf_dir, "lineitem")).select("cut", "l_orderkey", "l_linenumber", "l_quantity AS value")
+    return p.map("done", {"processed": "true", "value_doubled": "value * 2"}).filter("over", "coalesce(value, 0) > 10").result(spark)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity AS value, true AS processed, l_quantity * 2 AS value_doubled FROM lineitem WHERE coalesce(l_quantity, 0) > 10")
+def etl_map_filter_py(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = Pipeline("simple").source("items", _source(sf_dir, "lineitem")).select("cut", "l_orderkey", "l_linenumber", "l_quantity AS value")
+    p.map("done", fn=lambda r: r | {"processed": True, "value_doubled": r["value"] * 2}, schema="l_orderkey long, l_linenumber int, value double, processed boolean, value_doubled double")
+    return p.filter("over", fn=lambda r: (r["value"] or 0) > 10).result(spark)
+
+
+@query("SELECT * FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'O'")
+def filter_py_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = Pipeline("filter").source("orders", _source(sf_dir, "orders"))
+    return p.filter("big", fn=lambda r: r["o_totalprice"] > 100000 and r["o_orderstatus"] == "O").result(spark)
+
+
+@query("SELECT p_partkey, p_size * 2 AS double_size, upper(p_brand) AS brand FROM part")
+def map_batches_len(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def fn(t: pa.Table) -> pa.Table:
+        return pa.table({"p_partkey": t["p_partkey"], "double_size": pc.multiply(t["p_size"], pa.scalar(2, pa.int32())), "brand": pc.utf8_upper(t["p_brand"])})
+
+    return Pipeline("batches").source("part", _source(sf_dir, "part")).map_batches("twice", fn, "p_partkey long, double_size int, brand string").result(spark)
+
+
+@query("SELECT o_orderkey, unnest(range(o_orderkey % 3)) AS copy FROM orders")
+def flat_map_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = Pipeline("copies").source("orders", _source(sf_dir, "orders")).select("keys", "o_orderkey")
+    return p.flat_map("each", explode={"copy": "sequence(0L, o_orderkey % 3 - 1)"}).filter("some", "o_orderkey % 3 > 0").result(spark)
+
+
+@query("SELECT o_orderkey, unnest(range(o_orderkey % 3)) AS copy FROM orders")
+def flat_map_py(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def fn(t: pa.Table) -> pa.Table:
+        keys = [k for k in t["o_orderkey"].to_pylist() for _ in range(k % 3)]
+        return pa.table({"o_orderkey": pa.array(keys, pa.int64()), "copy": pa.array([i for k in t["o_orderkey"].to_pylist() for i in range(k % 3)], pa.int64())})
+
+    return Pipeline("copies").source("orders", _source(sf_dir, "orders")).flat_map("each", fn, "o_orderkey long, copy long").result(spark)
+
+
+@query("SELECT c_custkey, c_mktsegment AS key FROM customer")
+def key_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Pipeline("keys").source("c", _source(sf_dir, "customer")).key_by("k", "c_mktsegment").select("out", "c_custkey", f"{KEY} AS key").result(spark)
+
+
+@query("SELECT o_orderkey, 'big' AS branch FROM orders WHERE o_totalprice > 200000 UNION ALL SELECT o_orderkey, 'open' FROM orders WHERE o_orderstatus = 'O'")
+def fanout_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = Pipeline("fan").source("orders", _source(sf_dir, "orders"))
+    p.filter("big", "o_totalprice > 200000", upstream="orders").select("a", "o_orderkey", "'big' AS branch")
+    p.filter("open", "o_orderstatus = 'O'", upstream="orders").select("b", "o_orderkey", "'open' AS branch")
+    return p.union("both", "a", "b").result(spark)
+
+
+@query("SELECT i.generate_series AS split, least(1024, n - i.generate_series * 1024) AS n_rows FROM (SELECT count(*) AS n FROM lineitem), generate_series(0, (SELECT (count(*) - 1) // 1024 FROM lineitem)) i")
+def split_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = plan_splits(table(spark, sf_dir, "lineitem"), "items", 1024)
+    return plan.select(F.floor(F.col("first_row") / 1024).alias("split"), "n_rows")
+
+
+@query("SELECT l_orderkey, l_shipdate FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-01-01' OR l_quantity > 45")
+def scan_filter_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").where("l_shipdate < timestamp '1995-01-01' OR l_quantity > 45").select("l_orderkey", "l_shipdate")
+
+
+# The relational surface
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 5000 AND c_mktsegment = 'BUILDING'")
+def df_fn_sql_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def fn(s: SparkSession) -> DataFrame:
+        return s.sql("SELECT c_custkey, c_name, c_acctbal FROM {c} WHERE c_acctbal > 5000 AND c_mktsegment = 'BUILDING'", c=table(s, sf_dir, "customer"))
+
+    return Pipeline("sql").source("rich", dataframe(fn)).result(spark)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
+def df_fn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = Pipeline("top").source("orders", _source(sf_dir, "orders")).select("cut", "o_orderkey", "o_totalprice")
+    return p.sort("sorted", F.desc("o_totalprice"), "o_orderkey").limit("top", 50).result(spark)
+
+
+@query("SELECT c_mktsegment, count(*) AS n_orders, count(DISTINCT c_custkey) AS n_customers FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY ALL")
+def df_fn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = Pipeline("join").source("c", _source(sf_dir, "customer")).source("o", _source(sf_dir, "orders"))
+    p.join("both", "c", "o", F.expr("c_custkey = o_custkey"))
+    return p.aggregate("n", ["c_mktsegment"], n_orders="count(*)", n_customers="count(DISTINCT c_custkey)").result(spark)
+
+
+@query("SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS has_orders FROM customer")
+def semi_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = Pipeline("semi").source("c", _source(sf_dir, "customer")).source("o", _source(sf_dir, "orders"))
+    p.join("with", "c", "o", F.expr("c_custkey = o_custkey"), "left_semi").select("w", "c_custkey", "true AS has_orders")
+    p.join("without", "c", "o", F.expr("c_custkey = o_custkey"), "left_anti").select("n", "c_custkey", "false AS has_orders")
+    return p.union("all", "w", "n").result(spark)
+
+
+@query("SELECT o_orderkey, c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey")
+def left_outer_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = Pipeline("history").source("o", _source(sf_dir, "orders")).source("c", _source(sf_dir, "customer")).filter("positive", "c_acctbal > 0")
+    return p.join("joined", "o", "positive", F.expr("o_custkey = c_custkey"), "left").select("out", "o_orderkey", "c_name").result(spark)
+
+
+@query("""
+SELECT coalesce(a.c_custkey, b.o_custkey) AS custkey, CASE WHEN b.o_custkey IS NULL THEN 'DELETED' WHEN a.c_custkey IS NULL THEN 'NEW' ELSE 'UPDATED' END AS status
+FROM (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0) a FULL JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 5 <> 0) b ON a.c_custkey = b.o_custkey""")
+def reconcile_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("custkey"))
+    seen = table(spark, sf_dir, "orders").where("o_custkey % 5 <> 0").select(F.col("o_custkey").alias("custkey")).distinct()
+    return lineage.reconcile(known, seen, "custkey")
+
+
+@query("SELECT c_mktsegment, c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS balance, grouping(c_nationkey) AS is_total FROM customer GROUP BY ROLLUP (c_mktsegment, c_nationkey)")
+def rollup_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = Pipeline("rollup").source("c", _source(sf_dir, "customer"))
+    return p.aggregate("sums", ["c_mktsegment", "c_nationkey"], "rollup", n="count(*)", balance="round(sum(c_acctbal), 2)", is_total="cast(grouping(c_nationkey) as bigint)").result(spark)
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+def cube_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Pipeline("cube").source("o", _source(sf_dir, "orders")).aggregate("n", ["o_orderstatus", "o_orderpriority"], "cube", n="count(*)").result(spark)
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+def grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = Pipeline("sets").source("l", _source(sf_dir, "lineitem"))
+    return p.sql("q", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM {l} GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())", l="l").result(spark)
+
+
+@query("""
+SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS rk, round(sum(o_totalprice) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS running
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
+def window_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    p = Pipeline("rank").source("o", _source(sf_dir, "orders"))
+    p.window("rn", w, rn="row_number()").window("rk", Window.partitionBy("o_custkey").orderBy("o_orderpriority"), rk="rank()")
+    p.window("sum", w.rowsBetween(-2, 0), running="sum(o_totalprice)")
+    return p.select("out", "o_orderkey", "rn", "rk", "round(running, 2) AS running").result(spark)
+
+
+@query("""
+(SELECT c_nationkey AS k, 'both' AS side FROM customer INTERSECT SELECT s_nationkey, 'both' FROM supplier)
+UNION ALL (SELECT c_nationkey, 'customers' FROM customer EXCEPT SELECT s_nationkey, 'customers' FROM supplier)""")
+def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, s = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"))
+    return c.intersect(s).withColumn("side", F.lit("both")).unionByName(c.subtract(s).withColumn("side", F.lit("customers")))
+
+
+@query("SELECT o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 2 = 0 EXCEPT ALL SELECT o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 3 = 0")
+def except_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.where("o_orderkey % 2 = 0").select("o_orderstatus", "o_orderpriority").exceptAll(o.where("o_orderkey % 3 = 0").select("o_orderstatus", "o_orderpriority"))
+
+
+@query("SELECT r_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
+def star_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: table(spark, sf_dir, n)
+    joined = t("lineitem").join(t("orders"), F.expr("l_orderkey = o_orderkey")).join(t("customer"), F.expr("o_custkey = c_custkey"))
+    joined = joined.join(t("nation"), F.expr("c_nationkey = n_nationkey")).join(t("region"), F.expr("n_regionkey = r_regionkey"))
+    return joined.groupBy("r_name", "n_name").agg(F.round(F.sum(F.expr("l_extendedprice * (1 - l_discount)")), 2).alias("revenue"))
+
+
+# Telemetry
+
+
+@query("""
+SELECT window_start, event_type, count(*) AS n_sources, round(sum(value), 2) AS value FROM (
+  SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, user_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL
+) GROUP BY window_start, event_type""")
+def telemetry_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = telemetry.tumbling_latest(table(spark, sf_dir, "events"), "ts", "user_id", "event_type", 3600, "event_id", value="value")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n_sources", F.round("value", 2).alias("value"))
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
+    return telemetry.latest_per_key(e, ["user_id"], [F.desc("ts"), F.desc("event_id")]).drop("ts")
+
+
+@query("""
+SELECT event_id, round(CASE WHEN s - lag(s) OVER w > 0 THEN (value - lag(value) OVER w) / (s - lag(s) OVER w) END, 6) AS rate
+FROM (SELECT *, epoch_us(ts) / 1000000.0::double AS s FROM events) WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""")
+def rate_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    out = telemetry.rate(e, "event_type", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, "value", ["ts", "event_id"])
+    return out.select("event_id", F.round("rate", 6).alias("rate"))
+
+
+@query("""
+WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) / 1000000.0::double AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+f AS (
+  SELECT user_id, rn, event_id, t AS last, true AS kept FROM o WHERE rn = 1
+  UNION ALL
+  SELECT o.user_id, o.rn, o.event_id, CASE WHEN o.t - f.last >= 21600 THEN o.t ELSE f.last END, o.t - f.last >= 21600 FROM f JOIN o ON o.user_id = f.user_id AND o.rn = f.rn + 1
+)
+SELECT user_id, event_id FROM f WHERE kept""")
+def rate_limit_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry.rate_limited(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "user_id", "ts", 21600.0, "event_id").drop("ts")
+
+
+_OFFSETS = """
+SELECT event_type AS topic, user_id % 8 AS part, max(event_id) AS latest, max(event_id) FILTER (WHERE value > 20) - (CASE WHEN user_id % 8 = 3 THEN 0 ELSE 5 END) AS committed FROM events GROUP BY event_type, user_id % 8"""
+
+
+def _offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.col("user_id") % 8
+    committed = F.max(F.when(F.col("value") > 20, F.col("event_id"))) - F.when(F.col("part") == 3, 0).otherwise(5)
+    return table(spark, sf_dir, "events").withColumn("part", part).groupBy(F.col("event_type").alias("topic"), "part").agg(F.max("event_id").alias("latest_offset"), committed.alias("committed_offset"))
+
+
+@query(f"""
+SELECT topic, sum(lag)::bigint AS total_lag, max(lag) AS max_lag, round(CASE WHEN avg(lag) > 0 THEN max(lag) / avg(lag) ELSE 0 END, 6) AS skew, CASE WHEN avg(lag) > 0 THEN max(lag) / avg(lag) ELSE 0 END > 2.0 AS is_skewed
+FROM (SELECT topic, greatest(0, latest - coalesce(committed, 0)) AS lag FROM ({_OFFSETS})) GROUP BY topic""")
+def lag_and_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry.lag_by(_offsets(spark, sf_dir), ["topic"]).withColumn("skew", F.round("skew", 6))
+
+
+@query(f"SELECT topic, min(committed) AS min_committed FROM ({_OFFSETS}) GROUP BY topic")
+def least_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry.least_committed(_offsets(spark, sf_dir), ["topic"])
+
+
+@query("SELECT event_id AS \"offset\", event_type FROM events WHERE event_id >= (SELECT max(event_id) // 2 FROM events) ORDER BY 1 LIMIT 100")
+def queue_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("offset"), "event_type")
+    middle = (log.agg(F.max("offset")).first()[0] or 0) // 2
+    return telemetry.fetch(telemetry.truncate_before(log, F.lit(middle)), middle, 100)
+
+
+@query("SELECT user_id % 4 AS worker, count(*) AS n FROM events GROUP BY 1")
+def partition_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy(telemetry.assigned_worker(F.col("user_id"), 4).alias("worker")).agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT substr(md5(kind || ':' || substr(message, 1, 100)), 1, 16) AS group_id, kind, count(*) AS n, min(ts) AS first_seen, max(ts) AS last_seen, arg_min(message, (ts, message)) AS message
+FROM (SELECT 'E' || (user_id % 5) AS kind, 'failed with ' || props AS message, ts FROM events WHERE event_type = 'error') GROUP BY 1, 2""")
+def exception_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").where("event_type = 'error'")
+    e = e.select(F.concat(F.lit("E"), (F.col("user_id") % 5).cast("string")).alias("kind"), F.concat(F.lit("failed with "), "props").alias("message"), "ts")
+    return telemetry.error_groups(e, "kind", "message", "ts")
+
+
+@query("SELECT event_type, list_sort(list(value))[(floor(count(*) * 0.5)::bigint + 1)] AS p50, list_sort(list(value))[(floor(count(*) * 0.99)::bigint + 1)] AS p99 FROM events GROUP BY 1")
+def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry.exact_percentiles(table(spark, sf_dir, "events"), ["event_type"], "value", {"p50": 0.5, "p99": 0.99})
+
+
+@query("SELECT event_type, b AS le, count(*) FILTER (WHERE value <= b) AS n FROM events, (SELECT unnest([0.01, 0.05, 0.1, 0.5, 1.0, 5.0, 10.0, 30.0, 60.0]::double[]) AS b) GROUP BY 1, 2")
+def histogram_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry.histogram(table(spark, sf_dir, "events"), ["event_type"], "value")
+
+
+@query("""
+SELECT event_id, coalesce(last_value(CASE WHEN value > 100 THEN true WHEN value < 70 THEN false END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS is_paused FROM events""")
+def hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return telemetry.pressure(e, "user_id", ["ts", "event_id"], "value", high=100).select("event_id", "is_paused")
+
+
+@query("""
+SELECT user_id, CASE WHEN user_id % 11 = 0 THEN workers ELSE coalesce(least(greatest(CASE WHEN user_id % 7 = 0 THEN 9 END, 1), 8), CASE WHEN lag > 1500 THEN least(workers + 2, 8) WHEN lag < 500 THEN greatest(workers - 1, 1) ELSE workers END) END AS wanted
+FROM (SELECT user_id, 1 + user_id % 6 AS workers, floor(sum(value))::bigint AS lag FROM events GROUP BY user_id)""")
+def autoscale_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "events").groupBy("user_id").agg(F.floor(F.sum("value")).alias("lag")).withColumn("workers", 1 + F.col("user_id") % 6)
+    u = F.col("user_id")
+    wanted = telemetry.wanted_workers(F.col("workers"), F.col("lag"), F.lit(1), F.lit(8), F.when(u % 7 == 0, F.lit(9)), u % 11 == 0, 1500, 500)
+    return s.select("user_id", wanted.cast("long").alias("wanted"))
+
+
+@query("""
+SELECT user_id, arg_max(s, (ts, event_id)) AS status, count(*) AS n_changes FROM (
+  SELECT *, CASE event_type WHEN 'signup' THEN 'PENDING' WHEN 'click' THEN 'RUNNING' WHEN 'purchase' THEN 'COMPLETED' WHEN 'error' THEN 'FAILED' END AS s FROM events) WHERE s IS NOT NULL GROUP BY 1""")
+def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = {"signup": "PENDING", "click": "RUNNING", "purchase": "COMPLETED", "error": "FAILED"}
+    return telemetry.latest_state(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], states, "event_type")
+
+
+@query("""
+SELECT user_id, CASE WHEN bool_or(event_type = 'error' AND value > 100) THEN 'FAILED' WHEN bool_or(event_type = 'signup' AND value > 150) THEN 'CANCELLED' ELSE 'COMPLETED' END AS status FROM events GROUP BY 1""")
+def archive_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").groupBy("user_id")
+    return e.agg(lineage.archived_status(F.bool_or(F.expr("event_type = 'error' AND value > 100")), F.bool_or(F.expr("event_type = 'signup' AND value > 150"))).alias("status"))
+
+
+# Media
+
+
+@query("""
+WITH RECURSIVE b AS (
+  SELECT user_id, least(greatest(value, 0), 100)::double AS t, row_number() OVER (PARTITION BY user_id ORDER BY value) AS rn FROM events WHERE value < 120
+), f AS (
+  SELECT user_id, 0::bigint AS rn, 0.0::double AS "at", NULL::double AS lo, NULL::double AS hi FROM (SELECT DISTINCT user_id FROM b)
+  UNION ALL
+  SELECT b.user_id, b.rn, CASE WHEN b.t - f."at" >= 0.5 THEN b.t ELSE f."at" END, CASE WHEN b.t - f."at" >= 0.5 THEN f."at" END, CASE WHEN b.t - f."at" >= 0.5 THEN b.t END
+  FROM f JOIN b ON b.user_id = f.user_id AND b.rn = f.rn + 1
+), s AS (
+  SELECT user_id, lo, hi FROM f WHERE lo IS NOT NULL
+  UNION ALL SELECT user_id, max(f."at"), 100.0 FROM f GROUP BY user_id HAVING 100 - max(f."at") >= 0.5
+)
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY lo) - 1 AS scene_index, round(lo, 3) AS scene_start, round(hi, 3) AS scene_end FROM s""")
+def scene_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").where("value < 120").groupBy("user_id").agg(F.collect_list("value").alias("boundaries")).withColumn("duration_sec", F.lit(100.0))
+    return media.scene_rows(e).select("user_id", F.col("scene_index").cast("long").alias("scene_index"), "scene_start", "scene_end")
+
+
+@query("SELECT page_id, sha256(html) AS slice_sha256, octet_length(encode(html))::integer AS slice_size, printf('%s_scene_%04d.mp4', url, page_id) AS name FROM pages WHERE page_id % 4 = 0")
+def slice_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").where(media.every_nth(F.col("page_id"), 4)).withColumn("slice_binary", F.col("html").cast("binary"))
+    return media.with_hash(p).select("page_id", "slice_sha256", "slice_size", media.slice_name(F.col("url"), F.col("page_id")).alias("name"))
+
+
+# Functions, sinks, lineage, catalogue
+
+
+@query("SELECT page_id::varchar AS key, base64(encode(html)) AS html, url FROM pages")
+def json_envelope_b64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = rowfn.keyed(table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").cast("binary").alias("html")), F.col("page_id"))
+    return sinks.envelope(p).select("key", "value.html", "value.url")
+
+
+@query("SELECT l_orderkey, l_linenumber, 'items:' || substr(sha256(CASE WHEN l_partkey::varchar < l_suppkey::varchar THEN l_partkey || ',' || l_suppkey ELSE l_suppkey || ',' || l_partkey END || '|' || l_linenumber), 1, 12) AS split_id FROM lineitem")
+def split_id_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parents = F.array(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scalar.split_id("items", parents, F.col("l_linenumber")).alias("split_id"))
+
+
+@query("SELECT DISTINCT 'p' || l_partkey AS parent, 'o' || l_orderkey AS child FROM lineitem UNION SELECT 's' || l_suppkey, 'o' || l_orderkey FROM lineitem")
+def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    return lineage.edges(table(spark, sf_dir, "lineitem").select(at("o", "l_orderkey").alias("split_id"), F.array(at("p", "l_partkey"), at("s", "l_suppkey")).alias("parent_ids")))
+
+
+@query("SELECT r_regionkey, r_name, count(n_nationkey) AS n_tables FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_name > 'J' GROUP BY ALL")
+def tables_per_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.tables_per_namespace(table(spark, sf_dir, "region"), table(spark, sf_dir, "nation").where("n_name > 'J'"), "r_regionkey", "n_regionkey")
+
+
+@query("SELECT n_name FROM nation ORDER BY n_name LIMIT 7 OFFSET 5")
+def namespace_paging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.page(table(spark, sf_dir, "nation").select("n_name"), [F.col("n_name")], 7, 5)
+
+
+@query("SELECT count(*) AS n_rows, 1::bigint AS n_files FROM orders WHERE o_totalprice > 1000")
+def table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.table_stats(table(spark, sf_dir, "orders"), "o_totalprice > 1000")
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_name ILIKE '%00000001%' AND c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'FURNITURE')")
+def job_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("c_mktsegment") == "BUILDING", "SUCCEEDED").when(F.col("c_mktsegment") == "MACHINERY", "FAILED").when(F.col("c_mktsegment") == "FURNITURE", "STOPPED").otherwise("RUNNING")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.col("c_name").alias("user"), F.lit("q").alias("queue"), status.alias("status"))
+    return lineage.jobs(c, user="00000001", queue="").select("c_custkey", "c_mktsegment")
+
+
+@query("""SELECT t AS size, (regexp_extract(trim(upper(t)), '^([0-9]+)', 1)::double * CASE WHEN t ILIKE '%k%' THEN 1024 WHEN t ILIKE '%m%' THEN 1048576 WHEN t ILIKE '%g%' THEN 1073741824 WHEN t ILIKE '%t%' THEN 1099511627776 ELSE 1 END)::bigint AS bytes
+FROM (SELECT n_nationkey || unnest(['', 'K', ' MB', 'g', ' tb']) AS t FROM nation)""")
+def memory_size_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = F.explode(F.array(*[F.lit(u) for u in ("", "K", " MB", "g", " tb")]))
+    n = table(spark, sf_dir, "nation").select("n_nationkey", units.alias("u")).select(F.concat(F.col("n_nationkey").cast("string"), "u").alias("size"))
+    return n.select("size", scalar.memory_bytes(F.col("size")).alias("bytes"))
+
+
+@query("SELECT event_id, date_trunc('second', ts) AS at FROM events")
+def iso_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return table(spark, sf_dir, "events").select("event_id", scalar.iso_time(text).cast("timestamp_ntz").alias("at"))
+
+
+@query("SELECT page_id, regexp_extract(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', ''), '([^/]*)$', 1) AS name FROM pages")
+def url_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", scalar.url_name(F.col("url")).alias("name"))
+
+
+@query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS bigint) AS k FROM events")
+def json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir, lambda e: e.select("user_id", "event_type").dropDuplicates(["user_id", "event_type"]), "append")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2")
+def stream_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.streaming.incremental import windowed
+
+    out = _streamed(spark, sf_dir, lambda e: windowed(e, "ts", 3600, "3 seconds", ["event_type"], n="count(*)", value="round(sum(value), 2)"), "complete")
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+def _streamed(spark: SparkSession, sf_dir: str, fn, mode: str) -> DataFrame:
+    """Runs a stream over all events into a fresh folder beside the session's checkpoints and reads it."""
+    import tempfile
+    import uuid
+
+    from millrace.streaming.incremental import replace_batch, run_available
+
+    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='millrace-')}/stream-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir) if _is_file(spark, f"{sf_dir}/events.parquet") else spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
+    out = fn(events)
+    each = replace_batch(f"{base}/out") if mode == "append" else lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out")
+    run_available(out, f"{base}/state", each=each, mode=mode)
+    return spark.read.parquet(f"{base}/out").select(*out.columns)
+
+
+def _is_file(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
