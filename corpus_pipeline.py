@@ -1,11 +1,65 @@
-"""A corpus pipeline: quality, near-duplicates, private data, mixing, pieces."""
+"""A corpus pipeline: documents that the quality classifier rejects go, one document of each group of near-duplicates
+stays, personal data is sanitised, sources are mixed to target weights, and texts are encoded as pieces.
+
+Each stage gets the documents that its predecessor kept. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import mixing, neardup, pieces, privacy, quality
+from millrace.llm.queries import MIX, PIECE_MODEL, tree_levels
+
+#: Documents of a lower score are rejected.
+LEAST_QUALITY = 0.5
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that score well enough; the classifier learns from the labelled ones among them."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(docs, labels)
+    return quality.score(docs, model, into="__score").where(F.col("__score") >= LEAST_QUALITY).select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group that links of similarity 0.8 join."""
+    return neardup.keep_one(docs, width=5, percent=80).select(*docs.columns)
+
+
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without personal data and disclosing terms; ``n_chars`` follows the text."""
+    clean = privacy.find(docs, sanitised="__clean")
+    text = F.when(F.col("text").isNotNull(), F.col("__clean")).alias("text")
+    n_chars = F.char_length(text).cast("long").alias("n_chars")
+    return clean.select(*[text if c == "text" else n_chars if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents by target weights, once for each epoch that takes them."""
+    mixed = mixing.mix(docs.withColumns({f"__{c}": F.col(c) for c in docs.columns}), tree_levels(), **MIX)
+    each = mixed.withColumn("__epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return each.select(*[F.col(f"__{c}").alias(c) for c in docs.columns])
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id``, the ids of the text's pieces and their number."""
+    encoded = pieces.encode(docs.select("doc_id", "text"), pieces.load(PIECE_MODEL), into="pieces")
+    return encoded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces")
+
 
-STAGES: list = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", keep_quality),
+    ("near_duplicates", keep_one_of_each),
+    ("private_data", sanitise),
+    ("mixing", mix),
+    ("pieces", encode),
+]
 
+#: Learned scores and merges are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
