@@ -15,6 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+from array import array
+from collections import defaultdict
 from pathlib import Path
 
 import numpy as np
@@ -86,8 +89,17 @@ class Transducer:
         apart = "".join(re.escape(c) for c in "\n\t\r" if c not in inner)
         # No piece spans these cuts, so the shortest paths of the parts make up that of the whole.
         self.cut = re.compile("(?s).+" if joined else f"{SIGN}*[^{SIGN}{apart}]+|{SIGN}+" + (f"|[{apart}]" if apart else ""))
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, list[int]] = {}
+        lengths = defaultdict(set)
+        for p in self.ids:
+            if len(p) > 1:
+                lengths[p[-2:]].add(len(p))
+        #: Lengths of the pieces that end in two characters, the longest first.
+        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
+        sign = SIGN.encode()
+        self.raw = [bytes([int(p[3:5], 16)]) if t == BYTE else b" \xe2\x81\x87 " if t == UNKNOWN else b"" if t == CONTROL else p.encode().replace(sign, b" ") if self.escape else p.encode() for p, t in zip(self.pieces, self.types)]
+        self.pairs: dict[str, dict[str, bool]] = defaultdict(dict)
+        self.n_pairs = 0
+        self.known: dict[str, bytes] = {}
 
     def normalise(self, text: str) -> str:
         if self.squeeze:
@@ -112,12 +124,12 @@ class Transducer:
 
     def neighbours(self, a: str, b: str) -> bool:
         """Whether the arc from ``a`` to ``b`` is finite; an empty ``a`` is the start."""
-        key = (a, b)
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            found = self.pairs[key] = self.merge(a + b) == ([a, b] if a else [b])
+        found = self.merge(a + b) == ([a, b] if a else [b])
+        self.n_pairs += 1
+        if self.n_pairs > 1_000_000:
+            self.pairs.clear()
+            self.n_pairs = 0
+        self.pairs[a][b] = found
         return found
 
     def shortest(self, text: str) -> list[str]:
@@ -125,12 +137,20 @@ class Transducer:
         n, ids, longest = len(text), self.ids, self.longest
         last = [""] * (n + 1)
         if self.bpe:
+            pairs, lengths = self.pairs, self.lengths
             for i in range(1, n + 1):
-                for j in range(max(0, i - longest), i):
-                    arc = text[j:i]
-                    if (arc in ids or j == i - 1) and self.neighbours(last[j], arc):
-                        last[i] = arc
-                        break
+                for size in lengths.get(text[i - 2 : i], ()) if i > 1 else ():
+                    if size > i:
+                        continue
+                    arc = text[i - size : i]
+                    if arc in ids:
+                        before = last[i - size]
+                        ok = pairs[before].get(arc)
+                        if ok or ok is None and self.neighbours(before, arc):
+                            last[i] = arc
+                            break
+                else:
+                    last[i] = text[i - 1]
         else:
             far = [0.0] + [float("inf")] * n
             for i in range(1, n + 1):
@@ -160,37 +180,40 @@ class Transducer:
                 out.append(self.unknown)
         return out
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a whole text; the empty text has none. Lone surrogates, which no UTF-8 text has, are refused."""
-        out: list[int] = []
-        known = self.known
+    def packed(self, text: str) -> bytes:
+        """The ids of a whole text as 32-bit integers."""
+        known, out = self.known, []
         for part in self.cut.findall(self.normalise(text)):
             ids = known.get(part)
             if ids is None:
-                ids = self.part(part)
+                ids = array("i", self.part(part)).tobytes()
                 if len(part) <= 48:
-                    if len(known) > 300_000:
+                    if len(known) > 500_000:
                         known.clear()
                     known[part] = ids
-            out += ids
-        return out
+            out.append(ids)
+        return b"".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a whole text; the empty text has none. Lone surrogates, which no UTF-8 text has, are refused."""
+        return array("i", self.packed(text)).tolist()
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids) -> str:
         """The text of ids. Control pieces are silent, broken byte runs become replacement characters."""
-        out: list[bytes] = []
-        for k in ids:
-            if self.types[k] == BYTE:
-                out.append(bytes([int(self.pieces[k][3:5], 16)]))
-            elif self.types[k] == UNKNOWN:
-                out.append(b" \xe2\x81\x87 ")
-            elif self.types[k] != CONTROL:
-                out.append(self.pieces[k].encode())
-        text = b"".join(out).decode(errors="replace")
-        if self.escape:
-            text = text.replace(SIGN, " ")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode(errors="replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+def compiled(model: bytes) -> Transducer:
+    """The transducer of a model, kept by a worker for its next tasks: what it has learned of parts and pairs is bounded."""
+    kept = sys.__dict__.setdefault("_millrace_transducer", {})
+    key = hashlib.sha256(model).hexdigest()
+    if key not in kept:
+        kept.clear()
+        kept[key] = Transducer(model)
+    return kept[key]
+
+
 def load(path: str, most_bytes: int = 64_000_000) -> bytes:
     """A model file, read by the driver: what is sent to the executors has this proven bound."""
     data = Path(path).read_bytes()
@@ -207,8 +230,8 @@ def encode(docs: DataFrame, model: bytes, *, text_col: str = "text", into: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        t = Transducer(shared.value)
-        return lambda col: [pa.array([np.array(t.encode(x), np.int32) for x in texts(col)], pa.list_(pa.int32()))]
+        t = compiled(shared.value)
+        return lambda col: [pa.array([np.frombuffer(t.packed(x), np.int32) for x in texts(col)], pa.list_(pa.int32()))]
 
     return append_columns(docs, [text_col], [T.StructField(into, T.ArrayType(T.IntegerType()))], make)
 
@@ -218,7 +241,7 @@ def decode(rows: DataFrame, model: bytes, *, ids_col: str = "pieces", into: str
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        t = Transducer(shared.value)
+        t = compiled(shared.value)
         return lambda col: [pa.array([t.decode(x or []) for x in col.to_pylist()], pa.string())]
 
     return append_columns(rows, [ids_col], [T.StructField(into, T.StringType())], make)
@@ -233,15 +256,15 @@ def digest(docs: DataFrame, model: bytes, *, text_col: str = "text") -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        t = Transducer(shared.value)
+        t = compiled(shared.value)
 
         def fn(col):
             count, ids_sha, text_sha, exact = [], [], [], []
             for x in texts(col):
-                ids = t.encode(x)
-                back = t.decode(ids)
-                count.append(len(ids))
-                ids_sha.append(hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest())
+                packed = t.packed(x)
+                back = t.decode(array("i", packed))
+                count.append(len(packed) // 4)
+                ids_sha.append(hashlib.sha256(packed).hexdigest())
                 text_sha.append(hashlib.sha256(back.encode()).hexdigest())
                 exact.append(back == x)
             return [pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(exact, pa.bool_())]
