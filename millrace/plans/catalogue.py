@@ -163,10 +163,10 @@ def reconcile_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.reconcile(known, seen, "custkey")
 
 
-@query("SELECT c_mktsegment, c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS balance, grouping(c_nationkey) AS is_total FROM customer GROUP BY ROLLUP (c_mktsegment, c_nationkey)")
+@query("SELECT c_mktsegment, nation, count(*) AS n, round(sum(c_acctbal), 2) AS balance, grouping(nation) AS is_total FROM (SELECT *, c_nationkey::varchar AS nation FROM customer) GROUP BY ROLLUP (c_mktsegment, nation)")
 def rollup_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = Pipeline("rollup").source("c", _source(sf_dir, "customer"))
-    return p.aggregate("sums", ["c_mktsegment", "c_nationkey"], "rollup", n="count(*)", balance="round(sum(c_acctbal), 2)", is_total="cast(grouping(c_nationkey) as bigint)").result(spark)
+    p = Pipeline("rollup").source("c", _source(sf_dir, "customer")).map("named", {"nation": "cast(c_nationkey AS string)"})
+    return p.aggregate("sums", ["c_mktsegment", "nation"], "rollup", n="count(*)", balance="round(sum(c_acctbal), 2)", is_total="cast(grouping(nation) as bigint)").result(spark)
 
 
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")

@@ -19,7 +19,7 @@ def stream_files(spark: SparkSession, path: str, schema: str, fmt: str = "parque
 def windowed(events: DataFrame, ts: str, seconds: int, late: str, group: list[str], **aggs: str) -> DataFrame:
     """Aggregates over tumbling windows of event time. Rows later than the watermark are dropped; the batch counterpart
     keeps them, so feed rows in about the order of time."""
-    at = F.window(F.col(ts).cast("timestamp"), f"{seconds} seconds")
+    at = F.window(F.col(ts), f"{seconds} seconds")
     rows = events.withColumn(ts, F.col(ts).cast("timestamp"))
     rows = rows.withWatermark(ts, late) if rows.isStreaming else rows
     return rows.groupBy(at.alias("w"), *group).agg(*[F.expr(v).alias(k) for k, v in aggs.items()]).select(F.col("w.start").alias("window_start"), *group, *aggs)
