@@ -74,10 +74,12 @@ def buckets(x: np.ndarray, tables: int, axes: int, seed: int = 0) -> np.ndarray:
                     probe[at, axis] = alt[at]
             keys.append(probe)
         for p, key in enumerate(keys):
-            h = np.full(n, np.uint64(size))
+            h = np.full(n, np.uint64(d))  # vectors of different lengths share no bucket
             with np.errstate(over="ignore"):
+                h *= np.uint64(0xD1342543DE82EF95)
+                h ^= h >> np.uint64(29)
                 for a in range(axes):
-                    h = (h ^ key[:, a].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                    h = (h + key[:, a].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                     h ^= h >> np.uint64(29)
             out[:, t, p] = (np.int64(t) << np.int64(52)) | (h >> np.uint64(12)).astype(np.int64)
     return out

@@ -22,7 +22,7 @@ def record(url: Column, body: Column, key: Column) -> Column:
     """The bytes of a response record, as text: header lines, an empty line, the body, two line ends."""
     return F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:"),
-        F.regexp_replace(F.md5(key.cast("string").cast("binary")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"),
+        F.regexp_replace(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"),
         F.lit(">\r\nWARC-Target-URI: "),
         F.coalesce(url, F.lit("")),
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "),
