@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Makes ``spark.checkpoint.dir`` the checkpoint folder; only where it is unset, as in tests, a local one is made."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        to = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(to)
+    """Makes ``spark.checkpoint.dir`` the checkpoint folder. Where it is unset, a local one is made in local mode alone: on a
+    cluster other machines would not see it."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        to = spark.conf.get("spark.checkpoint.dir", None)
+        if to is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(to or tempfile.mkdtemp(prefix="millrace-"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
