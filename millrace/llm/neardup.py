@@ -4,13 +4,15 @@ Two permutations of the 64-bit words make every coordinate of a signature: the f
 second, shifted circularly by one place for each coordinate, ranks them. Documents that agree in all rows of a band are
 candidates; candidates are verified on their full sets.
 
-Documents of equal sets are one class from the start. In a bucket each class is first compared with one hub, and
-classes that their links already join are not compared again, so a bucket of thousands of copies costs as many
-comparisons as it has members. Whatever classes of a bucket are then still apart are compared with each other.
+Documents of equal sets are one class from the start. In a bucket each class is first compared with one hub, so a bucket
+of thousands of copies costs as many comparisons as it has members. Buckets whose other members are then in more than one
+component are compared in blocks, each by one matrix product, which emit a forest of links and no pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.arrow import emit_rows, raw
 from millrace.llm.graph import components
-from millrace.llm.shared import checkpointed
+from millrace.llm.shared import checkpointed, unique_name
 from millrace.llm.words import WordHashes, mix, shingles, words
 
 ROWS, BANDS = 5, 28
@@ -113,36 +115,101 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     sets = checkpointed(sets_of(docs, members.select(F.col("rep").alias("id")).distinct(), **how))
 
     near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    tested, links, labels = None, None, None
-    for step in range(4):
-        live = members if labels is None else members.join(labels.select(F.col("vertex").alias("rep"), "component"), "rep", "left")
-        live = live.withColumn("comp", F.col("rep") if labels is None else F.coalesce("component", "rep")).select("band", "rep", "n", "comp")
-        order = F.xxhash64("rep", F.lit(step)) if step else F.col("rep")
-        hub = live.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct(order.alias("o"), "rep", "n", "comp")).alias("h")).where("c0 <> c1")
-        if step < 3:
-            found = live.join(hub.select("band", F.col("h.rep").alias("other"), F.col("h.n").alias("m"), F.col("h.comp").alias("comp2")), "band")
-        else:
-            apart = checkpointed(live.join(hub.select("band"), "band"))
-            found = apart.join(apart.select("band", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("comp").alias("comp2")), "band")
-        pairs = found.where((F.col("comp") != F.col("comp2")) & near(F.col("n"), F.col("m"))).select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs)
-        if step and pairs.isEmpty():
-            if step == 3:
-                break
-            continue
-        tested = pairs if tested is None else tested.union(pairs)
-        good = verified(pairs, sets, percent)
-        links = checkpointed(good if links is None else links.union(good))
-        labels = components(links)
+    hub = members.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("h")).select("band", F.col("h.rep").alias("hub"), F.col("h.n").alias("m"))
+    pairs = members.join(hub, "band").where((F.col("rep") != F.col("hub")) & near(F.col("n"), F.col("m"))).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    links = checkpointed(verified(pairs, sets, percent))
+    labels = components(links)
+    more = _apart(members, labels, sets, percent)
+    if not more.isEmpty():
+        labels = components(links.union(more))
     final = reps.select("key", "rep").join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     out = sketch.select("id", "n", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(final, "key", "left")
     component = F.coalesce("component", "id")
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
+#: Members of a block. A bucket of more is dealt out to several, and each two of them are compared in a task of their own.
+BLOCK = 1024
+_DENSE = 32_000_000
+
+
+def _apart(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: a forest of the links between components that share a bucket and are not those of its hub.
+
+    Buckets of the same members are looked at once. A bucket's hub has been compared with all of it and is left out.
+    """
+    live = members.join(labels.select(F.col("vertex").alias("rep"), "component"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
+    same = F.bit_xor(F.xxhash64("rep"))
+    seen = live.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("m"), same.alias("x"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1 AND m > 2")
+    seen = seen.groupBy("hub", "m", "x").agg(F.min("band").alias("band"))
+    each = live.join(seen.withColumn("g", F.ceil(F.col("m") / BLOCK)), "band").where("rep <> hub").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
+    each = each.select("rep", "comp", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    full = each.join(sets.select(F.col("id").alias("rep"), "items"), "rep").select("band", "i", "j", "rep", "comp", "items")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = full.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+
+        def done() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            a, b = linked(rows["rep"].to_numpy(), rows["comp"].to_numpy(), rows["items"].to_numpy(zero_copy_only=False), percent)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks = np.stack([batch[c].to_numpy() for c in ("band", "i", "j")], 1)
+            cuts = [0, *(np.nonzero((marks[1:] != marks[:-1]).any(1))[0] + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if held and tuple(held[0][c][0].as_py() for c in ("band", "i", "j")) != tuple(marks[lo].tolist()):
+                    yield done()
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield done()
+
+    return checkpointed(dealt.mapInArrow(run, "a long, b long"))
+
+
+def linked(reps: np.ndarray, comps: np.ndarray, items: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links between sets of different components, as two arrays of ends."""
+    n = len(reps)
+    if n < 2 or (comps == comps[0]).all():
+        return reps[:0], reps[:0]
+    size = np.array([len(x) for x in items])
+    owner = np.repeat(np.arange(n), size)
+    _, code, count = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+    shared = count[code] > 1
+    owner, code = owner[shared], np.unique(code[shared], return_inverse=True)[1]
+    width = int(code.max()) + 1 if len(code) else 0
+    common = np.zeros((n, n), np.float32)
+    step = max(1, _DENSE // n)
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    for lo in range(0, width, step):
+        at = slice(*np.searchsorted(code, [lo, lo + step]))
+        held = np.zeros((n, min(step, width - lo)), np.float32)
+        held[owner[at], code[at] - lo] = 1
+        common += held @ held.T
+    i, j = np.nonzero((100 * common >= percent * (size[:, None] + size[None, :] - common)) & (comps[:, None] != comps[None, :]))
+    by = np.argsort(reps, kind="stable")
+    low = np.empty(n, np.int64)
+    low[by] = np.arange(n)
+    start = low.copy()
+    while True:
+        before = low.copy()
+        np.minimum.at(low, i, low[j])
+        low = np.minimum(low, low[by[low]])
+        if (before == low).all():
+            break
+    moved = low != start
+    return reps[moved], reps[by[low[moved]]]
+
+
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the documents that are not their component's smallest id; rows that share an id go together."""
-    gone = classes(docs, id_col=id_col, text_col=text_col, width=width, percent=percent).where(~F.col("kept")).select(F.col("id").alias("__id")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__id"), "left_anti")
+    mine = unique_name("gone")
+    gone = classes(docs, id_col=id_col, text_col=text_col, width=width, percent=percent).where(~F.col("kept")).select(F.col("id").alias(mine)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(mine), "left_anti")
