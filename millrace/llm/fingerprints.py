@@ -97,17 +97,20 @@ def compare_edited(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     each = facts.groupBy("k").agg(F.min("h").alias("first_h"), F.max(F.floor(F.col("n") / 2)).alias("half"))
     given = checkpointed(ring.join(each.select("k", "first_h"), "k").join(each.select(F.col("k").alias("prev_k"), F.col("half").alias("need")), "prev_k"))
     own = rows.join(given.select("k", "prev_k", "first_h", "need"), "k")
-    starts = own.where(F.col("h") == F.col("first_h")).select(F.col("prev_k").alias("k"), F.expr("substring(text, 1, cast(need as int))").alias("start"))
+    # Not written as an equality, which would become a key of the join and shuffle the text a second time.
+    starts = own.where(F.col("h").bitwiseXOR(F.col("first_h")) == 0).select(F.col("prev_k").alias("k"), F.expr("substring(text, 1, cast(need as int))").alias("start"))
     both = own.select("k", "h", "text").join(starts, "k").withColumn("n", F.char_length("text"))
     both = both.withColumn("edited", F.expr("concat(substring(text, 1, n - n div 2), substring(start, 1, cast(n div 2 as int)))"))
     either = both.select("k", "h", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("x")).select("k", "h", "x.kind", "x.t")
-    samples = checkpointed(sample(either, ["k", "h", "kind"], "t", coordinates))
+    samples = sample(either, ["k", "h", "kind"], "t", coordinates)
+    of = lambda kind: F.first(F.when(F.col("kind") == kind, F.col("sample")), ignorenulls=True)
+    pairs = samples.groupBy("k", "h").agg(of(0).alias("a"), of(1).alias("b"))
+    # One job, whose two branches read the same shuffles.
     sums = both.select("k", "h", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    plain = samples.where("kind = 0").select("k", "h", F.col("sample").alias("a"))
-    edited = samples.where("kind = 1").select("k", "h", F.col("sample").alias("b"))
+    made = checkpointed(sums.join(pairs, ["k", "h"], "left"))
     following = ring.join(each.select(F.col("k").alias("next_k"), F.col("first_h").alias("next_h")), "next_k")
-    following = following.join(plain.select(F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.col("a").alias("c")), ["next_k", "next_h"], "left").select("k", "c")
-    out = facts.join(sums, ["k", "h"]).join(plain, ["k", "h"], "left").join(edited, ["k", "h"], "left").join(following, "k")
+    following = following.join(made.select(F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.col("a").alias("c")), ["next_k", "next_h"], "left").select("k", "c")
+    out = facts.join(made, ["k", "h"]).join(following, "k")
     out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     a, b, c = F.col("a"), F.col("b"), F.col("c")
     return out.select("k", F.col("n").alias("n_chars"), "edited_sha256", as_text(a, coordinates).alias("fingerprint"), as_text(b, coordinates).alias("edited_fingerprint"), likeness(a, b, coordinates).alias("near_edited"), likeness(a, c, coordinates).alias("near_next"))
