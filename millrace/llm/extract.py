@@ -197,10 +197,13 @@ def main_text(html: str, weights: dict[str, float]) -> str:
 def learn(pages: DataFrame, *, html_col: str = "html", key_col: str = "page_id", most: int = 2000) -> dict[str, float]:
     """Weights by kind of token from labelled pages: those that mark their main element, whose extent is the label.
 
-    At most ``most`` of them, those of the smallest hashed keys, are used; their counts by kind, of which there are as
-    many as kinds of elements, come to the driver.
+    Those of the ``most`` smallest hashed keys are used; their counts by kind, of which there are as many as kinds of
+    elements, come to the driver.
     """
-    sample = pages.where(F.col(html_col).rlike("(?i)<(article|main)[\\s>]")).select(F.xxhash64(F.col(key_col)).alias("__h"), F.col(html_col).alias("__html")).orderBy("__h", F.md5("__html")).limit(most)
+    marked = pages.where(F.col(html_col).rlike("(?i)<(article|main)[\\s>]")).select(F.xxhash64(F.col(key_col)).alias("__h"), F.col(html_col).alias("__html"))
+    # Only hashes are sorted; the pages are then read by the largest of them.
+    last = marked.select("__h").orderBy("__h").limit(most).agg(F.max("__h")).first()[0]
+    sample = marked.where(F.col("__h") <= (last if last is not None else 0))
 
     def make():
         tally: dict[str, list[int]] = defaultdict(lambda: [0, 0])
