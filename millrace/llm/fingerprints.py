@@ -50,6 +50,20 @@ def sample(texts: DataFrame, keys: list[str], text: str, coordinates: int = COOR
     return least.select(*keys, F.array(*[f"__a{j}" for j in range(coordinates)]).alias("sample"))
 
 
+def sample_pair(texts: DataFrame, keys: list[str], kind: str, text: str, coordinates: int = COORDINATES) -> DataFrame:
+    """``keys, a, b``: the samples of the texts of kind 0 and of kind 1, null without words; no row where both have none.
+
+    A term that both hold is kept once, with two counts, and its variates are drawn once.
+    """
+    terms = texts.select(*keys, F.col(kind).alias("__kind"), F.explode(F.split(F.col(text), "[ \\t-\\r]+")).alias("__word")).where("__word <> ''")
+    of = lambda i: F.sum((F.col("__kind") == i).cast("long"))
+    counted = terms.select(*keys, "__kind", F.xxhash64("__word").alias("__term")).groupBy(*keys, "__term").agg(of(0).alias("__n0"), of(1).alias("__n1"))
+    # The logarithm of a count of 0 is null, and so are the draws, which the minimum passes over.
+    weighed = counted.select(*keys, "__term", *[F.when(F.col(f"__n{i}") > 0, F.ln(F.col(f"__n{i}").cast("double"))).alias(f"__w{i}") for i in (0, 1)])
+    least = weighed.groupBy(*keys).agg(*[F.min(draw(F.col("__term"), F.col(f"__w{i}"), j)).alias(f"__a{i}_{j}") for j in range(coordinates) for i in (0, 1)])
+    return least.select(*keys, *[F.when(F.col(f"__a{i}_0").isNotNull(), F.array(*[f"__a{i}_{j}" for j in range(coordinates)])).alias(name) for i, name in ((0, "a"), (1, "b"))])
+
+
 def likeness(a: Column, b: Column, coordinates: int = COORDINATES) -> Column:
     """The share of equal coordinates; texts without words are like each other and unlike all others."""
     same = reduce(lambda x, y: x + y, [(a[j] == b[j]).cast("int") for j in range(coordinates)]) / F.lit(float(coordinates))
@@ -102,9 +116,7 @@ def compare_edited(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     both = own.select("k", "h", "text").join(starts, "k").withColumn("n", F.char_length("text"))
     both = both.withColumn("edited", F.expr("concat(substring(text, 1, n - n div 2), substring(start, 1, cast(n div 2 as int)))"))
     either = both.select("k", "h", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("x")).select("k", "h", "x.kind", "x.t")
-    samples = sample(either, ["k", "h", "kind"], "t", coordinates)
-    of = lambda kind: F.first(F.when(F.col("kind") == kind, F.col("sample")), ignorenulls=True)
-    pairs = samples.groupBy("k", "h").agg(of(0).alias("a"), of(1).alias("b"))
+    pairs = sample_pair(either, ["k", "h"], "kind", "t", coordinates)
     # One job, whose two branches read the same shuffles.
     sums = both.select("k", "h", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
     made = checkpointed(sums.join(pairs, ["k", "h"], "left"))
