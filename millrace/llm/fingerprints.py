@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import checkpointed
+from millrace.llm.shared import checkpointed, joins_keep_partitions
 
 COORDINATES = 32
 _WORD = 2.0**-32
@@ -117,9 +117,10 @@ def compare_edited(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     both = both.withColumn("edited", F.expr("concat(substring(text, 1, n - n div 2), substring(start, 1, cast(n div 2 as int)))"))
     either = both.select("k", "h", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("x")).select("k", "h", "x.kind", "x.t")
     pairs = sample_pair(either, ["k", "h"], "kind", "t", coordinates)
-    # One job, whose two branches read the same shuffles.
+    # One job, whose two branches read the same shuffles by k; joined by k and h they need no other.
     sums = both.select("k", "h", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    made = checkpointed(sums.join(pairs, ["k", "h"], "left"))
+    with joins_keep_partitions(docs.sparkSession):
+        made = checkpointed(sums.join(pairs, ["k", "h"], "left"))
     following = ring.join(each.select(F.col("k").alias("next_k"), F.col("first_h").alias("next_h")), "next_k")
     following = following.join(made.select(F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.col("a").alias("c")), ["next_k", "next_h"], "left").select("k", "c")
     out = facts.join(made, ["k", "h"]).join(following, "k")
