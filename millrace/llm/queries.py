@@ -100,7 +100,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.pack(table(spark, sf_dir, "pages"))
     key, text = F.col("key"), F.col("record")
     spoilt = F.when(key % 101 == 7, F.concat(F.substring(text, 1, 40), F.lit("#"), F.expr("substring(record, 42)"))).otherwise(text)
-    replica = records.where(F.coalesce(key % 211 != 3, F.lit(True))).select("key", spoilt.alias("record"))
+    replica = records.where(F.coalesce(key % 211 != 3, F.lit(True))).select("key", "file", spoilt.alias("record"))
     return warc.audit(records, replica).withColumnRenamed("key", "page_id")
 
 
