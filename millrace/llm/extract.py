@@ -1,8 +1,9 @@
 """HTML extraction: the maximum-scoring subsequence of a page's words and tags.
 
 Words and tags are one sequence. Each token has a weight learned from labelled pages: the log-odds that a token of
-its kind lies within the main text. A linear scan finds the contiguous region of the largest sum; the blocks of text
-in it, but for those in boilerplate elements, are the main text.
+its kind lies within the main text; names that hint at boilerplate, and marks of the main element, have learned weights
+too. A linear scan finds the contiguous region of the largest sum; the blocks of text in it, but for those in boilerplate
+elements or under a hint that outweighs their words, are the main text.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
+from collections.abc import Callable, Iterable
 from html import unescape
 
 import pyarrow as pa
@@ -44,40 +46,48 @@ _CLOSES_P = frozenset("address article aside blockquote center details dialog di
 _SCOPED = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 
-def _boilerplate(tag: str, attrs: str, inside: bool) -> str:
-    """The kind of boilerplate that an element opens, or nothing. A header within the main text belongs to it."""
+def _boilerplate(tag: str, attrs: str, inside: bool) -> tuple[str, tuple[str, bool] | None]:
+    """The kind of boilerplate that an element opens, or nothing, and the class or id that hints at some: its name and
+    whether all of it is a hint. A header within the main text belongs to it."""
     if tag in SILENT:
-        return "silent"
+        return "silent", None
     if tag in EDGES and not (inside and tag == "header"):
-        return tag
+        return tag, None
+    hint = None
     if tag in ("html", "body") or not attrs or tag in MAIN:
-        return ""
+        return "", None
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
             for word in re.findall(r"[a-z0-9]+(?:-[a-z0-9]+)*", re.sub(r"_+", "-", value)):
-                if word in HINTS or any(x in HINTS for x in word.split("-")) and tag not in INLINE:
-                    return "hint"
+                if word in HINTS:
+                    hint = hint if hint and hint[1] else (word, True)
+                elif any(x in HINTS for x in word.split("-")) and tag not in INLINE:
+                    hint = hint or (word, False)
         elif name == "role" and value in ROLES:
-            return "role"
+            return "role", None
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return "silent"
-    return ""
+            return "silent", None
+    return "", hint
 
 
 class Tokens:
-    """A page's tokens: for each, its kind, how many words it has, and for text the block, the text and its standing."""
+    """A page's tokens: for each, its kind, how many words it has, the hints of boilerplate that it stands under, and for
+    text the block, the text and whether it can be main text at all. ``marked`` tells whether marked elements hold most
+    of the page's words: a card in an article element marks nothing."""
 
     def __init__(self, html: str):
         self.kinds: list[str] = []
         self.sizes: list[int] = []
         self.parts: list[tuple[int, str, bool] | None] = []
-        self.where: list[bool | None] = []
-        self.has_main = False
-        # Open elements: tag, kind of boilerplate so far, within the main element, nearest block, within a link.
-        stack: list[tuple[str, str, bool, str, bool]] = []
+        self.where: list[bool] = []
+        self.hints: list[tuple[int, ...]] = []
+        # Elements whose class or id hints at boilerplate.
+        hinted: list[tuple[str, bool]] = []
+        # Open elements: tag, kind of boilerplate so far, within a marked element, nearest block, within a link, hints.
+        stack: list[tuple[str, str, bool, str, bool, tuple[int, ...]]] = []
         opened: dict[str, int] = defaultdict(int)
-        block, top = 0, ("", "", False, "body", False)
+        block, top = 0, ("", "", False, "body", False, ())
 
         def end(depth: int) -> None:
             for x in stack[depth:]:
@@ -86,9 +96,9 @@ class Tokens:
 
         for m in _TOKEN.finditer(html):
             text = m["text"]
-            _, kind, inside, holder, linked = stack[-1] if stack else top
+            _, kind, inside, holder, linked, hints = stack[-1] if stack else top
             if text is not None:
-                self._add(f"w {kind or holder + ' a' * linked}", len(text.split()), (block, text, not kind), inside)
+                self._add(f"w {kind or holder + ' a' * linked}", len(text.split()), (block, text, not kind), inside, hints)
                 continue
             tag = (m["raw"] or m["tag"] or m["tag2"] or "").lower()
             if not tag or tag == "img":
@@ -108,15 +118,39 @@ class Tokens:
             else:
                 self._imply(stack, opened, tag, end)
                 attrs = m["attrs"] or m["attrs2"] or ""
-                _, kind, inside, holder, linked = stack[-1] if stack else top
+                _, kind, inside, holder, linked, hints = stack[-1] if stack else top
                 self._add(f"t {tag}", 1, None, inside)
                 if tag in MAIN and not kind:
-                    self.has_main = inside = True
+                    inside = True
                 if tag not in VOID and not attrs.endswith("/"):
-                    stack.append((tag, kind or _boilerplate(tag, attrs, inside), inside, holder if tag in INLINE else tag, linked or tag == "a"))
+                    if not kind:
+                        kind, hint = _boilerplate(tag, attrs, inside)
+                        kind = "hint" if hint else kind
+                    stack.append((tag, kind, inside, holder if tag in INLINE else tag, linked or tag == "a", hints))
                     opened[tag] += 1
-
-    def _add(self, kind: str, size: int, part, inside: bool) -> None:
+        self._judge(hinted)
+
+    def _judge(self, hinted: list[tuple[str, bool]]) -> None:
+        """Tells whether the page's marks hold most of its words, and turns hints into their names. An element that
+        holds most marked words of such a page, or that has a hint in a part of a name alone and most words of any page,
+        is a wrapper: its hint says nothing."""
+        words, marked = [0] * len(hinted), [0] * len(hinted)
+        every = rest = within = 0
+        for size, part, inside, hints in zip(self.sizes, self.parts, self.where, self.hints):
+            if part is None or not part[2]:
+                continue
+            every += size
+            rest += size * (inside or not any(hinted[h][1] for h in hints))
+            within += size * inside
+            for h in hints:
+                words[h] += size
+                marked[h] += size * inside
+        self.marked = 2 * within > rest
+        names = [None if self.marked and 2 * marked[h] > within or not exact and 2 * words[h] > every else ("h " if exact else "h -") + name for h, (name, exact) in enumerate(hinted)]
+        self.hints = [tuple(names[h] for h in hints if names[h]) for hints in self.hints]
+
+    def _add(self, kind: str, size: int, part, inside: bool, hints: tuple = ()) -> None:
+        self.hints.append(hints)
         self.kinds.append(kind)
         self.sizes.append(size)
         self.parts.append(part)
@@ -143,31 +177,39 @@ class Tokens:
                         break
 
 
-#: Weights of kinds that no labelled page has; boilerplate inside a main element only separates.
+#: Weights of kinds that no labelled page has.
 UNSEEN = {"p": 1.5, "h1": 1.0, "h2": 1.0, "h3": 1.0, "h4": 1.0, "blockquote": 1.0, "pre": 1.0, "li": 0.5, "td": 0.5, "dd": 0.5, "div": 0.5, "section": 0.5, "article": 1.5, "main": 1.0, "body": 0.3, "html": 0.3}
 TAG = -0.2
 
 
-def weigh(tokens: Tokens, weights: dict[str, float]) -> list[float]:
-    """A weight for each token. Words are positive but in boilerplate; tags are negative. In a page that marks its
-    main element words outside it are negative, and boilerplate inside it weighs next to nothing, to be left out
-    without breaking the region."""
-    out = []
-    for kind, size, part, inside in zip(tokens.kinds, tokens.sizes, tokens.parts, tokens.where):
+#: Weights of hints that no labelled page has: of a name's part, and of a whole name.
+HINTED = -2.0, -8.0
+
+
+def weigh(tokens: Tokens, weights: dict[str, float]) -> tuple[list[float], list[bool]]:
+    """A weight for each token, and whether it is text that stays if it lies in the region. The weight of a word is the
+    sum of its holder's, its strongest hint's, and, in a page that marks its main text, that of standing in or out of the
+    mark; tags are negative. Boilerplate, and text that its hint makes negative, is left out and separates weakly."""
+    out, stays = [], []
+    for kind, size, part, inside, hints in zip(tokens.kinds, tokens.sizes, tokens.parts, tokens.where, tokens.hints):
         if part is None:
-            w = min(weights.get(kind, TAG), -0.01)
-            out.append(-0.001 if tokens.has_main and inside else w)
-        elif not part[2]:
-            out.append(-0.001 if tokens.has_main and inside else (0.1 * min(0.0, weights.get(kind, -1.0)) - 0.2) * size)
-        elif tokens.has_main:
-            out.append(2.0 * size if inside else -3.0 * size)
+            out.append(min(weights.get(kind, TAG), -0.01))
+            stays.append(False)
+            continue
+        base = weights.get(kind)
+        if not part[2]:
+            base = -1.0 if base is None else base
         else:
-            base = weights.get(kind)
             if base is None:
                 holder, _, link = kind[2:].partition(" ")
                 base = UNSEEN.get(holder, 0.3) - (1.5 if link else 0.0)
-            out.append(base * size)
-    return out
+            if hints:
+                base += min(weights.get(h, HINTED[h[2] != "-"]) for h in hints)
+            if tokens.marked:
+                base += weights.get("m in" if inside else "m out", 0.0)
+        stays.append(part[2] and not (hints and base <= 0))
+        out.append((base if stays[-1] else 0.1 * min(0.0, base) - 0.2) * size)
+    return out, stays
 
 
 def best_region(weights: list[float]) -> tuple[int, int]:
@@ -185,42 +227,67 @@ def best_region(weights: list[float]) -> tuple[int, int]:
 def main_text(html: str, weights: dict[str, float]) -> str:
     """The main text: blocks in page order, white space within one made a space, joined by line ends."""
     tokens = Tokens(html)
-    lo, hi = best_region(weigh(tokens, weights))
+    values, stays = weigh(tokens, weights)
+    lo, hi = best_region(values)
     blocks: dict[int, list[str]] = defaultdict(list)
-    for part in tokens.parts[lo:hi]:
-        if part is not None and part[2]:
+    for part, kept in zip(tokens.parts[lo:hi], stays[lo:hi]):
+        if kept:
             blocks[part[0]].append(part[1])
     lines = (" ".join(unescape("".join(x)).split()) for x in blocks.values())
     return "\n".join(x for x in lines if x)
 
 
 def learn(pages: DataFrame, *, html_col: str = "html", key_col: str = "page_id", most: int = 2000) -> dict[str, float]:
-    """Weights by kind of token from labelled pages: those that mark their main element, whose extent is the label.
+    """Weights by kind of token from labelled pages: those whose marked elements hold most of their words. Their extent is
+    the label of words, tags and hints. The mark's own weight comes from how often it agrees with the region that these
+    choose without it.
 
     Those of the ``most`` smallest hashed keys are used; their counts by kind, of which there are as many as kinds of
-    elements, come to the driver.
+    elements and names that hint at boilerplate, come to the driver.
     """
     marked = pages.where(F.col(html_col).rlike("(?i)<(article|main)[\\s>]")).select(F.xxhash64(F.col(key_col)).alias("__h"), F.col(html_col).alias("__html"))
     # Only hashes are sorted; the pages are then read by the largest of them.
     last = marked.select("__h").orderBy("__h").limit(most).agg(F.max("__h")).first()[0]
     sample = marked.where(F.col("__h") <= (last if last is not None else 0))
 
-    def make():
-        tally: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-
-        def fn(col):
-            if col is None:
-                yield [pa.array(list(tally), pa.string()), pa.array([v[0] for v in tally.values()], pa.int64()), pa.array([v[1] for v in tally.values()], pa.int64())]
-                return
-            for html in texts(col):
-                t = Tokens(html)
-                for kind, size, inside in zip(t.kinds, t.sizes, t.where):
-                    tally[kind][bool(inside)] += size
-
-        return fn
-
-    rows = emit_rows(sample, ["__html"], "kind string, outside long, inside long", make).groupBy("kind").agg(F.sum("outside").alias("o"), F.sum("inside").alias("i")).collect()
-    return {r["kind"]: max(-4.0, min(4.0, math.log((r["i"] + 0.5) / (r["o"] + 0.5)))) * (0.2 if r["kind"][0] == "t" else 1.0) for r in rows}
+    def counted(seen: Callable[[Tokens], Iterable[tuple[str, int, bool]]]) -> dict[str, tuple[int, int]]:
+        def make():
+            tally: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+
+            def fn(col):
+                if col is None:
+                    yield [pa.array(list(tally), pa.string()), pa.array([v[0] for v in tally.values()], pa.int64()), pa.array([v[1] for v in tally.values()], pa.int64())]
+                    return
+                for html in texts(col):
+                    t = Tokens(html)
+                    for kind, size, inside in seen(t) if t.marked else ():
+                        tally[kind][inside] += size
+
+            return fn
+
+        rows = emit_rows(sample, ["__html"], "kind string, outside long, inside long", make).groupBy("kind").agg(F.sum("outside").alias("o"), F.sum("inside").alias("i")).collect()
+        return {r["kind"]: (r["i"], r["o"]) for r in rows}
+
+    def labels(t: Tokens):
+        for kind, size, inside, hints in zip(t.kinds, t.sizes, t.where, t.hints):
+            for name in set(hints) or (kind,):
+                yield name, size, inside
+
+    limits = {"t": (-0.8, 0.8, 0.2), "w": (-4.0, 4.0, 1.0), "h": (-12.0, 0.0, 1.0)}
+    weights = {}
+    for kind, (i, o) in counted(labels).items():
+        least, largest, scale = limits[kind[0]]
+        weights[kind] = max(least, min(largest, scale * math.log((i + 0.5) / (o + 0.5))))
+
+    def agreement(t: Tokens):
+        t.marked = False
+        values, stays = weigh(t, weights)
+        lo, hi = best_region(values)
+        for at, (size, part, inside) in enumerate(zip(t.sizes, t.parts, t.where)):
+            if part is not None:
+                yield "m in" if inside else "m out", size, lo <= at < hi and stays[at]
+
+    return weights | {kind: max(-4.0, min(4.0, math.log((i + 0.5) / (o + 0.5)))) for kind, (i, o) in counted(agreement).items()}
 
 
 def extract(pages: DataFrame, weights: dict[str, float], *, html_col: str = "html", into: str = "text") -> DataFrame:

@@ -2,7 +2,31 @@
 
 from pyspark.sql import functions as F
 
-from millrace.llm import warc
+from conftest import SF
+
+from millrace.llm import extract, warc
+
+WORDS = "the quick brown fox jumps over the lazy dog and runs away "
+BODY = [f"{WORDS}{i} {WORDS}" for i in range(4)]
+
+
+def paragraphs(some):
+    return "".join(f"<p>{x}</p>" for x in some)
+
+
+def lines(*some):
+    return "\n".join(" ".join(x.split()) for x in some)
+
+
+def test_extract_of_a_body_beside_an_article_card(spark):
+    weights = extract.learn(spark.read.parquet(f"{SF}/pages.parquet"))
+    page = f'<html><body><nav><a href="/">home</a></nav><div>{paragraphs(BODY)}</div><div><article><p>Read next card</p></article></div></body></html>'
+    for known in (weights, {}):
+        got = extract.main_text(page, known)
+        assert got.startswith(lines(*BODY))
+    # A mark that holds most of the page's words still tells text from what stands beside it.
+    page = f"<html><body><div>a stray line</div><article>{paragraphs(BODY)}</article><div>another one</div></body></html>"
+    assert extract.main_text(page, weights) == lines(*BODY)
 
 
 def test_warc_tells_extra_moved_and_shifted_records(spark):
