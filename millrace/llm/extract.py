@@ -125,7 +125,9 @@ class Tokens:
                 if tag not in VOID and not attrs.endswith("/"):
                     if not kind:
                         kind, hint = _boilerplate(tag, attrs, inside)
-                        kind = "hint" if hint else kind
+                        if hint:
+                            hints = (*hints, len(hinted))
+                            hinted.append(hint)
                     stack.append((tag, kind, inside, holder if tag in INLINE else tag, linked or tag == "a", hints))
                     opened[tag] += 1
         self._judge(hinted)

@@ -29,6 +29,18 @@ def test_extract_of_a_body_beside_an_article_card(spark):
     assert extract.main_text(page, weights) == lines(*BODY)
 
 
+def test_extract_of_wrappers_with_hinting_names(spark):
+    weights = extract.learn(spark.read.parquet(f"{SF}/pages.parquet"))
+    for known in (weights, {}):
+        for wrap in ('class="content with-sidebar"', 'id="page-header-wrap"'):
+            assert extract.main_text(f"<html><body><div {wrap}>{paragraphs(BODY)}</div></body></html>", known) == lines(*BODY)
+            assert extract.main_text(f"<html><body><div {wrap}><article>{paragraphs(BODY)}</article></div></body></html>", known) == lines(*BODY)
+    page = f'<article><div class="entry-header"><h1>The title</h1></div>{paragraphs(BODY[:2])}<div class="share"><p>Send it</p></div>{paragraphs(BODY[2:])}</article>'
+    assert extract.main_text(f"<html><body>{page}</body></html>", weights) == lines("The title", *BODY)
+    page = f'<div>{paragraphs(BODY)}</div><div class="comments">{paragraphs(["I agree with it"] * 90)}</div><div class="sidebar"><p>Ours</p></div>'
+    assert extract.main_text(f"<html><body>{page}</body></html>", weights) == lines(*BODY)
+
+
 def test_warc_tells_extra_moved_and_shifted_records(spark):
     pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}") for i in range(40)], "page_id long, url string, html string")
     rec = warc.pack(pages)
