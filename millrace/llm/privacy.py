@@ -1,16 +1,19 @@
 """Personal data: patterns, and information-theoretic sanitisation of the terms that give them away.
 
-Patterns find the protected entities. Over the whole corpus, the documents that hold an entity, a term and both near
-each other give the pointwise mutual information of term and entity; divided by the entity's own information it is the
-share of the entity that the term discloses. A term that discloses more than a threshold, in enough different
-surroundings for the estimate to mean something, is a span wherever it stands in a document that holds the entity:
-it is generalised, and from a second threshold on removed.
+Patterns find the protected entities; those of different kinds that stand near each other are also one class, as a
+person's address and number. Over the whole corpus, the documents that hold an entity or class, a term and both give the
+pointwise mutual information of term and entity; divided by the entity's own information it is the share of the entity
+that the term discloses. The estimate is a lower confidence bound, so few documents count for less but are not ignored. A
+term that discloses more than a threshold is a span wherever it stands in a document that holds the entity or one of the
+class: it is generalised, and from a second threshold on removed.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -19,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm import graph
 from millrace.llm.arrow import append_columns, emit_rows, texts
 from millrace.llm.shared import checkpointed
 
@@ -83,6 +87,17 @@ def covered(spans: list[Span], lo: int, hi: int) -> bool:
     return any(s < hi and lo < e for s, _, e in spans)
 
 
+class Terms(dict):
+    """The disclosing terms of entities, with those of the classes that they are in."""
+
+    def __init__(self, terms: dict[int, list[tuple[str, bool]]], groups: dict[int, int]):
+        super().__init__(terms)
+        self.groups = groups
+
+    def get(self, e: int, default=()):
+        return [*super().get(e, ()), *super().get(self.groups.get(e), ())]
+
+
 def term_spans(text: str, found: list[Span], entities: dict[int, list[tuple[str, bool]]]) -> list[tuple[int, int, bool]]:
     """Spans of a text's disclosing terms outside its base spans, and whether they are to be removed."""
     terms: dict[str, bool] = {}
@@ -103,42 +118,74 @@ def term_spans(text: str, found: list[Span], entities: dict[int, list[tuple[str,
     return out
 
 
-def disclosures(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.8, remove: float = 0.95, support: int = 3) -> DataFrame:
-    """``entity, term, disclosure, removed``: the terms over the threshold, estimated over all documents.
+def disclosures(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.8, remove: float = 0.95, doubt: float = 0.2) -> DataFrame:
+    """``entity, term, disclosure, removed, group``: the terms over the threshold, estimated over all documents. Rows with
+    a null term tell the class of an entity, in ``group``; a class has its own rows, as an entity.
 
-    A term is a word of four or more letters within 60 characters of an entity. It needs ``support`` different
-    surroundings, so that copies of one text teach nothing. Counts are of documents; pairs are counted before they are
-    shuffled, and every task flushes its counts when they reach a bound.
+    A term is a word of letters outside the patterns, anywhere in a document. Of ``k`` different surroundings, the lower
+    bound of a share that is missed with probability ``doubt`` is the share times ``doubt ** (1 / k)``, as for a share
+    of one. A term within 60 characters of the entity gives a surrounding, one farther off the half of one, and copies
+    of a text give the same. Counts are of documents; every task flushes its counts when they reach a bound.
     """
 
     def pairs():
+        at = int.from_bytes(os.urandom(7))  # numbers documents; what follows is checkpointed
+        # What can't reach the threshold, were it in all documents of the entity and in no others, isn't sent.
+        n_all, frequent, sizes, other_size = known.value
+
         def fn(col):
+            nonlocal at
             if col is None:
                 return
-            ents, terms, seen = [], [], []
+            rows: list[tuple] = []
+
+            def flush():
+                out = [pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64()))]
+                rows.clear()
+                return out
+
             for text in texts(col):
                 spans = base_spans(text)
-                near: dict[tuple[int, str], int] = {}
+                if not spans:
+                    continue
+                at += 1
+                whole = xxhash.xxh3_64_intdigest(text) >> 1
+                terms, i = [], 0
+                for m in _TERM.finditer(text):
+                    while i < len(spans) and spans[i][2] <= m.start():
+                        i += 1
+                    if not covered(spans[i : i + 8], m.start(), m.end()):
+                        terms.append((m.start(), m.end(), m[0].lower()))
+                starts = [x[0] for x in terms]
+                each = {x[2] for x in terms}
+                held: dict[int, dict[str, int]] = {}
                 for s in spans:
                     e = entity(text, s)
-                    around = text[max(0, s[0] - NEAR) : s[0]] + " " + text[s[2] : s[2] + NEAR]
-                    near[(e, "")] = 0
-                    for w in {m[0].lower() for m in _TERM.finditer(around[around.find(" ") + 1 : around.rfind(" ") + 1 or None])}:
-                        near.setdefault((e, w), xxhash.xxh3_64_intdigest(around) >> 1)
-                for (e, w), h in near.items():
-                    ents.append(e)
-                    terms.append(w)
-                    seen.append(h)
-            yield [pa.array(ents, pa.int64()), pa.array(terms, pa.string()), pa.array(seen, pa.int64())]
+                    around = xxhash.xxh3_64_intdigest(text[max(0, s[0] - NEAR) : s[0]] + " " + text[s[2] : s[2] + NEAR]) >> 1
+                    near = held.setdefault(e, {})
+                    for j in range(bisect_left(starts, s[2] + NEAR) - 1, -1, -1):
+                        if terms[j][1] <= s[0] - NEAR:
+                            break
+                        near.setdefault(terms[j][2], around)
+                for e, near in held.items():
+                    rows.append((at, e, "", True, 0))
+                    most = n_all ** (1 - threshold) * sizes.get(e, other_size) ** threshold
+                    rows += [(at, e, w, w in near, near.get(w, whole)) for w in near if frequent.get(w, 0) <= most]
+                    if len(rows) > 100_000:
+                        yield flush()
+            if rows:
+                yield flush()
 
         return fn
 
     def words():
-        tally: Counter = Counter()
+        tally: Counter = Counter()  # of terms, of entities, and of pairs of them
         docs_seen = 0
 
         def flush():
-            out = [pa.array(list(tally), pa.string()), pa.array(list(tally.values()), pa.int64())]
+            kinds = [pa.array([x if isinstance(x, kind) else None for x in tally], to) for kind, to in ((str, pa.string()), (int, pa.int64()))]
+            links = [pa.array([x[i] if isinstance(x, tuple) else None for x in tally], pa.int64()) for i in (0, 1)]
+            out = [*kinds, *links, pa.array(list(tally.values()), pa.int64())]
             tally.clear()
             return out
 
@@ -151,23 +198,46 @@ def disclosures(docs: DataFrame, *, text_col: str = "text", threshold: float = 0
             for text in texts(col):
                 docs_seen += 1
                 tally.update({w.lower() for w in set(_TERM.findall(text))})
+                spans = base_spans(text)
+                ents = [entity(text, x) for x in spans]
+                tally.update(set(ents))
+                beside = zip(spans, spans[1:], ents, ents[1:])
+                tally.update({(e, f) for a, b, e, f in beside if e != f and a[1] != b[1] and b[0] - a[2] <= NEAR})
                 if len(tally) > 400_000:
                     yield flush()
 
         return fn
 
-    rows = emit_rows(docs, [text_col], "entity long, term string, around long", pairs)
-    both = checkpointed(rows.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.countDistinct("around").alias("n_around")).where((F.col("n_around") >= support) | (F.col("term") == "")))
-    alone = both.where("term = ''").select("entity", F.col("n_both").alias("n_entity"))
-    pairs_left = both.where("term <> ''")
-    counts = emit_rows(docs, [text_col], "term string, n long", words)
-    wanted = pairs_left.select("term").distinct().union(docs.sparkSession.createDataFrame([("",)], "term string"))
-    counts = checkpointed(counts.groupBy("term").agg(F.sum("n").alias("n_term")).join(wanted, "term", "left_semi"))
-    total = counts.where("term = ''").select(F.col("n_term").alias("n_all"))
-    n_all = (total.first() or [0])[0] or 0
-    share = F.log(F.lit(float(n_all)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.log(F.lit(float(n_all)) / F.col("n_entity"))
-    scored = pairs_left.join(alone, "entity").join(counts, "term").where(F.col("n_entity") < n_all)
-    return checkpointed(scored.withColumn("disclosure", share).where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure", (F.col("disclosure") >= remove).alias("removed")))
+    spark = docs.sparkSession
+    counts = emit_rows(docs, [text_col], "term string, entity long, a long, b long, n long", words)
+    counts = checkpointed(counts.groupBy("term", "entity", "a", "b").agg(F.sum("n").alias("n")))
+    members = graph.components(counts.where("a IS NOT NULL"))
+    members = checkpointed(members.select(F.col("vertex").alias("entity"), F.shiftrightunsigned(F.xxhash64("component", F.lit("class")), 1).alias("group")))
+    alone = counts.where("entity IS NOT NULL").select("entity", F.col("n").alias("n_entity"))
+    terms = counts.where("term <> ''").select("term", F.col("n").alias("n_term"))
+    n_all = (counts.where("term = ''").select("n").first() or [0])[0] or 0
+    # At most the sum of its members' documents are a class's.
+    largest = members.join(alone, "entity").groupBy("group").agg(F.sum("n_entity").alias("m"))
+    sizes = alone.join(members, "entity", "left").join(largest, "group", "left").select("entity", F.greatest("n_entity", F.coalesce("m", "n_entity")).alias("m"))
+    sizes = sizes.where("m > 1").orderBy(F.desc("m")).limit(MOST_SENT).collect()
+    frequent = terms.where(F.col("n_term") > n_all ** (1 - threshold)).orderBy(F.desc("n_term")).limit(MOST_SENT).collect()
+    other_size = 1 if len(sizes) < MOST_SENT else sizes[-1]["m"]
+    known = spark.sparkContext.broadcast((n_all, {r["term"]: r["n_term"] for r in frequent}, {r["entity"]: r["m"] for r in sizes}, other_size))
+
+    rows = checkpointed(emit_rows(docs, [text_col], "doc long, entity long, term string, near boolean, around long", pairs))
+    # A document counts once for a class, whatever it holds of it.
+    held = rows.where("term = ''").join(members, "entity").select("group", "doc").distinct().groupBy(F.col("group").alias("entity")).agg(F.count("*").alias("n_entity"))
+    rows = rows.where("term <> ''")
+    classes = rows.join(members, "entity").groupBy(F.col("group").alias("entity"), "term", "doc").agg(F.max("near").alias("near"), F.max(F.struct("near", "around"))["around"].alias("around"))
+    rows = rows.unionByName(classes).groupBy("entity", "term", "around").agg(F.count("*").alias("n"), F.max("near").alias("near"))
+    pairs_left = rows.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.sum(F.when(F.col("near"), 1.0).otherwise(0.5)).alias("k"))
+    alone = alone.unionByName(held)
+    bound = F.log(F.lit(float(doubt))) / F.col("k")
+    share = (F.log(F.lit(float(n_all)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) + bound) / F.log(F.lit(float(n_all)) / F.col("n_entity"))
+    scored = pairs_left.join(alone, "entity").join(terms, "term").where(F.col("n_entity") < n_all)
+    out = checkpointed(scored.withColumn("disclosure", share).where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure", (F.col("disclosure") >= remove).alias("removed"), F.lit(None).cast("long").alias("group")))
+    told = members.join(out.select(F.col("entity").alias("group")).distinct(), "group", "left_semi")
+    return out.unionByName(told.select("entity", F.lit(None).cast("string").alias("term"), F.lit(None).cast("double").alias("disclosure"), F.lit(None).cast("boolean").alias("removed"), "group"))
 
 
 #: Rows of disclosing terms that are sent to all tasks at most; beyond it they reach the texts by a join.
@@ -182,19 +252,23 @@ def find(docs: DataFrame, *, text_col: str = "text", found: DataFrame | None = N
     that have one of the new names are replaced. An empty table gives none.
     """
     found = disclosures(docs, text_col=text_col, **how) if found is None else found
-    rows = found.select("entity", "term", "removed").limit(most_sent + 1).collect()
+    rows = found.select("entity", "term", "removed", "group").limit(most_sent + 1).collect()
     inputs, extra = [text_col], None
     if len(rows) > most_sent:
         docs, extra = _with_terms(docs, text_col, found), "__terms"
         inputs.append(extra)
         rows = []
     known: dict[int, list[tuple[str, bool]]] = {}
+    groups: dict[int, int] = {}
     for r in rows:
-        known.setdefault(r["entity"], []).append((r["term"], r["removed"]))
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+        if r["term"] is None:
+            groups[r["entity"]] = r["group"]
+        else:
+            known.setdefault(r["entity"], []).append((r["term"], r["removed"]))
+    shared = docs.sparkSession.sparkContext.broadcast((known, groups))
 
     def make():
-        terms_of = shared.value
+        terms_of = Terms(*shared.value)
 
         def fn(col, own=None):
             n = [[] for _ in range(4)]
@@ -209,7 +283,7 @@ def find(docs: DataFrame, *, text_col: str = "text", found: DataFrame | None = N
                 if own is not None:
                     terms_of_text: dict = {}
                     for x in own[i] or []:
-                        terms_of_text.setdefault(x["entity"], []).append((x["term"], x["removed"]))
+                        terms_of_text.setdefault(entity(text, base[0]), []).append((x["term"], x["removed"]))
                 else:
                     terms_of_text = terms_of
                 terms = term_spans(text, base, terms_of_text) if base else []
@@ -262,6 +336,9 @@ def _with_terms(docs: DataFrame, text_col: str, found: DataFrame) -> DataFrame:
         return lambda col: [pa.array([xxhash.xxh3_64_intdigest(t) >> 1 for t in texts(col)], pa.int64())]
 
     held = emit_rows(docs, [text_col], "__key long, entity long", make).distinct()
-    terms = held.join(found.select("entity", "term", "removed"), "entity").groupBy("__key").agg(F.collect_list(F.struct("entity", "term", "removed")).alias("__terms"))
+    groups = found.where("term IS NULL").select("entity", "group")
+    held = held.unionByName(held.join(groups, "entity").select("__key", F.col("group").alias("entity"))).distinct()
+    terms = held.join(found.where("term IS NOT NULL").select("entity", "term", "removed"), "entity").groupBy("__key", "term").agg(F.max("removed").alias("removed"))
+    terms = terms.groupBy("__key").agg(F.collect_list(F.struct("term", "removed")).alias("__terms"))
     keyed = append_columns(docs, [text_col], [T.StructField("__key", T.LongType())], hashed)
     return keyed.join(terms, "__key", "left").drop("__key")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF
 
-from millrace.llm import extract, warc
+from millrace.llm import extract, privacy, warc
 
 WORDS = "the quick brown fox jumps over the lazy dog and runs away "
 BODY = [f"{WORDS}{i} {WORDS}" for i in range(4)]
@@ -56,3 +56,23 @@ def test_warc_tells_extra_moved_and_shifted_records(spark):
     assert later == {(38, "lost"), (39, "shifted")}
     assert {r.key for r in warc.audit(rec, stored.withColumn("file", F.lit(1))).collect()} == set(range(40))
     assert warc.audit(rec, stored).isEmpty()
+
+
+PLAIN = [(1000 + i, f"plain words number {chr(97 + i % 26)}{chr(97 + i // 26)} about nothing and to the house for lee today") for i in range(600)]
+
+
+def clean_texts(spark, rows):
+    df = spark.createDataFrame(rows + PLAIN, "doc_id long, text string")
+    found = privacy.disclosures(df)
+    out = {r.doc_id: r.clean for r in privacy.find(df, found=found, sanitised="clean").collect()}
+    joined = {r.doc_id: r.clean for r in privacy.find(df, found=found, sanitised="clean", most_sent=0).collect()}
+    assert out == joined and out[1000] == PLAIN[0][1]
+    return out
+
+
+def test_privacy_of_entities_in_few_documents(spark):
+    out = clean_texts(spark, [(1, "for zorblax write a@b.example"), (2, "the house to zorblax a@b.example")])
+    assert "zorblax" not in out[1] + out[2] and "for" in out[1] and "house" in out[2]
+    # An address and a number that stand together are one person's: what tells the number goes beside the address.
+    rows = [(1, "write a@b.example or +49 30 1234567"), (2, "for quibble +49 30 1234567"), (3, "the quibble to +49 30 1234567"), (4, "quibble about a@b.example")]
+    assert all("quibble" not in x for x in clean_texts(spark, rows).values())
