@@ -32,7 +32,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TERM = re.compile(r"[^\W\d_]{4,}")
+_TERM = re.compile(r"[^\W\d_]+")
 NEAR = 60
 
 Span = tuple[int, int, int]  # start, place in KINDS, end
@@ -170,7 +170,7 @@ def disclosures(docs: DataFrame, *, text_col: str = "text", threshold: float = 0
                 for e, near in held.items():
                     rows.append((at, e, "", True, 0))
                     most = n_all ** (1 - threshold) * sizes.get(e, other_size) ** threshold
-                    rows += [(at, e, w, w in near, near.get(w, whole)) for w in near if frequent.get(w, 0) <= most]
+                    rows += [(at, e, w, w in near, near.get(w, whole)) for w in each if frequent.get(w, 0) <= most]
                     if len(rows) > 100_000:
                         yield flush()
             if rows:

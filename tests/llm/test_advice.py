@@ -76,3 +76,10 @@ def test_privacy_of_entities_in_few_documents(spark):
     # An address and a number that stand together are one person's: what tells the number goes beside the address.
     rows = [(1, "write a@b.example or +49 30 1234567"), (2, "for quibble +49 30 1234567"), (3, "the quibble to +49 30 1234567"), (4, "quibble about a@b.example")]
     assert all("quibble" not in x for x in clean_texts(spark, rows).values())
+
+
+def test_privacy_of_terms_far_off_short_and_at_the_edge(spark):
+    gap = " ".join(["and to the house for nothing about"] * 4)
+    rows = [(i, f"Zorblax is here {gap} {i} a@b.example") for i in range(6)] + [(10 + i, f"{'to the' * i} Xan c@d.example") for i in range(3)] + [(20, "Marlowe\nq@r.example"), (21, "q@r.example\nmarlowe")]
+    out = clean_texts(spark, rows)
+    assert all(x not in " ".join(out.values()).lower() for x in ("zorblax", "xan", "marlowe")) and "house" in out[0]
