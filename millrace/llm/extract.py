@@ -210,7 +210,8 @@ def weigh(tokens: Tokens, weights: dict[str, float]) -> tuple[list[float], list[
             if tokens.marked:
                 base += weights.get("m in" if inside else "m out", 0.0)
         stays.append(part[2] and not (hints and base <= 0))
-        out.append((base if stays[-1] else 0.1 * min(0.0, base) - 0.2) * size)
+        # What a hint leaves out separates no more than unknown boilerplate.
+        out.append((base if stays[-1] else 0.1 * min(0.0, max(base, -1.0) if hints else base) - 0.2) * size)
     return out, stays
 
 
