@@ -25,7 +25,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return fingerprints.compare_edited(docs).withColumnRenamed("k", "doc_id")
+    return fingerprints.compare_edited(docs).withColumnRenamed("id", "doc_id")
 
 
 def op3_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,20 +25,5 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-@contextmanager
-def joins_keep_partitions(spark: SparkSession) -> Iterator[None]:
-    """Within it, a join of sides that are dealt out alike by some of its keys shuffles neither."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    former = spark.conf.get(name, None)
-    spark.conf.set(name, "false")
-    try:
-        yield
-    finally:
-        if former is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, former)
-
-
 def unique_name(prefix: str) -> str:
     return f"__{prefix}_{uuid.uuid4().hex[:8]}"

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from millrace.llm import classlm, extract, fingerprints, graph, mixing, neardup, pieces, privacy, quality, queries, vectors, warc
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+FINGERPRINT_NAMES = ["lacks", "times", "first_h", "part", "ord", "after", "head", "own", "other", "edited", "x", "kind", "word", "term", "a", "b", "c"]
 LONG = "".join(f"w{i} " for i in range(20000))
 CLASH = ["score", "kept", "spans", "copies", "n_tokens", "pieces", "component", "key", "id", "h", "n", "k", "domain", "__id", "quality", "rep", "band"]
 ROWS = [
@@ -75,11 +76,22 @@ def test_fingerprints(spark, odd, docs):
     assert len(out) == len(ids) and abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.12
     assert all(len(x) == 1 for x in by_text.values())
     some = fingerprints.compare_edited(odd).collect()
-    assert len(some) == len(ROWS) and len({r.fingerprint for r in some if r.k in (1, 5)}) == 1
-    assert {r.fingerprint for r in some if r.k in (2, 3, 8)} == {"empty"}
+    assert len(some) == len(ROWS) and len({r.fingerprint for r in some if r.id in (1, 5)}) == 1
+    assert {r.fingerprint for r in some if r.id in (2, 3, 8)} == {"empty"}
     assert fingerprints.compare_edited(odd.limit(0)).count() == 0
     (only,) = fingerprints.compare_edited(odd.where("doc_id = 4")).collect()
     assert only.near_next == 1.0
+    # Nulls and the least id, ids of several texts, and parts of a few characters, against brute force.
+    rows = [(-(2**63), "least of all"), (None, "no id at all"), (None, "nor here, by and by")] + [(i // 2, " ".join(f"w{(i * j) % 7}" for j in range(i % 9)) or None) for i in range(30)] + [(3, "three"), (3, "three")]
+    hashed = {r.t: r.h for r in spark.createDataFrame([(t or "",) for _, t in rows], "t string").selectExpr("t", "xxhash64(t) AS h").collect()}
+    order, want = sorted({-(2**63) if i is None else i for i, _ in rows}), Counter()
+    first = {k: min((t or "" for i, t in rows if (-(2**63) if i is None else i) == k), key=hashed.get) for k in order}
+    for i, t in rows:
+        t, after = t or "", first[order[(order.index(-(2**63) if i is None else i) + 1) % len(order)]]
+        want[i, len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()] += 1
+    got = fingerprints.compare_edited(spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in CLASH + FINGERPRINT_NAMES}), part=20).collect()
+    assert Counter((r.id, r.n_chars, r.edited_sha256) for r in got) == want
+    assert {(r.fingerprint, r.edited_fingerprint == r.fingerprint) for r in got if r.n_chars == 0} == {("empty", True)}
 
 
 def test_privacy_finds_planted_terms(spark, odd):
