@@ -1,14 +1,20 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Three machines are compiled from a model file: the normaliser (white space to its sign, the leading sign, runs made
-one where the model asks for it), the pieces, and byte fallback for characters that no piece covers. Composed with an
-input they give a lattice whose arcs are pieces; its shortest path in the tropical semiring is the encoding.
-
-* For a unigram model an arc weighs the negated score of its piece.
-* For a BPE model a piece's score is the rank of a merge, and sums of ranks do not give the merges' result. There the
-  composition holds one more machine, which remembers the last piece: its arc from piece ``a`` to ``b`` weighs 0 if
-  merging the text ``ab`` ends in exactly ``a b``, and infinity otherwise. A sequence of pieces is the result of the
-  merges if and only if all its neighbours are such pairs, so exactly one path is finite and it is the encoding.
+Machines are compiled from a model file:
+
+* the normaliser: the character map, leftmost and longest matches first, then white space (its sign, the leading sign,
+  runs made one where the model asks for it). It is deterministic, so its composition with an input is one text;
+* the pieces: a trie that reads characters, and on its way back to the root writes the piece for the piece's weight;
+* fallback: from the root a character that is no piece is read whole, and written as its bytes' pieces or as unknown;
+* neighbours, for BPE models alone. There a piece's score is the rank of a merge, and sums of ranks do not give the
+  merges' result. This machine remembers the last piece: its arc from ``a`` to ``b`` weighs 0 if merging the text ``ab``
+  ends in exactly ``a b``, and infinity otherwise. A sequence of pieces is the result of the merges if and only if all
+  its neighbours are such pairs, so exactly one path is finite and it is the encoding. For a unigram model an arc of the
+  pieces weighs the negated score of its piece.
+
+Composed with an input they give a lattice, whose shortest path in the tropical semiring is the encoding.
+``Transducer.machine`` is that composition as such; ``Transducer.shortest`` relaxes the same arcs, found by the last two
+characters that they read.
 """
 
 from __future__ import annotations
@@ -26,9 +32,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from millrace.llm.arrow import append_columns, texts
+from millrace.llm.fst import INF, Machine, compose, shortest_path
 
 SIGN = "▁"
-NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
+# Kinds of pieces in a model file.
+NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+
+
+class CharacterMap:
+    """The normaliser's map of characters: a transducer whose states are those of a model file's double-array trie."""
+
+    def __init__(self, blob: bytes):
+        size = int(np.frombuffer(blob[:4], "<u4")[0])
+        self.units, self.said = np.frombuffer(blob[4 : 4 + size], "<u4").tolist(), blob[4 + size :]
+        seven = range(1, 128)
+        #: ASCII characters that begin a match of ASCII characters alone.
+        self.lively = {chr(c) for c in seven if (at := self.step(self.root, c)) is not None and (self.units[at] >> 8 & 1 or any(self.step(at, d) is not None for d in seven))}
+
+    root = 0
+
+    def step(self, state: int, byte: int) -> int | None:
+        """The state that a byte leads to."""
+        to = state ^ _offset(self.units[state]) ^ byte
+        return to if to < len(self.units) and self.units[to] & 0x800000FF == byte else None
+
+    def apply(self, text: str) -> str:
+        """The text with the longest match at each place replaced; what none matches stays."""
+        if text.isascii() and self.lively.isdisjoint(text):
+            return text
+        data, out, i = text.encode(), bytearray(), 0
+        while i < len(data):
+            state, at, found, end = self.root, i, -1, i
+            while at < len(data) and (state := self.step(state, data[at])) is not None:
+                at += 1
+                if self.units[state] >> 8 & 1:
+                    found, end = self.units[state ^ _offset(self.units[state])] & 0x7FFFFFFF, at
+            if found >= 0:
+                out += self.said[found : self.said.index(0, found)]
+            else:
+                end = i + 1
+                while end < len(data) and data[end] & 0xC0 == 0x80:
+                    end += 1
+                out += data[i:end]
+            i = end
+        return out.decode()
+
+
+def _offset(unit: int) -> int:
+    return unit >> 10 << ((unit & 512) >> 6)
 
 
 def _fields(data: bytes):
@@ -63,7 +114,8 @@ class Transducer:
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.types: list[int] = []
-        kind, self.prefix, self.squeeze, self.escape, charsmap = 1, True, True, True, b""
+        kind, suffix, charsmap = 1, False, b""
+        self.prefix, self.squeeze, self.escape = True, True, True
         for number, value in _fields(model):
             if number == 1:
                 piece = dict(_fields(value))
@@ -71,20 +123,26 @@ class Transducer:
                 self.scores.append(float(np.frombuffer(piece.get(2, b"\0\0\0\0"), "<f4")[0]))
                 self.types.append(piece.get(3, NORMAL))
             elif number == 2:
-                kind = dict(_fields(value)).get(3, 1)
+                spec = dict(_fields(value))
+                kind, suffix = spec.get(3, kind), bool(spec.get(24, suffix))
             elif number == 3:
                 spec = dict(_fields(value))
-                charsmap = spec.get(2, b"")
-                self.prefix, self.squeeze, self.escape = bool(spec.get(3, 1)), bool(spec.get(4, 1)), bool(spec.get(5, 1))
-        if kind not in (1, 2) or charsmap:
-            raise ValueError("only unigram and BPE models without a character map can be compiled")
+                charsmap = spec.get(2, charsmap)
+                self.prefix, self.squeeze, self.escape = bool(spec.get(3, self.prefix)), bool(spec.get(4, self.squeeze)), bool(spec.get(5, self.escape))
+        if kind not in (1, 2) or suffix or UNUSED in self.types:
+            raise ValueError("only unigram and BPE models that put white space first and use all their pieces can be compiled")
+        self.map = CharacterMap(charsmap) if charsmap else None
         self.bpe = kind == 2
         self.unknown = self.types.index(UNKNOWN) if UNKNOWN in self.types else 0
         self.bytes = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t == BYTE}
         self.ids = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t in (NORMAL, USER)}
         self.longest = max(map(len, self.ids), default=1)
         self.least = min((s for s, t in zip(self.scores, self.types) if t == NORMAL), default=0.0) - 10.0
-        joined = any(re.search(f"[^{SIGN}]{SIGN}", p) for p in self.ids)
+        self.most = max((s for s, t in zip(self.scores, self.types) if t == NORMAL), default=0.0)
+        own = sorted((p for p, t in zip(self.pieces, self.types) if t == USER), key=len, reverse=True)
+        #: The user's own symbols: a BPE model's merges don't cross them, and no model's normaliser touches them.
+        self.user = re.compile("(" + "|".join(map(re.escape, own)) + ")") if own else None
+        joined = own or any(re.search(f"[^{SIGN}]{SIGN}", p) for p in self.ids)
         inner = {c for p in self.ids if len(p) > 1 for c in p}
         apart = "".join(re.escape(c) for c in "\n\t\r" if c not in inner)
         # No piece spans these cuts, so the shortest paths of the parts make up that of the whole.
@@ -102,6 +160,9 @@ class Transducer:
         self.known: dict[str, bytes] = {}
 
     def normalise(self, text: str) -> str:
+        if self.map:
+            kept = self.user.split(text) if self.user else [text]
+            text = "".join(x if i % 2 else self.map.apply(x) for i, x in enumerate(kept))
         if self.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
         if not text:
@@ -109,6 +170,55 @@ class Transducer:
         text = " " + text if self.prefix else text
         return text.replace(" ", SIGN) if self.escape else text
 
+    def weight(self, piece: str) -> float:
+        """The weight of a piece's arc, or of the fallback's for a character."""
+        k = self.ids.get(piece)
+        if self.bpe:
+            return 0.0
+        return -self.least if k is None else 0.1 - len(piece.encode()) * self.most if self.types[k] == USER else -self.scores[k]
+
+    def spelt(self, piece: str) -> tuple[int, ...]:
+        """The ids that an arc writes: the piece's, its bytes', or unknown."""
+        k = self.ids.get(piece)
+        return (k,) if k is not None else tuple(self.bytes[b] for b in piece.encode()) if self.bytes else (self.unknown,)
+
+    def machine(self) -> Machine:
+        """Pieces and fallback, composed with neighbours for a BPE model, composed with the ids that each piece writes."""
+        children: list[dict[str, int]] = [{}]
+        ends: dict[int, str] = {}
+        for p in self.ids:
+            at = 0
+            for c in p:
+                at = children[at].setdefault(c, len(children))
+                if at == len(children):
+                    children.append({})
+            ends[at] = p
+
+        def read(at, c):
+            if c is None:
+                if at in ends:
+                    yield ends[at], self.weight(ends[at]), 0
+                return
+            if c in children[at]:
+                yield None, 0.0, children[at][c]
+            if at == 0 and c not in self.ids:
+                yield c, self.weight(c), 0
+
+        def beside(last, piece):
+            if piece is not None and (self.pairs[last].get(piece) or piece not in self.pairs[last] and self.neighbours(last, piece)):
+                yield piece, 0.0, piece
+
+        spell = Machine(0, lambda s, piece: [(self.spelt(piece), 0.0, 0)] if piece is not None else [], lambda s: 0.0)
+        pieces = Machine(0, read, lambda s: 0.0 if s == 0 else INF)
+        return compose(compose(pieces, Machine("", beside, lambda s: 0.0)), spell) if self.bpe else compose(pieces, spell)
+
+    def path(self, text: str) -> list[tuple[int, ...]]:
+        """What the composition writes for a normalised text along its shortest path: the plain way, slow."""
+        found = shortest_path(self.machine(), text)
+        if found is None:
+            raise ValueError("no path reads the text")
+        return found[1]
+
     def merge(self, text: str) -> list[str]:
         """The result of merging the characters of a short text by rank; of equal ranks the leftmost first."""
         parts, ids, scores = list(text), self.ids, self.scores
@@ -133,11 +243,16 @@ class Transducer:
         return found
 
     def shortest(self, text: str) -> list[str]:
-        """The pieces, and characters without a piece, along the shortest path through the lattice of a text."""
-        n, ids, longest = len(text), self.ids, self.longest
-        last = [""] * (n + 1)
+        """The pieces, and characters without one, along the shortest path through the lattice of a text.
+
+        Positions are relaxed in order, each by the arcs that end there. Weights of a BPE model's arcs are 0 or infinite,
+        so the first finite one is the least and ends the search; the state of neighbours is the last piece, of which
+        each position has one that is reached.
+        """
+        n, ids = len(text), self.ids
+        last, lengths = [""] * (n + 1), self.lengths
         if self.bpe:
-            pairs, lengths = self.pairs, self.lengths
+            pairs = self.pairs
             for i in range(1, n + 1):
                 for size in lengths.get(text[i - 2 : i], ()) if i > 1 else ():
                     if size > i:
@@ -152,16 +267,15 @@ class Transducer:
                 else:
                     last[i] = text[i - 1]
         else:
-            far = [0.0] + [float("inf")] * n
+            far = [0.0] + [INF] * n
             for i in range(1, n + 1):
-                for j in range(max(0, i - longest), i):
-                    arc = text[j:i]
-                    k = ids.get(arc)
-                    if k is None and j < i - 1:
-                        continue
-                    cost = far[j] - (self.least if k is None else 0.1 * len(arc) if self.types[k] == USER else self.scores[k])
-                    if cost < far[i]:
-                        far[i], last[i] = cost, arc
+                # From the longest arc to the shortest: of equal paths the one whose last piece begins first stays.
+                for size in (*(lengths.get(text[i - 2 : i], ()) if i > 1 else ()), 1):
+                    arc = text[i - size : i] if size <= i else ""
+                    if size == 1 or arc in ids:
+                        cost = far[i - size] + self.weight(arc)
+                        if cost < far[i]:
+                            far[i], last[i] = cost, arc
         out, i = [], n
         while i:
             out.append(last[i])
@@ -170,14 +284,11 @@ class Transducer:
 
     def part(self, text: str) -> list[int]:
         out: list[int] = []
-        for piece in self.shortest(text):
-            k = self.ids.get(piece)
-            if k is not None:
-                out.append(k)
-            elif self.bytes:
-                out += [self.bytes[b] for b in piece.encode()]
-            elif not out or out[-1] != self.unknown:
-                out.append(self.unknown)
+        for i, frozen in enumerate(self.user.split(text) if self.user and self.bpe else [text]):
+            for piece in [frozen] if i % 2 else self.shortest(frozen):
+                ids = self.spelt(piece)
+                if ids != (self.unknown,) or not out or out[-1] != self.unknown:  # a run of unknown characters is one
+                    out += ids
         return out
 
     def packed(self, text: str) -> bytes:
@@ -225,7 +336,8 @@ def load(path: str, most_bytes: int = 64_000_000) -> bytes:
 def encode(docs: DataFrame, model: bytes, *, text_col: str = "text", into: str = "pieces") -> DataFrame:
     """``docs`` with the ids of each whole text in ``into``, an array (a column of that name is replaced).
 
-    A null text counts as empty and has no ids.
+    A null text counts as empty and has no ids. Equal texts have equal ids, repeated rows stay, long texts are taken whole,
+    other columns of any name pass through, and an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -237,7 +349,8 @@ def encode(docs: DataFrame, model: bytes, *, text_col: str = "text", into: str =
 
 
 def decode(rows: DataFrame, model: bytes, *, ids_col: str = "pieces", into: str = "text") -> DataFrame:
-    """``rows`` with the text of the ids in ``into``; null ids make the empty text."""
+    """``rows`` with the text of the ids in ``into`` (a column of that name is replaced); null and no ids make the empty text.
+    Repeated rows stay, lists of any length are taken whole, and an empty table gives none."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -251,7 +364,8 @@ def digest(docs: DataFrame, model: bytes, *, text_col: str = "text") -> DataFram
     """``docs`` with the count and digest of each whole text's ids, and of the text decoded from them.
 
     ``ids_sha256`` is of the ids as little-endian 32-bit integers. ``exact`` tells whether decoding gives the text back,
-    which fails only for texts that hold the white-space sign itself.
+    which fails only for texts that hold the white-space sign itself, or that the model's normaliser changes. A null text is
+    empty; repeated rows stay, long texts are taken whole, columns of the new names are replaced, an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
