@@ -1,9 +1,11 @@
 """HTML extraction: the maximum-scoring subsequence of a page's words and tags.
 
-Words and tags are one sequence. Each token has a weight learned from labelled pages: the log-odds that a token of
-its kind lies within the main text; names that hint at boilerplate, and marks of the main element, have learned weights
-too. A linear scan finds the contiguous region of the largest sum; the blocks of text in it, but for those in boilerplate
-elements or under a hint that outweighs their words, are the main text.
+Words and tags are one sequence. Each token has a weight learned from labelled pages: the log-odds that a token of its
+kind lies within the main text. A word's kind is its holder's; the elements around it (their tags where HTML gives them a
+meaning, their classes, ids and roles) have learned weights too, and so have the marks of a main element. A linear scan
+finds the contiguous region of the largest sum; the blocks of text in it whose own weight is positive are the main text.
+Only what is never text (scripts, forms, hidden elements and the like) is left out whatever the weights say. What no
+labelled page has starts from the weights in ``PRIOR`` and ``HINTED``.
 """
 
 from __future__ import annotations
@@ -46,45 +48,49 @@ _CLOSES_P = frozenset("address article aside blockquote center details dialog di
 _SCOPED = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 
-def _boilerplate(tag: str, attrs: str, inside: bool) -> tuple[str, tuple[str, bool] | None]:
-    """The kind of boilerplate that an element opens, or nothing, and the class or id that hints at some: its name and
-    whether all of it is a hint. A header within the main text belongs to it."""
+def _names(tag: str, attrs: str, inside: bool) -> list[str] | None:
+    """The features of an element that text within it has: ``e`` its tag if that speaks of an edge of the page, ``r`` a
+    role, ``n`` a whole class or id, ``p`` a part of one that is presumed to hint at boilerplate. Nothing for elements that
+    are never text. A header within a marked main text belongs to it."""
     if tag in SILENT:
-        return "silent", None
-    if tag in EDGES and not (inside and tag == "header"):
-        return tag, None
-    hint = None
-    if tag in ("html", "body") or not attrs or tag in MAIN:
-        return "", None
-    for name, a, b, c in _ATTR.findall(attrs):
+        return None
+    if tag in ("html", "body"):
+        return []
+    names = [f"h e:{tag}"] if tag in EDGES and not (inside and tag == "header") else []
+    for name, a, b, c in _ATTR.findall(attrs) if attrs else ():
         name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id"):
+        if name in ("class", "id") and tag not in MAIN:
             for word in re.findall(r"[a-z0-9]+(?:-[a-z0-9]+)*", re.sub(r"_+", "-", value)):
-                if word in HINTS:
-                    hint = hint if hint and hint[1] else (word, True)
-                elif any(x in HINTS for x in word.split("-")) and tag not in INLINE:
-                    hint = hint or (word, False)
-        elif name == "role" and value in ROLES:
-            return "role", None
+                names.append(f"h n:{word}")
+                if word not in HINTS and tag not in INLINE:
+                    names += [f"h p:{x}" for x in word.split("-") if x in HINTS]
+        elif name == "role" and tag not in MAIN:
+            names.append(f"h r:{value}")
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return "silent", None
-    return "", hint
+            return None
+    return names
+
+
+def presumed(name: str) -> float:
+    """The weight of a feature that no labelled page has."""
+    kind, word = name[2], name[4:]
+    return HINTED["p" if kind == "p" else "n"] if kind in "ep" or word in (ROLES if kind == "r" else HINTS) else 0.0
 
 
 class Tokens:
-    """A page's tokens: for each, its kind, how many words it has, the hints of boilerplate that it stands under, and for
-    text the block, the text and whether it can be main text at all. ``marked`` tells whether marked elements hold most
-    of the page's words: a card in an article element marks nothing."""
+    """A page's tokens: for each, its kind, how many words it has, the features of the elements around it, and for text the
+    block, the text and whether it can be main text at all. ``marked`` tells whether marked elements hold most of the
+    page's words: a card in an article element marks nothing."""
 
     def __init__(self, html: str):
         self.kinds: list[str] = []
         self.sizes: list[int] = []
         self.parts: list[tuple[int, str, bool] | None] = []
         self.where: list[bool] = []
-        self.hints: list[tuple[int, ...]] = []
-        # Elements whose class or id hints at boilerplate.
-        hinted: list[tuple[str, bool]] = []
-        # Open elements: tag, kind of boilerplate so far, within a marked element, nearest block, within a link, hints.
+        self.hints: list[tuple] = []
+        # The features of elements that have some.
+        hinted: list[list[str]] = []
+        # Open elements: tag, silent or not, within a marked element, nearest block, within a link, elements with features.
         stack: list[tuple[str, str, bool, str, bool, tuple[int, ...]]] = []
         opened: dict[str, int] = defaultdict(int)
         block, top = 0, ("", "", False, "body", False, ())
@@ -124,32 +130,35 @@ class Tokens:
                     inside = True
                 if tag not in VOID and not attrs.endswith("/"):
                     if not kind:
-                        kind, hint = _boilerplate(tag, attrs, inside)
-                        if hint:
+                        names = _names(tag, attrs, inside)
+                        if names is None:
+                            kind = "silent"
+                        elif names:
                             hints = (*hints, len(hinted))
-                            hinted.append(hint)
+                            hinted.append(names)
                     stack.append((tag, kind, inside, holder if tag in INLINE else tag, linked or tag == "a", hints))
                     opened[tag] += 1
         self._judge(hinted)
 
-    def _judge(self, hinted: list[tuple[str, bool]]) -> None:
-        """Tells whether the page's marks hold most of its words, and turns hints into their names. An element that
-        holds most marked words of such a page, or that has a hint in a part of a name alone and most words of any page,
-        is a wrapper: its hint says nothing."""
+    def _judge(self, hinted: list[list[str]]) -> None:
+        """Tells whether the page's marks hold most of its words, and turns elements into their features. An element that
+        holds most marked words of such a page is a wrapper: it says nothing. So is one that holds most words of any page,
+        for the features that aren't presumed to speak of an edge or of boilerplate by their whole name."""
+        sure = [[n for n in names if n[2] != "p" and presumed(n) < 0] for names in hinted]
         words, marked = [0] * len(hinted), [0] * len(hinted)
         every = rest = within = 0
         for size, part, inside, hints in zip(self.sizes, self.parts, self.where, self.hints):
             if part is None or not part[2]:
                 continue
             every += size
-            rest += size * (inside or not any(hinted[h][1] for h in hints))
+            rest += size * (inside or not any(sure[h] for h in hints))
             within += size * inside
             for h in hints:
                 words[h] += size
                 marked[h] += size * inside
         self.marked = 2 * within > rest
-        names = [None if self.marked and 2 * marked[h] > within or not exact and 2 * words[h] > every else ("h " if exact else "h -") + name for h, (name, exact) in enumerate(hinted)]
-        self.hints = [tuple(names[h] for h in hints if names[h]) for hints in self.hints]
+        names = [[] if self.marked and 2 * marked[h] > within else sure[h] if 2 * words[h] > every else hinted[h] for h in range(len(hinted))]
+        self.hints = [tuple(dict.fromkeys(n for h in hints for n in names[h])) for hints in self.hints]
 
     def _add(self, kind: str, size: int, part, inside: bool, hints: tuple = ()) -> None:
         self.hints.append(hints)
@@ -179,39 +188,33 @@ class Tokens:
                         break
 
 
-#: Weights of kinds that no labelled page has.
-UNSEEN = {"p": 1.5, "h1": 1.0, "h2": 1.0, "h3": 1.0, "h4": 1.0, "blockquote": 1.0, "pre": 1.0, "li": 0.5, "td": 0.5, "dd": 0.5, "div": 0.5, "section": 0.5, "article": 1.5, "main": 1.0, "body": 0.3, "html": 0.3}
+#: Weights to start from: of the words of holders that no labelled page has, of tags, and of features that are presumed
+#: to hint at boilerplate, by a part of a name and by a whole one.
+PRIOR = {"p": 1.5, "h1": 1.0, "h2": 1.0, "h3": 1.0, "h4": 1.0, "blockquote": 1.0, "pre": 1.0, "li": 0.5, "td": 0.5, "dd": 0.5, "div": 0.5, "section": 0.5, "article": 1.5, "main": 1.0, "body": 0.3, "html": 0.3}
 TAG = -0.2
-
-
-#: Weights of hints that no labelled page has: of a name's part, and of a whole name.
-HINTED = -2.0, -8.0
+HINTED = {"p": -2.0, "n": -8.0}
 
 
 def weigh(tokens: Tokens, weights: dict[str, float]) -> tuple[list[float], list[bool]]:
     """A weight for each token, and whether it is text that stays if it lies in the region. The weight of a word is the
-    sum of its holder's, its strongest hint's, and, in a page that marks its main text, that of standing in or out of the
-    mark; tags are negative. Boilerplate, and text that its hint makes negative, is left out and separates weakly."""
+    sum of its holder's, that of the element around it that speaks strongest against it, and, in a page that marks its
+    main text, that of standing in or out of the mark; tags are negative. Text of a negative weight is left out and
+    separates weakly, as what is never text does."""
     out, stays = [], []
     for kind, size, part, inside, hints in zip(tokens.kinds, tokens.sizes, tokens.parts, tokens.where, tokens.hints):
         if part is None:
             out.append(min(weights.get(kind, TAG), -0.01))
             stays.append(False)
             continue
-        base = weights.get(kind)
-        if not part[2]:
-            base = -1.0 if base is None else base
-        else:
-            if base is None:
-                holder, _, link = kind[2:].partition(" ")
-                base = UNSEEN.get(holder, 0.3) - (1.5 if link else 0.0)
-            if hints:
-                base += min(weights.get(h, HINTED[h[2] != "-"]) for h in hints)
+        base = -1.0
+        if part[2]:
+            holder, _, link = kind[2:].partition(" ")
+            base = weights.get(kind, PRIOR.get(holder, 0.3) - (1.5 if link else 0.0))
+            base += min((weights.get(h, presumed(h)) for h in hints), default=0.0)
             if tokens.marked:
                 base += weights.get("m in" if inside else "m out", 0.0)
-        stays.append(part[2] and not (hints and base <= 0))
-        # What a hint leaves out separates no more than unknown boilerplate.
-        out.append((base if stays[-1] else 0.1 * min(0.0, max(base, -1.0) if hints else base) - 0.2) * size)
+        stays.append(part[2] and base > 0)
+        out.append((base if stays[-1] else 0.1 * max(min(base, 0.0), -1.0) - 0.2) * size)
     return out, stays
 
 
@@ -240,13 +243,47 @@ def main_text(html: str, weights: dict[str, float]) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def learn(pages: DataFrame, *, html_col: str = "html", key_col: str = "page_id", most: int = 2000) -> dict[str, float]:
+def labels(tokens: Tokens) -> Iterable[tuple[str, int, bool]]:
+    """What a labelled page teaches: kinds and features, how many words, and whether these are main text. Words under a
+    feature that is presumed to hint at boilerplate teach that feature alone."""
+    for kind, size, inside, hints in zip(tokens.kinds, tokens.sizes, tokens.where, tokens.hints):
+        for name in hints:
+            yield name, size, inside
+        if not any(presumed(h) for h in hints):
+            yield kind, size, inside
+
+
+def agreement(tokens: Tokens, weights: dict[str, float]) -> Iterable[tuple[str, int, bool]]:
+    """What a labelled page teaches of its marks: whether text in and out of them is what the other weights choose."""
+    tokens.marked = False
+    values, stays = weigh(tokens, weights)
+    lo, hi = best_region(values)
+    for at, (size, part, inside) in enumerate(zip(tokens.sizes, tokens.parts, tokens.where)):
+        if part is not None:
+            yield "m in" if inside else "m out", size, lo <= at < hi and stays[at]
+
+
+#: The least and the largest weight, and the scale of log-odds, of tags, words, features, and marks.
+LIMITS = {"t": (-0.8, 0.8, 0.2), "w": (-4.0, 4.0, 1.0), "h": (-12.0, 0.0, 1.0), "m": (-4.0, 4.0, 1.0)}
+
+
+def as_weights(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
+    """Log-odds of the words of each kind that are main text to those that are not, within limits."""
+    out = {}
+    for kind, (inside, outside) in counts.items():
+        least, most, scale = LIMITS[kind[0]]
+        out[kind] = max(least, min(most, scale * math.log((inside + 0.5) / (outside + 0.5))))
+    return out
+
+
+def learn(pages: DataFrame, *, html_col: str = "html", key_col: str = "page_id", most: int = 2000, kinds: int = 20_000) -> dict[str, float]:
     """Weights by kind of token from labelled pages: those whose marked elements hold most of their words. Their extent is
     the label of words, tags and hints. The mark's own weight comes from how often it agrees with the region that these
     choose without it.
 
-    Those of the ``most`` smallest hashed keys are used; their counts by kind, of which there are as many as kinds of
-    elements and names that hint at boilerplate, come to the driver.
+    Those of the ``most`` smallest hashed keys are used; their counts by kind come to the driver, of the ``kinds`` that hold
+    most words, for a page may invent any name. Null and repeated pages are samples like others; without any marked page
+    there are no weights.
     """
     marked = pages.where(F.col(html_col).rlike("(?i)<(article|main)[\\s>]")).select(F.xxhash64(F.col(key_col)).alias("__h"), F.col(html_col).alias("__html"))
     # Only hashes are sorted; the pages are then read by the largest of them.
@@ -268,35 +305,18 @@ def learn(pages: DataFrame, *, html_col: str = "html", key_col: str = "page_id",
 
             return fn
 
-        rows = emit_rows(sample, ["__html"], "kind string, outside long, inside long", make).groupBy("kind").agg(F.sum("outside").alias("o"), F.sum("inside").alias("i")).collect()
+        rows = emit_rows(sample, ["__html"], "kind string, outside long, inside long", make).groupBy("kind").agg(F.sum("outside").alias("o"), F.sum("inside").alias("i")).orderBy(F.desc(F.col("o") + F.col("i")), "kind").limit(kinds).collect()
         return {r["kind"]: (r["i"], r["o"]) for r in rows}
 
-    def labels(t: Tokens):
-        for kind, size, inside, hints in zip(t.kinds, t.sizes, t.where, t.hints):
-            for name in set(hints) or (kind,):
-                yield name, size, inside
-
-    limits = {"t": (-0.8, 0.8, 0.2), "w": (-4.0, 4.0, 1.0), "h": (-12.0, 0.0, 1.0)}
-    weights = {}
-    for kind, (i, o) in counted(labels).items():
-        least, largest, scale = limits[kind[0]]
-        weights[kind] = max(least, min(largest, scale * math.log((i + 0.5) / (o + 0.5))))
-
-    def agreement(t: Tokens):
-        t.marked = False
-        values, stays = weigh(t, weights)
-        lo, hi = best_region(values)
-        for at, (size, part, inside) in enumerate(zip(t.sizes, t.parts, t.where)):
-            if part is not None:
-                yield "m in" if inside else "m out", size, lo <= at < hi and stays[at]
-
-    return weights | {kind: max(-4.0, min(4.0, math.log((i + 0.5) / (o + 0.5)))) for kind, (i, o) in counted(agreement).items()}
+    weights = as_weights(counted(labels))
+    return weights | as_weights(counted(lambda t: agreement(t, weights)))
 
 
 def extract(pages: DataFrame, weights: dict[str, float], *, html_col: str = "html", into: str = "text") -> DataFrame:
     """``pages`` with the main text of each whole page in ``into`` (a column of that name is replaced).
 
-    A page that is null or empty, or has no region of positive weight, has the empty text.
+    A page that is null or empty, or has no region of positive weight, has the empty text. Pages of any length are taken
+    whole, repeated rows stay, other columns of any name pass through, and an empty table gives none.
     """
 
     def make():

@@ -126,6 +126,91 @@ def test_unigram_path_is_the_cheapest():
     assert t.encode("xx") == [1, 0] and t.decode(t.encode("ab")) == "ab"
 
 
+def test_machines_composed_by_hand():
+    from millrace.llm.fst import INF, Machine, compose, shortest_path
+
+    # Reads a and b; b may be written as x for 1 or as y for 3, which the second machine makes dear and cheap.
+    first = Machine(0, lambda s, c: [("x", 1.0, 0), ("y", 3.0, 0)] if c == "b" else [(None, 0.5, 0)] if c == "a" else [], lambda s: 0.0)
+    second = Machine(0, lambda s, c: {"x": [(1, 4.0, 0)], "y": [(2, 0.25, 1)]}.get(c, []), lambda s: 0.0 if s else INF)
+    assert shortest_path(compose(first, second), "ab") == (3.75, [2]) and shortest_path(first, "ab") == (1.5, ["x"])
+    assert shortest_path(compose(first, second), "a") is None and shortest_path(first, "c") is None
+    # Arcs that read nothing: the shorter way over two of them.
+    silent = Machine(0, lambda s, c: {(0, None): [("p", 5.0, 2), ("q", 1.0, 1)], (1, None): [("r", 1.0, 2)]}.get((s, c), []), lambda s: 0.0 if s == 2 else INF)
+    assert shortest_path(silent, "") == (2.0, ["q", "r"])
+
+
+def test_shortest_is_the_path_of_the_composition():
+    t = pieces.Transducer(pieces.load(MODEL))
+    rng = random.Random(5)
+    for x in ["Hello world", "stra\u00dfe \u65e5\u672c\u8a9e \u203d", "  a  b ", "aaaa"] + ["".join(rng.choice("aehinrst \u203d") for _ in range(14)) for _ in range(20)]:
+        text = t.normalise(x)
+        assert [i for ids in t.path(text) for i in ids] == t.encode(x)
+
+
+def _varint(n):
+    return bytes([n & 127 | 128]) + _varint(n >> 7) if n > 127 else bytes([n])
+
+
+def test_pieces_with_a_character_map():
+    import sentencepiece
+
+    spec = next(v for k, v in pieces._fields(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()) if k == 3)
+    blob = dict(pieces._fields(spec))[2]
+    body = b"\x12" + _varint(len(blob)) + blob
+    model = pieces.load(MODEL) + b"\x1a" + _varint(len(body)) + body
+    sp, t, rng = sentencepiece.SentencePieceProcessor(model_proto=model), pieces.Transducer(model), random.Random(7)
+    letters = "a\ufb01\u2460 \u0301e\u3000\t\u00bdX\uff21\u00e9\u306f\u200d\u3099"
+    for x in ["", "\ufb01ne \u2460 \u33a5 \uff21\uff42\uff43\u3000x", "a\u200bb\tc\nd", "plain"] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(300)]:
+        assert t.encode(x) == sp.encode(x), x
+
+
+def test_user_symbols_stay_whole():
+    import sentencepiece
+
+    own = b"\x0a" + _varint(4) + b"<ab>" + b"\x15" + np.float32(0).tobytes() + bytes([3 << 3, 4])
+    model = pieces.load(MODEL) + b"\x0a" + _varint(len(own)) + own
+    sp, t = sentencepiece.SentencePieceProcessor(model_proto=model), pieces.Transducer(model)
+    for x in ["an <ab> is<ab><ab>here", "<ab", "x <ab>"]:
+        assert t.encode(x) == sp.encode(x)
+
+
+def test_extract_follows_its_weights_alone(monkeypatch):
+    import html
+    from collections import defaultdict
+
+    import pyarrow.parquet as pq
+
+    def learnt(pages):
+        def counted(seen):
+            tally = defaultdict(lambda: [0, 0])
+            for p in pages:
+                t = extract.Tokens(p)
+                for kind, size, inside in seen(t) if t.marked else ():
+                    tally[kind][inside] += size
+            return {k: (i, o) for k, (o, i) in tally.items()}
+
+        w = extract.as_weights(counted(extract.labels))
+        return w | extract.as_weights(counted(lambda t: extract.agreement(t, w)))
+
+    def truth(page):
+        body = re.search("<article>(.*)</article>", page, re.DOTALL)[1]
+        parts = (" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split("</?(?:p|h1|br)>", body))
+        return "\n".join(x for x in parts if x)
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
+    weights = learnt(pages)
+    # A weight that is turned turns the result.
+    page = f"<html><body><nav><p>{'home and away ' * 9}</p></nav><div>{'<p>the body of the text runs on</p>' * 9}</div></body></html>"
+    assert "home" not in extract.main_text(page, weights) and "home" in extract.main_text(page, weights | {"h e:nav": 0.0})
+    # Without any list or presumed weight, and without the mark, what is learned finds every text.
+    for name in ("HINTS", "EDGES", "ROLES"):
+        monkeypatch.setattr(extract, name, frozenset())
+    monkeypatch.setattr(extract, "PRIOR", {})
+    weights = learnt(pages)
+    for page in pages:
+        assert extract.main_text(page, weights) == truth(page) == extract.main_text(page.replace("article>", "div>"), weights)
+
+
 def test_pieces_refuse_large_models(tmp_path):
     (tmp_path / "m").write_bytes(b"x" * 100)
     with pytest.raises(ValueError):
