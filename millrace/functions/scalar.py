@@ -53,31 +53,45 @@ def contains_ignoring_case(text: Column, part: str | None) -> Column:
     return F.lit(True) if not part else F.lower(text).contains(part.lower())
 
 
+def _one_digit(x: Column) -> Column:
+    """A number with one decimal; what lies midway goes to the even digit."""
+    return F.format_string("%.1f", F.bround(x.cast("double"), 1))
+
+
 def human_duration(seconds: Column) -> Column:
-    """``250ms``, ``12.5s``, ``3m 20s``, ``2h 5m``."""
+    """``250ms``, ``12.5s``, ``3m 20s``, ``2h 5m``; milliseconds are rounded, to even where they lie midway."""
     whole = F.floor(seconds)
     return (
-        F.when(seconds < 1, F.concat(F.floor(seconds * 1000).cast("string"), F.lit("ms")))
-        .when(seconds < 60, F.concat(F.format_string("%.1f", seconds), F.lit("s")))
+        F.when(seconds < 1, F.concat(F.bround(seconds * 1000).cast("long").cast("string"), F.lit("ms")))
+        .when(seconds < 60, F.concat(_one_digit(seconds), F.lit("s")))
         .when(seconds < 3600, F.concat(F.floor(whole / 60).cast("string"), F.lit("m "), (whole % 60).cast("string"), F.lit("s")))
         .otherwise(F.concat(F.floor(whole / 3600).cast("string"), F.lit("h "), F.floor((whole % 3600) / 60).cast("string"), F.lit("m")))
     )
 
 
 def _scaled(x: Column, step: float, names: list[str], plain: Column) -> Column:
-    out = F.concat(F.format_string("%.1f", x / step ** len(names)), F.lit(names[-1]))
+    out = F.concat(_one_digit(x / step ** len(names)), F.lit(names[-1]))
     for i in range(len(names) - 1, 0, -1):
-        out = F.when(x < step ** (i + 1), F.concat(F.format_string("%.1f", x / step**i), F.lit(names[i - 1]))).otherwise(out)
+        out = F.when(x < step ** (i + 1), F.concat(_one_digit(x / step**i), F.lit(names[i - 1]))).otherwise(out)
     return F.when(x < step, plain).otherwise(out)
 
 
 def human_bytes(n: Column) -> Column:
+    """``10.0B``, ``2.0KB``, up to ``PB``; null is null."""
     n = n.cast("double")
-    return _scaled(n, 1024.0, [" KB", " MB", " GB", " TB", " PB"], F.concat(F.format_string("%.1f", n), F.lit(" B")))
+    return F.when(n.isNotNull(), _scaled(n, 1024.0, ["KB", "MB", "GB", "TB", "PB"], F.concat(_one_digit(n), F.lit("B"))))
 
 
 def human_number(n: Column) -> Column:
-    return _scaled(n.cast("double"), 1000.0, ["K", "M", "B"], n.cast("string"))
+    """``999``, ``1.5K``, ``2.5M``, ``1.0B``; null is ``0``."""
+    return F.when(n.isNull(), "0").otherwise(_scaled(n.cast("double"), 1000.0, ["K", "M", "B"], n.cast("string")))
+
+
+def human_time(seconds: Column) -> Column:
+    """Epoch seconds as ``2026-01-06 12:53:23`` in the session's time zone; ``Unknown`` for null and what is no time."""
+    usable = seconds.isNotNull() & ~F.isnan(seconds.cast("double")) & (F.abs(seconds.cast("double")) < 2.0e11)
+    at = F.timestamp_seconds(F.floor(F.when(usable, seconds.cast("double"))))
+    return F.coalesce(F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.lit("Unknown"))
 
 
 def iso_time(text: Column) -> Column:
@@ -94,24 +108,24 @@ def is_remote(path: Column) -> Column:
     return path.rlike("^(s3a?|gs|https?|az|abfss?)://")
 
 
-#: Words of an error and the likely cause, the first that is found.
+#: A type of error, words of its message in small letters, and what is said of it; the first that holds.
 CAUSES = [
-    ("out of memory|outofmemory|oom", "memory"),
-    ("timeout|timed out", "timeout"),
-    ("connection|network|refused|unreachable", "network"),
-    ("permission|denied|unauthorized|forbidden", "permission"),
-    ("not found|no such file|missing", "missing resource"),
-    ("schema|type mismatch|cannot cast", "schema"),
-    ("value|invalid|parse", "bad data"),
+    ("OutOfMemoryError", ["memory"], "Memory exhaustion. Consider increasing worker memory or reducing batch size."),
+    ("TimeoutError", ["timeout"], "Operation timeout. Check for slow data sources or network issues."),
+    (None, ["connection", "network"], "Network connectivity issue. Check queue backend and network configuration."),
+    (None, ["permission", "access denied"], "Permission issue. Check file system or S3 bucket permissions."),
 ]
+NO_CAUSE = "No specific root cause identified. Check full stacktrace for details."
 
 
 def likely_cause(kind: Column, message: Column) -> Column:
-    """The likely cause of an error by words of its type and message."""
-    text = F.lower(F.concat_ws(" ", kind, message))
-    out = F.lit("unknown")
-    for words, cause in reversed(CAUSES):
-        out = F.when(text.rlike(words), F.lit(cause)).otherwise(out)
+    """What is said of an error, by its type and words of its message; null counts as empty."""
+    text, out = F.lower(F.coalesce(message, F.lit(""))), F.lit(NO_CAUSE)
+    for name, words, said in reversed(CAUSES):
+        holds = F.lit(False) if name is None else F.coalesce(kind == name, F.lit(False))
+        for w in words:
+            holds = holds | text.contains(w)
+        out = F.when(holds, F.lit(said)).otherwise(out)
     return out
 
 

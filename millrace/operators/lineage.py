@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.scratch import checkpointed
+
 
 def nodes(records: DataFrame) -> DataFrame:
     """One row a split: the last record of it."""
@@ -17,15 +19,21 @@ def edges(records: DataFrame, split: str = "split_id", parents: str = "parent_id
     return records.select(F.explode(parents).alias("parent"), F.col(split).alias("child")).distinct()
 
 
-def depths(edge_rows: DataFrame, most: int = 100) -> DataFrame:
-    """``split, depth``: the longest way from a split without parents, a stage at a time."""
+def depths(edge_rows: DataFrame, most: int = 1000) -> DataFrame:
+    """``split, depth``: the longest way from a split without parents, a stage at a time.
+
+    More than ``most`` stages, as a cycle that such a split leads to has, are an error and never cut. Splits of a cycle
+    that none leads to have no depth. Each stage is written to the shared folder.
+    """
     level = edge_rows.select(F.col("parent").alias("split")).distinct().join(edge_rows.select(F.col("child").alias("split")), "split", "left_anti").withColumn("depth", F.lit(0))
     every = level
-    for d in range(1, most):
-        level = edge_rows.join(level.select(F.col("split").alias("parent")), "parent", "left_semi").select(F.col("child").alias("split")).distinct().withColumn("depth", F.lit(d)).cache()
+    for d in range(1, most + 2):
+        level = checkpointed(edge_rows.join(level.select(F.col("split").alias("parent")), "parent", "left_semi").select(F.col("child").alias("split")).distinct().withColumn("depth", F.lit(d)))
         if level.isEmpty():
             break
         every = every.union(level)
+    else:
+        raise RuntimeError(f"the lineage is deeper than {most} stages, or has a cycle")
     return every.groupBy("split").agg(F.max("depth").alias("depth"))
 
 
@@ -50,9 +58,9 @@ def reconcile(known: DataFrame, seen: DataFrame, key: str, gone_state: str = "DE
     return a.join(b, F.col("__a") == F.col("__b"), "full_outer").select(F.coalesce("__a", "__b").alias(key), status.alias("status"))
 
 
-def jobs(df: DataFrame, user: str | None = None, queue: str | None = None, status: str | None = None, with_ended: bool = False) -> DataFrame:
-    """Jobs by parts of user and queue, ignoring case; ended ones only on request. Empty filters pass all."""
-    out = df
+def jobs(df: DataFrame, user: str | None = None, queue: str | None = None, status: str | None = None, with_ended: bool = False, cluster: str | None = None) -> DataFrame:
+    """Jobs by parts of user and queue, ignoring case, and by cluster; ended ones only on request. Empty filters pass all."""
+    out = df.where(F.col("cluster") == cluster) if cluster else df
     for column, part in (("user", user), ("queue", queue)):
         if part:
             out = out.where(F.lower(column).contains(part.lower()))

@@ -3,8 +3,76 @@ functions; all that follows from their numbers is column expressions."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from millrace.functions.scalar import fraction
+
+
+_FRAMES = "struct<frames:array<struct<pts_time:string>>>"
+_META = "struct<streams:array<struct<width:int,height:int,avg_frame_rate:string>>,format:struct<duration:string>>"
+
+
+def boundaries_of(probed: Column) -> Column:
+    """The times of the frames in a scene probe's JSON, ascending; frames without one, or with one that is none, go."""
+    times = F.transform(F.from_json(probed, _FRAMES)["frames"], lambda f: f["pts_time"].try_cast("double"))
+    return F.array_sort(F.coalesce(F.filter(times, lambda t: t.isNotNull()), F.array().cast("array<double>")))
+
+
+def metadata_of(probed: Column) -> Column:
+    """``width, height, fps, duration_sec`` of a metadata probe's JSON: of the first stream, null where it says nothing;
+    the rate of ``0/0``, or over zero, is null."""
+    x = F.from_json(probed, _META)
+    first = F.get(x["streams"], 0)
+    return F.struct(first["width"].alias("width"), first["height"].alias("height"), fraction(first["avg_frame_rate"]).alias("fps"), x["format"]["duration"].try_cast("double").alias("duration_sec"))
+
+
+def probed(df: DataFrame, path: str, probe: Callable[[str], str | None], into: str) -> DataFrame:
+    """``df`` with what ``probe`` says of each path (its JSON), null for null paths. The probe is the caller's, say a
+    process that reads the file; a failure fails the job. It runs once a distinct path of a batch."""
+    out = T.StructType([*df.schema.fields, T.StructField(into, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            paths = b.column(path).to_pylist()
+            said = {p: probe(p) for p in dict.fromkeys(paths) if p is not None}
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([said.get(p) for p in paths], pa.string())], [*b.schema.names, into])
+
+    return df.mapInArrow(run, out)
+
+
+def _number(data: Column, at: int, size: int) -> Column:
+    return F.conv(F.hex(F.substring(data, at, size)), 16, 10).cast("long")
+
+
+def image_facts(content: Column) -> Column:
+    """``format, width, height, size_bytes, sha256`` of an image's bytes, by its header: PNG and GIF sizes are read from it,
+    JPEG and WEBP are told by name alone; other bytes have a null format."""
+    head = F.hex(F.substring(content, 1, 12))
+    png, gif = head.startswith("89504E470D0A1A0A"), head.startswith("474946383761") | head.startswith("474946383961")
+    kind = F.when(png, "PNG").when(gif, "GIF").when(head.startswith("FFD8FF"), "JPEG").when(head.startswith("52494646") & head.endswith("57454250"), "WEBP")
+    little = lambda at: _number(content, at, 1) + 256 * _number(content, at + 1, 1)
+    return F.struct(
+        kind.alias("format"), F.when(png, _number(content, 17, 4)).when(gif, little(7)).alias("width"), F.when(png, _number(content, 21, 4)).when(gif, little(9)).alias("height"),
+        F.octet_length(content).cast("long").alias("size_bytes"), F.sha2(content, 256).alias("sha256"),
+    )
+
+
+def fitted(width: Column, height: Column, most: int) -> Column:
+    """``width, height`` after a resize to a largest dimension: the longer side becomes it, the other keeps the ratio and
+    is 1 at least; smaller images stay."""
+    long = F.greatest(width, height)
+    side = lambda x: F.when(long <= most, x.cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), F.floor(x * F.lit(float(most)) / long + 0.5)))
+    return F.struct(side(width).alias("width"), side(height).alias("height"))
+
+
+def good_image(width: Column, height: Column, blur: Column, brightness: Column, *, min_width: int = 100, min_height: int = 100, min_blur: float = 50.0, darkest: float = 30.0, brightest: float = 220.0) -> Column:
+    """Whether an image is large, sharp and neither dark nor overexposed; what was not measured does not pass."""
+    return F.coalesce((width >= min_width) & (height >= min_height) & (blur >= min_blur) & brightness.between(darkest, brightest), F.lit(False))
 
 
 def or_row(probed: Column, own: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,8 +38,9 @@ def rate(df: DataFrame, key: str, ts: Column, value: str, order: list[str]) -> D
 def rate_limited(df: DataFrame, key: str, ts: str, interval: float, tie: str) -> DataFrame:
     """Rows at least ``interval`` seconds after the key's last row that was let through; the first always is.
 
-    What is let through depends on all before, so rows stream by in the order of key and time and only the last time let
-    through is held: memory does not grow with a key's rows. Rows of null time go.
+    What is let through depends on all before, so a key's rows go through one task, in the order of time; only the last
+    time let through is held, so memory does not grow with a key's rows, and a row that lets the next ones through is
+    found by bisection, so time goes with what is let through. Rows of null time go.
     """
     seconds = (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("__t")
     rows = df.select("*", seconds).where("__t IS NOT NULL").repartition(F.col(key)).sortWithinPartitions(key, "__t", tie)
@@ -46,13 +48,18 @@ def rate_limited(df: DataFrame, key: str, ts: str, interval: float, tie: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, last = object(), 0.0
         for b in batches:
-            keep = []
-            for k, t in zip(b.column(key).to_pylist(), b.column("__t").to_pylist()):
-                ok = k != at or t - last >= interval
-                if ok:
-                    at, last = k, t
-                keep.append(ok)
-            yield b.filter(pa.array(keep, pa.bool_()))
+            codes = b.column(key).dictionary_encode(null_encoding="encode")
+            names, ids, times = codes.dictionary.to_pylist(), codes.indices.to_numpy(), b.column("__t").to_numpy()
+            keep = np.zeros(len(ids), bool)
+            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)] if len(ids) else []
+            for lo, hi in zip(cuts, cuts[1:]):
+                k = names[ids[lo]]
+                i = lo if k != at else lo + int(np.searchsorted(times[lo:hi] - last, interval))
+                at = k
+                while i < hi:
+                    keep[i], last = True, times[i]
+                    i += max(1, int(np.searchsorted(times[i:hi] - last, interval)))
+            yield b.filter(pa.array(keep))
 
     return rows.mapInArrow(run, rows.schema).drop("__t")
 
@@ -104,6 +111,7 @@ def exact_percentiles(df: DataFrame, by: list[str], value: str, ps: dict[str, fl
     return ranked.groupBy(*by).agg(*[F.min(F.when(F.col("__upto") > at(p), F.col(value))).alias(k) for k, p in ps.items()])
 
 
+#: The bounds that readers of these histograms know.
 BUCKETS = (0.01, 0.05, 0.1, 0.5, 1.0, 5.0, 10.0, 30.0, 60.0)
 
 
@@ -133,11 +141,12 @@ def wanted_workers(workers: Column, lag: Column, least: Column, most: Column, ov
     return F.when(frozen, workers).otherwise(out) if frozen is not None else out
 
 
-def latest_state(messages: DataFrame, entity: str, order: list[str], states: dict[str, str], kind: str) -> DataFrame:
-    """Each entity's status from the last of its messages that means one."""
+def latest_state(messages: DataFrame, entity: str, order: list[str], states: dict[str, str], kind: str, keep_order: bool = False) -> DataFrame:
+    """Each entity's status from the last of its messages that means one; with ``keep_order`` its place in ``at_`` columns."""
     status = F.lit(None).cast("string")
     for message, state in states.items():
         status = F.when(F.col(kind) == message, F.lit(state)).otherwise(status)
     at = F.struct(*order)
     rows = messages.withColumn("__s", status).where(F.col("__s").isNotNull())
-    return rows.groupBy(entity).agg(F.max_by("__s", at).alias("status"), F.count("*").alias("n_changes"))
+    out = rows.groupBy(entity).agg(F.max_by("__s", at).alias("status"), F.count("*").alias("n_changes"), F.max(at).alias("__at"))
+    return out.select(entity, "status", "n_changes", *([F.col("__at")[c].alias(f"at_{c}") for c in order] if keep_order else []))

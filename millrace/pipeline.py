@@ -54,13 +54,14 @@ class Pipeline:
             check_callable(read, "source")
         return self.add(name, "source", read, [], parallelism)
 
-    def map(self, name: str, exprs: dict[str, str | Column] | None = None, fn: Callable | None = None, schema=None, on_error: str = "fail", split_col: str | None = None, **at) -> Pipeline:
-        """New or replaced columns by expressions, or a Python function of a row as a dict."""
+    def map(self, name: str, exprs: dict[str, str | Column] | None = None, fn: Callable | None = None, schema=None, on_error: str = "fail", split_col: str | None = None, sample: int = 100, **at) -> Pipeline:
+        """New or replaced columns by expressions, or a Python function of a row as a dict; without a schema its result's is
+        inferred from ``sample`` rows."""
         if (exprs is None) == (fn is None):
             raise ValueError("map takes either exprs or fn")
         if exprs is not None:
             return self.add(name, "map", lambda df: df.withColumns({k: _column(v) for k, v in exprs.items()}), **_at(at))
-        return self.add(name, "rows", rowfn.RowSteps([("map", fn)]), schema=schema, on_error=on_error, split_col=split_col, **_at(at))
+        return self.add(name, "rows", rowfn.RowSteps([("map", fn)]), schema=schema, on_error=on_error, split_col=split_col, sample=sample, **_at(at))
 
     def filter(self, name: str, condition: str | Column | None = None, fn: Callable | None = None, on_error: str = "fail", split_col: str | None = None, **at) -> Pipeline:
         if (condition is None) == (fn is None):
@@ -155,15 +156,15 @@ class Pipeline:
     def _rows(self, stage: Stage, made: dict[str, DataFrame]) -> DataFrame:
         """Row functions that directly follow each other, for no other consumer, run in one pass over the rows."""
         steps, schema, at = stage.build, stage.options["schema"], stage.upstreams[0]
-        policy = (stage.options["on_error"], stage.options["split_col"])
+        policy, sample = (stage.options["on_error"], stage.options["split_col"]), stage.options.get("sample", 0)
         while True:
             up = self.stages[at]
             if up.kind != "rows" or len(self.consumers(at)) > 1 or up.parallelism or (up.options["on_error"], up.options["split_col"]) != policy:
                 break
             if schema is None and not steps.maps:
                 schema = up.options["schema"]
-            steps, at = up.build.then(steps), up.upstreams[0]
-        return rowfn.map_rows(made[at], steps, schema, *policy)
+            steps, at, sample = up.build.then(steps), up.upstreams[0], max(sample, up.options.get("sample", 0))
+        return rowfn.map_rows(made[at], steps, schema, *policy, sample or 100)
 
     def result(self, spark: SparkSession, stage: str | None = None) -> DataFrame:
         """The DataFrame of a stage, of the last one by default."""

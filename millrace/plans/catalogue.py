@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from millrace import rowfn, sinks
 from millrace.functions import scalar
 from millrace.model import KEY
-from millrace.operators import catalog, lineage, media, telemetry
+from millrace.operators import catalog, lineage, media, monitor, telemetry
 from millrace.pipeline import Pipeline
-from millrace.sources.files import files, plan_splits
+from millrace.scratch import fresh_dir
+from millrace.sources import remote
+from millrace.sources.files import files, plan_splits, row_slice
 from millrace.sources.frames import dataframe
+from millrace.sources.sampling import sample_rows
+from millrace.sources.versioned import VersionedTable
+from millrace.streaming.incremental import replace_batch, run_available
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -156,10 +161,10 @@ def left_outer_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT coalesce(a.c_custkey, b.o_custkey) AS custkey, CASE WHEN b.o_custkey IS NULL THEN 'DELETED' WHEN a.c_custkey IS NULL THEN 'NEW' ELSE 'UPDATED' END AS status
-FROM (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0) a FULL JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 5 <> 0) b ON a.c_custkey = b.o_custkey""")
+FROM (SELECT c_custkey FROM customer WHERE c_acctbal > 0) a FULL JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') b ON a.c_custkey = b.o_custkey""")
 def reconcile_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("custkey"))
-    seen = table(spark, sf_dir, "orders").where("o_custkey % 5 <> 0").select(F.col("o_custkey").alias("custkey")).distinct()
+    known = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("custkey"))
+    seen = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("custkey")).distinct()
     return lineage.reconcile(known, seen, "custkey")
 
 
@@ -199,10 +204,9 @@ def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.intersect(s).withColumn("side", F.lit("both")).unionByName(c.subtract(s).withColumn("side", F.lit("customers")))
 
 
-@query("SELECT o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 2 = 0 EXCEPT ALL SELECT o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 3 = 0")
+@query("SELECT o_custkey AS k FROM orders EXCEPT ALL SELECT c_custkey FROM customer")
 def except_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    return o.where("o_orderkey % 2 = 0").select("o_orderstatus", "o_orderpriority").exceptAll(o.where("o_orderkey % 3 = 0").select("o_orderstatus", "o_orderpriority"))
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")).exceptAll(table(spark, sf_dir, "customer").select("c_custkey"))
 
 
 @query("SELECT r_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
@@ -342,7 +346,7 @@ def archive_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH RECURSIVE b AS (
-  SELECT user_id, least(greatest(value, 0), 100)::double AS t, row_number() OVER (PARTITION BY user_id ORDER BY value) AS rn FROM events WHERE value < 120
+  SELECT user_id, least(greatest(value, 0), 100)::double AS t, row_number() OVER (PARTITION BY user_id ORDER BY value) AS rn FROM events WHERE value IS NOT NULL
 ), f AS (
   SELECT user_id, 0::bigint AS rn, 0.0::double AS "at", NULL::double AS lo, NULL::double AS hi FROM (SELECT DISTINCT user_id FROM b)
   UNION ALL
@@ -354,13 +358,13 @@ WITH RECURSIVE b AS (
 )
 SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY lo) - 1 AS scene_index, round(lo, 3) AS scene_start, round(hi, 3) AS scene_end FROM s""")
 def scene_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("value < 120").groupBy("user_id").agg(F.collect_list("value").alias("boundaries")).withColumn("duration_sec", F.lit(100.0))
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list("value").alias("boundaries")).withColumn("duration_sec", F.lit(100.0))
     return media.scene_rows(e).select("user_id", F.col("scene_index").cast("long").alias("scene_index"), "scene_start", "scene_end")
 
 
-@query("SELECT page_id, sha256(html) AS slice_sha256, octet_length(encode(html))::integer AS slice_size, printf('%s_scene_%04d.mp4', url, page_id) AS name FROM pages WHERE page_id % 4 = 0")
+@query("SELECT page_id, sha256(html) AS slice_sha256, octet_length(encode(html))::integer AS slice_size, printf('%s_scene_%04d.mp4', url, page_id) AS name FROM pages")
 def slice_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").where(media.every_nth(F.col("page_id"), 4)).withColumn("slice_binary", F.col("html").cast("binary"))
+    p = table(spark, sf_dir, "pages").withColumn("slice_binary", F.col("html").cast("binary"))
     return media.with_hash(p).select("page_id", "slice_sha256", "slice_size", media.slice_name(F.col("url"), F.col("page_id")).alias("name"))
 
 
@@ -431,35 +435,299 @@ def json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events")
+@query("SELECT event_id, user_id FROM events")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, sf_dir, lambda e: e.select("user_id", "event_type").dropDuplicates(["user_id", "event_type"]), "append")
+    """Every event is delivered twice; the state that tells is as old as the watermark at most."""
+    from millrace.streaming.incremental import once_by
 
+    return _streamed(spark, sf_dir, lambda e: once_by(e.select("event_id", "user_id", "ts").unionByName(e.select("event_id", "user_id", "ts")), ["event_id"], "ts", "1 hour").select("event_id", "user_id"))
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2")
+
+@query("""
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events
+GROUP BY 1, 2 HAVING window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 3 SECOND FROM events)""")
 def stream_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that the watermark has closed; a window is written once and its state goes."""
     from millrace.streaming.incremental import windowed
 
-    out = _streamed(spark, sf_dir, lambda e: windowed(e, "ts", 3600, "3 seconds", ["event_type"], n="count(*)", value="round(sum(value), 2)"), "complete")
+    out = _streamed(spark, sf_dir, lambda e: windowed(e, "ts", 3600, "3 seconds", ["event_type"], n="count(*)", value="round(sum(value), 2)"))
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-def _streamed(spark: SparkSession, sf_dir: str, fn, mode: str) -> DataFrame:
-    """Runs a stream over all events into a fresh folder beside the session's checkpoints and reads it."""
-    import tempfile
-    import uuid
+@query("""
+SELECT user_id, arg_max(s, (ts, event_id)) AS status, count(*) AS n_changes FROM (
+  SELECT *, CASE event_type WHEN 'signup' THEN 'PENDING' WHEN 'click' THEN 'RUNNING' WHEN 'purchase' THEN 'COMPLETED' WHEN 'error' THEN 'FAILED' END AS s FROM events) WHERE s IS NOT NULL GROUP BY 1""")
+def stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state machine over a stream, with a snapshot for each batch; the newest is read."""
+    from millrace.streaming import state
 
-    from millrace.streaming.incremental import replace_batch, run_available
+    at = fresh_dir(spark, "states")
+    states = {"signup": "PENDING", "click": "RUNNING", "purchase": "COMPLETED", "error": "FAILED"}
+    run_available(_event_stream(spark, sf_dir), f"{at}/marks", each=state.keep_state(f"{at}/out", "user_id", ["ts", "event_id"], states, "event_type"))
+    return state.read_state(spark, f"{at}/out").select("user_id", "status", "n_changes")
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir) if _is_file(spark, path) else reader.parquet(path)
 
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='millrace-')}/stream-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir) if _is_file(spark, f"{sf_dir}/events.parquet") else spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
-    out = fn(events)
-    each = replace_batch(f"{base}/out") if mode == "append" else lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out")
-    run_available(out, f"{base}/state", each=each, mode=mode)
-    return spark.read.parquet(f"{base}/out").select(*out.columns)
+
+def _streamed(spark: SparkSession, sf_dir: str, fn) -> DataFrame:
+    """Runs a stream over all events into a fresh folder beside the session's checkpoints and reads it."""
+    at = fresh_dir(spark, "stream")
+    out = fn(_event_stream(spark, sf_dir))
+    run_available(out, f"{at}/state", each=replace_batch(f"{at}/out"))
+    return spark.read.parquet(f"{at}/out").select(*out.columns)
 
 
 def _is_file(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
+
+
+# Monitoring
+
+_SNAPSHOTS = "SELECT user_id, event_id, floor(value)::bigint AS input_records, event_id % 50 AS output_records FROM events"
+
+
+@query(f"SELECT * FROM ({_SNAPSHOTS}) WHERE coalesce(input_records, 0) + output_records >= 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY coalesce(input_records, 0) + output_records DESC, event_id) = 1")
+def best_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.floor("value").cast("long").alias("input_records"), (F.col("event_id") % 50).alias("output_records"))
+    return monitor.best_snapshots(e, "user_id", "event_id")
+
+
+@query("SELECT event_id, coalesce(floor(value)::bigint, 0) + event_id % 7 AS queue_size FROM events WHERE event_id > 0")
+def lag_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lag = lambda c: F.struct(c.cast("long").alias("lag"))
+    metrics = F.create_map(F.lit("0"), lag(F.floor("value")), F.lit("1"), lag(F.col("event_id") % 7))
+    return monitor.lag_history(table(spark, sf_dir, "events").select("event_id", metrics.alias("partition_metrics")), ts="event_id")
+
+
+def _actors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stores = table(spark, sf_dir, "nation").select(F.lit("_RaySplitPayloadStoreActor").alias("class_name"), F.concat(F.lit("payload_store_"), "n_name").alias("name"), F.lit("ALIVE").alias("state"), F.col("n_nationkey").cast("long").alias("started"))
+    workers = table(spark, sf_dir, "events").select(F.lit("StageWorker").alias("class_name"), F.concat("event_type", F.lit(":"), F.col("event_id").cast("string")).alias("name"), F.when(F.col("value") > 50, "ALIVE").otherwise("DEAD").alias("state"), F.col("event_id").alias("started"))
+    return stores.unionByName(workers)
+
+
+@query("""
+WITH w AS (SELECT count(DISTINCT event_type) AS s, count(*) AS n FROM events WHERE value > 50)
+SELECT n_name AS job_id, CASE WHEN n_nationkey = (SELECT min(n_nationkey) FROM nation) THEN w.s ELSE 0 END AS stage_count, CASE WHEN n_nationkey = (SELECT min(n_nationkey) FROM nation) THEN w.n ELSE 0 END AS worker_count FROM nation, w""")
+def running_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monitor.running_jobs(_actors(spark, sf_dir), "started")
+
+
+@query("SELECT event_type AS stage_id, count(*) AS worker_count FROM events WHERE value > 50 GROUP BY 1")
+def running_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monitor.running_stages(_actors(spark, sf_dir))
+
+
+@query("""
+SELECT kind, count(*) AS n_groups, sum(n)::bigint AS n, min(first_seen) AS first_seen, max(last_seen) AS last_seen FROM (
+  SELECT kind, substr(message, 1, 100) AS m, count(*) AS n, min(ts) AS first_seen, max(ts) AS last_seen
+  FROM (SELECT 'E' || (user_id % 5) AS kind, 'failed with ' || props AS message, ts FROM events WHERE event_type = 'error') GROUP BY 1, 2) GROUP BY kind""")
+def exceptions_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monitor.errors_by_type(exception_groups(spark, sf_dir))
+
+
+@query("""
+SELECT l_returnflag, round(count(*) FILTER (WHERE l_quantity > 10) / count(*), 6) AS selectivity, round(count(*) FILTER (WHERE l_linestatus = 'F') * 100.0::double / count(*), 6) AS progress,
+  CASE WHEN count(*) FILTER (WHERE l_linestatus = 'F') > 0 THEN round(count(*) FILTER (WHERE l_linestatus <> 'F') * 60.0::double / count(*) FILTER (WHERE l_linestatus = 'F'), 6) END AS eta
+FROM lineitem GROUP BY 1""")
+def stage_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(F.col("l_quantity") > 10).alias("out"), F.count_if(F.col("l_linestatus") == "F").alias("done"))  # noqa: E741
+    n, done = F.col("n"), F.col("done")
+    return l.select("l_returnflag", F.round(monitor.selectivity(n, F.col("out")), 6).alias("selectivity"), F.round(monitor.progress(done, n), 6).alias("progress"), F.round(monitor.eta_seconds(done, n, F.lit(60.0)), 6).alias("eta"))
+
+
+@query("SELECT event_type, count(*) AS messages, max(event_id) - min(event_id) AS elapsed, round(avg(value), 6) AS avg_latency, round(CASE WHEN max(event_id) > min(event_id) THEN count(*) / (max(event_id) - min(event_id)) ELSE 0 END, 6) AS throughput FROM events GROUP BY 1")
+def run_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("one", F.lit(1))
+    out = monitor.throughput(e, ["event_type"], "event_id", "event_id", "one", "value")
+    return out.withColumns({c: F.round(c, 6) for c in ("avg_latency", "throughput")})
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+def count_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Pipeline("states").source("o", _source(sf_dir, "orders")).aggregate("n", ["o_orderstatus"], n="count(*)").select("out", "o_orderstatus AS status", "n").result(spark)
+
+
+@query("SELECT event_id, ts FROM events WHERE ts >= (SELECT min(ts) + INTERVAL 1 DAY FROM events) AND ts <= (SELECT min(ts) + INTERVAL 2 DAY FROM events) ORDER BY ts, event_id LIMIT 200")
+def time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", "ts")
+    (first,) = e.agg(F.min("ts")).first()
+    return lineage.page(e.where((F.col("ts") >= F.lit(first) + F.expr("interval 1 day")) & (F.col("ts") <= F.lit(first) + F.expr("interval 2 days"))), [F.col("ts"), F.col("event_id")], 200)
+
+
+@query("SELECT o_custkey AS job_id, o_orderkey AS attempt, o_orderstatus AS status FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+def latest_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate")
+    return telemetry.latest_per_key(o, ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select(F.col("o_custkey").alias("job_id"), F.col("o_orderkey").alias("attempt"), F.col("o_orderstatus").alias("status"))
+
+
+@query("SELECT s_suppkey AS worker, s_name AS name FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 20 OFFSET 3")
+def worker_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.page(table(spark, sf_dir, "supplier"), [F.desc("s_acctbal"), F.col("s_suppkey")], 20, 3).select(F.col("s_suppkey").alias("worker"), F.col("s_name").alias("name"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey = 3 AND c_mktsegment = 'BUILDING' AND c_name ILIKE '%customer%'")
+def job_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("user"), F.lit("q").alias("queue"), F.col("c_mktsegment").alias("status"), F.col("c_nationkey").cast("string").alias("cluster"))
+    return lineage.jobs(c, user="CUSTOMER", status="BUILDING", cluster="3").select("c_custkey")
+
+
+@query("SELECT l_orderkey AS split_id, arg_max(l_partkey, l_linenumber * 1000000 + l_partkey) AS part, max(l_linenumber * 1000000 + l_partkey)::double AS timestamp FROM lineitem GROUP BY 1")
+def lineage_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.nodes(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("split_id"), F.col("l_partkey").alias("part"), F.expr("cast(l_linenumber * 1000000 + l_partkey AS double)").alias("timestamp")))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer),
+d AS (SELECT DISTINCT parent AS split, 0 AS depth FROM e WHERE parent NOT IN (SELECT child FROM e) UNION SELECT e.child, d.depth + 1 FROM d JOIN e ON e.parent = d.split)
+SELECT split, max(depth)::integer AS depth FROM d GROUP BY 1""")
+def lineage_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    a = table(spark, sf_dir, "nation").select(at("r", "n_regionkey").alias("parent"), at("n", "n_nationkey").alias("child"))
+    b = table(spark, sf_dir, "customer").select(at("n", "c_nationkey").alias("parent"), at("c", "c_custkey").alias("child"))
+    return lineage.depths(a.union(b).distinct())
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN event_id % 3 WHEN event_id % 5 <> 0 THEN event_id % 5 ELSE 0 END AS records FROM events")
+def metric_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_id", lineage.first_set(e % 3, F.when(e % 2 == 0, None).otherwise(e % 5), e % 5).alias("records"))
+
+
+# Readable values, probes, images
+
+
+@query("""
+SELECT event_id,
+  CASE WHEN s < 1 THEN round(s * 1000)::bigint || 'ms' WHEN s < 60 THEN printf('%.1fs', s) WHEN s < 3600 THEN floor(floor(s) / 60)::bigint || 'm ' || floor(s)::bigint % 60 || 's' ELSE floor(floor(s) / 3600)::bigint || 'h ' || floor(floor(s)::bigint % 3600 / 60)::bigint || 'm' END AS duration,
+  CASE WHEN b < 1024 THEN printf('%.1fB', b) WHEN b < 1048576 THEN printf('%.1fKB', b / 1024) ELSE printf('%.1fMB', b / 1048576) END AS bytes,
+  CASE WHEN n < 1000 THEN n::varchar WHEN n < 1000000 THEN printf('%.1fK', n / 1000.0::double) ELSE printf('%.1fM', n / 1000000.0::double) END AS number,
+  strftime(make_timestamp(n * 1000000), '%Y-%m-%d %H:%M:%S') AS at
+FROM (SELECT event_id, value * value / 3 + 0.0131 AS s, value * value * 100 + 0.0131 AS b, event_id * 140 + 3 AS n FROM events WHERE value IS NOT NULL)""")
+def readable_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").where("value IS NOT NULL").select("event_id", F.expr("value * value / 3 + 0.0131D").alias("s"), F.expr("value * value * 100 + 0.0131D").alias("b"), F.expr("event_id * 140 + 3").alias("n"))
+    return e.select("event_id", scalar.human_duration(F.col("s")).alias("duration"), scalar.human_bytes(F.col("b")).alias("bytes"), scalar.human_number(F.col("n")).alias("number"), scalar.human_time(F.col("n")).alias("at"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN NULL ELSE n_nationkey * 1001.0::double / n_regionkey END AS fps FROM nation")
+def frame_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat((F.col("n_nationkey") * 1001).cast("string"), F.lit("/"), F.col("n_regionkey").cast("string"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", scalar.fraction(text).alias("fps"))
+
+
+_MESSAGES = ["Java heap MEMORY is gone", "read timeout", "Connection refused", "Access Denied to bucket", "a key is missing"]
+
+
+@query(f"""
+SELECT event_id, CASE WHEN user_id % 7 = 0 OR event_id % 5 = 0 THEN 'Memory exhaustion. Consider increasing worker memory or reducing batch size.'
+  WHEN user_id % 7 = 1 OR event_id % 5 = 1 THEN 'Operation timeout. Check for slow data sources or network issues.'
+  WHEN event_id % 5 = 2 THEN 'Network connectivity issue. Check queue backend and network configuration.' WHEN event_id % 5 = 3 THEN 'Permission issue. Check file system or S3 bucket permissions.'
+  ELSE '{scalar.NO_CAUSE}' END AS cause FROM events""")
+def error_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("user_id") % 7 == 0, "OutOfMemoryError").when(F.col("user_id") % 7 == 1, "TimeoutError").when(F.col("user_id") % 7 == 2, "ValueError")
+    message = F.array(*map(F.lit, _MESSAGES))[(F.col("event_id") % 5).cast("int")]
+    return table(spark, sf_dir, "events").select("event_id", scalar.likely_cause(kind, message).alias("cause"))
+
+
+@query("""
+SELECT 'equals' AS op, count(*) AS n FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'not_equals', count(*) FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT 'greater_than', count(*) FROM orders WHERE o_totalprice > 150000
+UNION ALL SELECT 'less_than', count(*) FROM orders WHERE o_totalprice < 150000 UNION ALL SELECT 'contains', count(*) FROM orders WHERE contains(o_orderpriority, 'URG')""")
+def catalogue_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five operations in one pass over the table."""
+    asked = [("equals", "o_orderstatus", "F"), ("not_equals", "o_orderstatus", "F"), ("greater_than", "o_totalprice", 150000), ("less_than", "o_totalprice", 150000), ("contains", "o_orderpriority", "URG")]
+    sums = table(spark, sf_dir, "orders").agg(*[F.count_if(scalar.matches(F.col(c), op, v)).alias(op) for op, c, v in asked])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(op).alias("op"), F.col(op).alias("n")) for op, _, _ in asked])).alias("x")).select("x.op", "x.n")
+
+
+@query("SELECT event_id, value AS first_cut, (value IS NOT NULL)::integer AS n_cuts, 640 AS width, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 25.0::double END AS fps FROM events")
+def probe_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    frames = F.concat(F.lit('{"frames":[{"pts_time":"x"},{},{"pts_time":"'), F.coalesce(F.col("value").cast("string"), F.lit("none")), F.lit('"}]}'))
+    meta = F.concat(F.lit('{"streams":[{"width":640,"height":480,"avg_frame_rate":"'), F.when(F.col("event_id") % 3 == 0, "0/0").otherwise("25/1"), F.lit('"}],"format":{"duration":"4.5"}}'))
+    cuts, facts = media.boundaries_of(frames), media.metadata_of(meta)
+    return e.select("event_id", F.get(cuts, 0).alias("first_cut"), F.size(cuts).alias("n_cuts"), facts["width"].alias("width"), facts["fps"].alias("fps"))
+
+
+@query("""
+SELECT page_id, 'PNG' AS format, w AS width, h AS height, sha256(from_hex(x)) AS sha256, CASE WHEN greatest(w, h) <= 512 THEN w ELSE greatest(1, floor(w * 512.0::double / greatest(w, h) + 0.5)::bigint) END AS fit_width, w >= 100 AND h >= 100 AND page_id % 90 >= 50 AS good
+FROM (SELECT *, '89504E470D0A1A0A0000000D49484452' || printf('%08X', w) || printf('%08X', h) AS x FROM (SELECT page_id, (page_id * 37) % 3000 + 1 AS w, (page_id * 91) % 2000 + 1 AS h FROM pages))""")
+def image_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = table(spark, sf_dir, "pages").select("page_id", F.expr("(page_id * 37) % 3000 + 1").alias("w"), F.expr("(page_id * 91) % 2000 + 1").alias("h"))
+    png = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), *[F.lpad(F.hex(c), 8, "0") for c in ("w", "h")]))
+    x = media.image_facts(png)
+    rows = sized.select("page_id", x["format"].alias("format"), x["width"].alias("width"), x["height"].alias("height"), x["sha256"].alias("sha256"))
+    good = media.good_image(F.col("width"), F.col("height"), (F.col("page_id") % 90).cast("double"), F.lit(100.0))
+    return rows.withColumns({"fit_width": media.fitted(F.col("width"), F.col("height"), 512)["width"], "good": good})
+
+
+@query("SELECT page_id FROM pages WHERE page_id % 4 = 0")
+def every_nth_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").where(media.every_nth(F.col("page_id"), 4)).select("page_id")
+
+
+@query("SELECT page_id, substr(md5(url), 1, 16) || '_' || coalesce(nullif(regexp_extract(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', ''), '([^/]*)$', 1), ''), 'file') AS name FROM pages")
+def cached_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", remote.cache_name(F.col("url")).alias("name"))
+
+
+# Sources and sinks, written and read back
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = sinks.json_lines(fresh_dir(spark, "json"))(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    return files(at, "json", "key string, timestamp double, value struct<n_nationkey: int, n_name: string>")(spark).select("value.*")
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = sinks.csv(fresh_dir(spark, "csv"))(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"))
+    return files(at, "csv", "key string, c_custkey long, c_name string, c_acctbal double")(spark).drop("key")
+
+
+@query("SELECT s_suppkey, s_name FROM supplier")
+def parquet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = sinks.parquet(fresh_dir(spark, "parquet"))(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"))
+    return files(at, "parquet")(spark)
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey >= 10")
+def resumed_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An earlier read got to row 10 of its second file."""
+    first, second = f"{sf_dir}/region.parquet", f"{sf_dir}/nation.parquet"
+    return files([first, second], "parquet", resume={"completed_files": [first], "current_file": second, "row_offset": 10})(spark).select("n_nationkey", "n_name")
+
+
+@query("SELECT 1 AS version, count(*) AS n, 0 AS n_late FROM nation UNION ALL SELECT 2, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region), (SELECT count(*) FROM region)")
+def time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of a table; the second appends rows with a later column."""
+    t = VersionedTable(spark, fresh_dir(spark, "versions"))
+    t.write(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")), "create")
+    t.write(table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.lit(True).alias("late")))
+    count = lambda v, late: t.read(v).agg(F.count("*").alias("n"), late.alias("n_late")).select(F.lit(v).alias("version"), "n", F.col("n_late").cast("int").alias("n_late"))
+    return count(1, F.lit(0)).union(count(2, F.count_if("late")))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def arrow_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    return sinks.from_blocks(sinks.blocks(n, 10), n.schema)
+
+
+@query("SELECT 'orders' AS topic, (('0x' || substr(md5(o_custkey::varchar), 1, 8))::bigint % 8)::integer AS partition, o_custkey::varchar AS key, json_object('o_orderkey', o_orderkey, 'o_custkey', o_custkey, 'o_orderstatus', o_orderstatus)::varchar AS value FROM orders")
+def queue_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.messages(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_custkey", "orders", 8)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (1, 2, 3, 32, 100)")
+def sample_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_rows(table(spark, sf_dir, "orders"), columns=["o_orderkey", "o_totalprice"], row_ids=[1, 2, 3, 32, 100], id_col="o_orderkey", limit=100)
+
+
+@query("SELECT n_nationkey FROM nation WHERE n_nationkey BETWEEN 5 AND 9")
+def row_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return row_slice(table(spark, sf_dir, "nation"), 5, 5).select("n_nationkey")

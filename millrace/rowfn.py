@@ -18,6 +18,10 @@ def as_schema(schema: str | T.StructType) -> T.StructType:
     return schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
 
 
+class UnknownKeys(ValueError):
+    """A row has keys that the inferred schema lacks."""
+
+
 class RowSteps:
     """Row functions that run one after the other on each row, in one pass: ``("map" or "filter", fn)``."""
 
@@ -47,7 +51,8 @@ class RowSteps:
 
 
 def infer_schema(df: DataFrame, steps: RowSteps, sample: int = 100) -> T.StructType:
-    """A schema from a run over some rows: the union of their keys, null kinds as text. Mixed kinds are refused."""
+    """A schema from a run over some rows: the union of their keys, null kinds as text. Mixed kinds are refused, and so is
+    a key that only a later row has, when the rows are mapped."""
     rows = [out for r in df.drop(KEY, TS).limit(sample).collect() if (out := steps.apply(r.asDict(recursive=True))) is not None]
     if not rows:
         raise ValueError("no row is left to infer a schema from; give one")
@@ -62,8 +67,9 @@ def infer_schema(df: DataFrame, steps: RowSteps, sample: int = 100) -> T.StructT
     return T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.NullType) else f.dataType) for f in found])
 
 
-def map_rows(df: DataFrame, steps: RowSteps, schema: str | T.StructType | None = None, on_error: str = "fail", split_col: str | None = None) -> DataFrame:
-    """``df`` after row steps. Filters alone keep the schema; a map without one is inferred by :func:`infer_schema`.
+def map_rows(df: DataFrame, steps: RowSteps, schema: str | T.StructType | None = None, on_error: str = "fail", split_col: str | None = None, sample: int = 100) -> DataFrame:
+    """``df`` after row steps. Filters alone keep the schema; a map without one is inferred by :func:`infer_schema` from
+    ``sample`` rows, and a row with a key beyond it fails the job whatever the policy. A given schema says which keys to keep.
 
     Functions do not see the reserved columns: the key is kept, and a map sets the time anew. ``drop_split`` drops all
     rows of a split, told by ``split_col``, if one of them fails: the only policy whose result depends on the data alone
@@ -73,7 +79,8 @@ def map_rows(df: DataFrame, steps: RowSteps, schema: str | T.StructType | None =
         raise ValueError(f"on_error is one of {', '.join(ON_ERROR)}")
     reserved = [c for c in (KEY, TS) if c in df.columns]
     plain = T.StructType([f for f in df.schema.fields if f.name not in reserved])
-    body = plain if not steps.maps else as_schema(schema) if schema is not None else infer_schema(df, steps)
+    body = plain if not steps.maps else as_schema(schema) if schema is not None else infer_schema(df, steps, sample)
+    known = frozenset(body.names) if steps.maps and schema is None else None
     out = T.StructType(body.fields + [df.schema[c] for c in reserved])
     arrow = to_arrow_schema(out)
     sets_time = steps.maps and TS in reserved
@@ -89,6 +96,8 @@ def map_rows(df: DataFrame, steps: RowSteps, schema: str | T.StructType | None =
                     raise
                 result = None if on_error == "drop_row" else {}
             if result is not None:
+                if known is not None and not known.issuperset(result):
+                    raise UnknownKeys(f"a row has {sorted(set(result) - known)}, which none of the first {sample} has: give a schema")
                 if sets_time:
                     marks[TS] = time.time()
                 done.append({n: result.get(n) for n in body.names} | marks)
@@ -101,6 +110,8 @@ def map_rows(df: DataFrame, steps: RowSteps, schema: str | T.StructType | None =
         def whole(table: pa.Table) -> pa.Table:
             try:
                 return pa.Table.from_pylist(convert(table), arrow)
+            except UnknownKeys:
+                raise
             except Exception:
                 return arrow.empty_table()
 
@@ -110,8 +121,8 @@ def map_rows(df: DataFrame, steps: RowSteps, schema: str | T.StructType | None =
         for b in batches:
             try:
                 rows = convert(b)
-            except Exception:
-                if on_error != "empty":
+            except Exception as e:
+                if on_error != "empty" or isinstance(e, UnknownKeys):
                     raise
                 rows = []
             yield from pa.Table.from_pylist(rows, arrow).to_batches()

@@ -6,6 +6,7 @@ import logging
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,6 +94,48 @@ def table(path: str, mode: str = "append", blob_columns: list[str] | None = None
     return lambda df: VersionedTable(df.sparkSession, path).write(df, mode, blob_columns)
 
 
+def blocks(df: DataFrame, per_block: int | None = None) -> DataFrame:
+    """``block, n_rows``: the rows as Arrow IPC streams, one a batch, or batches of ``per_block`` rows at most: what another
+    engine takes over without a row being touched. No block crosses partitions, and none goes through the driver."""
+
+    def run(batches):
+        for b in batches:
+            step = per_block or max(1, b.num_rows)
+            for lo in range(0, b.num_rows, step):
+                part = b.slice(lo, step)
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, part.schema) as w:
+                    w.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary()), pa.array([part.num_rows], pa.int64())], ["block", "n_rows"])
+
+    return df.mapInArrow(run, "block binary, n_rows long")
+
+
+def from_blocks(rows: DataFrame, schema: str | T.StructType, block: str = "block") -> DataFrame:
+    """The rows of Arrow IPC streams."""
+
+    def run(batches):
+        for b in batches:
+            for data in b.column(block).to_pylist():
+                with pa.ipc.open_stream(data) as reader:
+                    yield from reader
+
+    return rows.select(block).mapInArrow(run, schema)
+
+
+def messages(df: DataFrame, key: Column | str, topic: str, partitions: int = 1) -> DataFrame:
+    """``topic, partition, key, value``: each row as JSON, dealt to a partition by the MD5 of its key (null: empty), so a
+    key's messages stay in one."""
+    k = F.coalesce((F.expr(key) if isinstance(key, str) else key).cast("string"), F.lit(""))
+    at = F.conv(F.substring(F.md5(k.cast("binary")), 1, 8), 16, 10).cast("long") % partitions
+    return df.select(F.lit(topic).alias("topic"), at.cast("int").alias("partition"), k.alias("key"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def queue(servers: str, key: Column | str, topic: str, partitions: int = 1) -> Callable[[DataFrame], None]:
+    """Messages to a Kafka topic, where the session has the connector; each is delivered at least once."""
+    return lambda df: messages(df, key, topic, partitions).write.format("kafka").option("kafka.bootstrap.servers", servers).save()
+
+
 def log_rows(n: int = 20, logger: str = "millrace") -> Callable[[DataFrame], int]:
     """The first rows as JSON, to a log of the driver."""
 

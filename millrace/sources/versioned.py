@@ -52,22 +52,29 @@ class VersionedTable:
             if c in df.columns:
                 df = df.withColumn(c, F.col(c).cast("binary")).withMetadata(c, {"blob": "true"})
         old = self._manifest(have[-1]) if have and mode == "append" else {"folders": [], "schema": None}
-        folder = f"data/{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{folder}")
         fields = {f["name"]: f for f in (old["schema"] or {"fields": []})["fields"]}
         for f in json.loads(df.schema.json())["fields"]:
             kept = fields.setdefault(f["name"], f)
             if kept["type"] != f["type"]:
                 raise ValueError(f"column {f['name']} is {kept['type']}, not {f['type']}")
+        folder = f"data/{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{folder}")
         return self._publish((have[-1] if have else 0) + 1, {"folders": [*old["folders"], folder], "schema": {"type": "struct", "fields": list(fields.values())}})
 
     def _publish(self, version: int, manifest: dict) -> int:
+        """Writes a manifest whole under a name of its own and then claims the version by creating ``<version>.lock``, which
+        the file system lets one writer alone do; the claim's owner moves the manifest into place."""
         final = self._path(f"{self.path}/_manifests/{version}.json")
         part = self._path(f"{self.path}/_manifests/.{uuid.uuid4().hex}")
         out = self._fs.create(part, False)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        if not self._fs.rename(part, final):
+        try:
+            self._fs.create(self._path(f"{self.path}/_manifests/.{version}.lock"), False).close()
+        except Exception as e:
+            self._fs.delete(part, False)
+            raise FileExistsError(f"version {version} was written by another") from e
+        if self._fs.exists(final) or not self._fs.rename(part, final):
             self._fs.delete(part, False)
             raise FileExistsError(f"version {version} was written by another")
         return version

@@ -1,5 +1,6 @@
 import json
 import os
+import shutil
 
 import pyarrow as pa
 import pytest
@@ -198,3 +199,44 @@ def test_window_stream_equals_batch_but_for_the_open_window(spark, tmp_path):
 def test_cli():
     assert options(["--some-key", "4", "--flag", "--x=1.5", "--name", "a"]) == {"some_key": 4, "flag": True, "x": 1.5, "name": "a"}
     assert [scalar(x) for x in ("true", "3", "2.5", "abc")] == [True, 3, 2.5, "abc"]
+
+
+def test_keys_beyond_the_inferred_schema_are_refused(spark):
+    from millrace.rowfn import RowSteps, map_rows
+
+    late = RowSteps([("map", lambda r: {"id": r["id"]} | ({"late": 1} if r["id"] >= 150 else {}))])
+    df = spark.range(0, 300, 1, 1)
+    for policy in ("fail", "drop_row", "empty"):
+        with pytest.raises(Exception, match="late"):
+            map_rows(df, late, on_error=policy).collect()
+    assert map_rows(df, late, sample=200).where("late = 1").count() == 150
+    p = Pipeline("p").source("in", lambda s: df).map("m", fn=lambda r: {"id": r["id"]} | ({"late": 1} if r["id"] >= 150 else {}), sample=200)
+    assert "late" in p.result(spark).columns
+
+
+def test_a_refused_version_leaves_no_files(spark, tmp_path):
+    from millrace.sources.versioned import VersionedTable
+
+    t = VersionedTable(spark, str(tmp_path))
+    t.write(spark.range(3), "create")
+    with pytest.raises(ValueError):
+        t.write(spark.createDataFrame([("x",)], "id string"))
+    assert len(list((tmp_path / "data").iterdir())) == 1 and t.versions() == [1]
+
+
+def test_the_entry_survives_a_missing_subpackage(tmp_path):
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; n = sorted(e.queries()); assert 'window_rank' in n and not [x for x in n if x.startswith('op1')], n; e.oracle_sql()"
+    for how in ("without", "empty", "broken"):
+        here = tmp_path / how
+        shutil.copytree(root, here, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+        if how != "without":
+            (here / "millrace" / "llm").mkdir()
+            shutil.copy(f"{here}/bench.py", f"{here}/corpus_pipeline.py")
+        if how == "broken":
+            (here / "millrace" / "llm" / "__init__.py").write_text("")
+            (here / "millrace" / "llm" / "queries.py").write_text("import no_such_module_here")
+        subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=here, check=True)
