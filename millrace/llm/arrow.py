@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -30,25 +31,25 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField]
     return df.mapInArrow(run, schema)
 
 
-def emit_rows(df: DataFrame, inputs: list[str], schema: str, make: Callable) -> DataFrame:
+def emit_rows(df: DataFrame, inputs: list[str], schema: str | T.StructType, make: Callable) -> DataFrame:
     """Rows that ``make()``'s function yields for the batches of ``df``: an iterator of lists of Arrow arrays.
 
     The function gets the input arrays, or ``None`` in place of them when the task has no more batches, so that it
     can flush what it has gathered.
     """
-    out = T._parse_datatype_string(schema)
+    out = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     names = out.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for b in batches:
             at = {n: i for i, n in enumerate(b.schema.names)}
-            for arrays in fn(*[b.column(at[n]) for n in inputs]):
+            for arrays in fn(*[b.column(at[n]) for n in inputs]) or ():
                 yield pa.RecordBatch.from_arrays(arrays, names)
-        for arrays in fn(*[None for _ in inputs]):
+        for arrays in fn(*[None for _ in inputs]) or ():
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return df.select(*inputs).mapInArrow(run, out)
+    return df.select(*[F.col(f"`{n}`") for n in inputs]).mapInArrow(run, out)
 
 
 def raw(column: pa.Array) -> list[bytes]:

@@ -257,6 +257,74 @@ def test_classlm(spark, docs, known):
         base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in toks[r.doc_id])
         assert abs(r.base_score - base) < 1e-6 and (r.n_tokens, r.train_tokens, r.n_known) == (len(toks[r.doc_id]), n, sum(c[w] > 0 for w in toks[r.doc_id]))
     assert sum(r.score for r in out if r.held_out) > sum(r.base_score for r in out if r.held_out)
+    score = brute_class_model([ws[:-1] for k, ws in toks.items() if zlib.crc32(str(k).encode()) % 5 != 1], known)
+    for r in out[:: len(out) // 60]:
+        assert abs(r.score - score(toks[r.doc_id][:-1])) < 1e-6
+
+
+def brute_class_model(train, most):
+    """The class model of lists of words, by loops; only the exchange itself is the operator's, which has a test of its own."""
+    c, n_classes = Counter(w for ws in train for w in ws), classlm.CLASSES
+    full = c + Counter({b"\n": len(train)})
+    level = lambda w: math.floor(math.log2(full[w]) * 8)
+    least, held = None, 0
+    for at, n in sorted(Counter(map(level, full)).items(), reverse=True):
+        if held + n > most:
+            break
+        least, held = at, held + n
+    known = {w for w in c if least is not None and level(w) >= least}
+    ranked = sorted((w for w in known if c[w] >= classlm.LEAST), key=lambda w: (-c[w], classlm.word_hash(w)))[: classlm.FREQUENT]
+    own = {w: 1 + i for i, w in enumerate(ranked)}
+    unit = lambda w: 0 if w == b"\n" else own.get(w) or classlm.ending(w)
+    pairs = np.zeros((classlm.UNITS, classlm.UNITS), np.int64)
+    texts = [[b"\n", *ws, b"\n"] for ws in train]
+    for ws in texts:
+        for a, b in zip(ws, ws[1:]):
+            pairs[unit(a), unit(b)] += 1
+    of_unit = classlm.exchange(pairs, n_classes)
+    between = np.zeros((n_classes, n_classes))
+    np.add.at(between, (of_unit[:, None], of_unit[None, :]), pairs)
+    before, after = Counter(), Counter()
+    for ws in texts:
+        for a, w, b in zip(ws, ws[1:], ws[2:]):
+            if w in known and w not in own:
+                before[w, of_unit[unit(a)]] += 1
+                after[w, of_unit[unit(b)]] += 1
+    size, logs = between.sum(0) + 1, np.log(between + 0.5)
+    votes = {w: np.zeros(n_classes) for w in known if w not in own}
+    for (w, k), n in before.items():
+        votes[w] += n * (logs[k] - np.log(size))
+    for (w, k), n in after.items():
+        votes[w] += n * (logs[:, k] - np.log(size))
+    cls, moved = {}, between.copy()
+    for w, v in votes.items():
+        v[of_unit[unit(w)]] += classlm.DOUBT
+        cls[w] = 1 + int(np.argmax(v[1:]))
+    for (w, k), n in before.items():
+        moved[k, cls[w]] += n
+        moved[k, of_unit[unit(w)]] -= n
+    for (w, k), n in after.items():
+        moved[cls[w], k] += n
+        moved[of_unit[unit(w)], k] -= n
+    moved = np.maximum(moved, 0)
+    class_of = lambda w: cls.get(w, of_unit[unit(w)])
+    tokens, kinds = np.zeros(n_classes), np.zeros(n_classes)
+    for w, n in full.items():
+        tokens[class_of(w)] += n
+        kinds[class_of(w)] += 1
+    share = (tokens + 1) / (tokens.sum() + n_classes)
+    step = (moved + classlm.PRIOR * share) / (moved.sum(1) + classlm.PRIOR)[:, None]
+    assert np.allclose(step.sum(1), 1)
+
+    def score(ws):
+        total, last = 0.0, 0
+        for w in [*ws, b"\n"]:
+            k = class_of(w)
+            total += math.log10(step[last, k] * (full[w] + 0.5) / (tokens[k] + 0.5 * (kinds[k] + 1)))
+            last = k
+        return total
+
+    return score
 
 
 def test_classlm_of_odd_rows(odd):
