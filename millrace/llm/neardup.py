@@ -5,8 +5,9 @@ second, shifted circularly by one place for each coordinate, ranks them. Documen
 candidates; candidates are verified on their full sets.
 
 Documents of equal sets are one class from the start. In a bucket each class is first compared with one hub, so a bucket
-of thousands of copies costs as many comparisons as it has members. Buckets whose other members are then in more than one
-component are compared in blocks, each by one matrix product, which emit a forest of links and no pairs.
+of thousands of copies costs as many comparisons as it has members. Where a bucket's other members are then in more than
+one component, those that are not in its largest one are compared with the others in blocks, each by one matrix product,
+which emit a forest of links and no pairs.
 """
 
 from __future__ import annotations
@@ -92,11 +93,15 @@ def sets_of(docs: DataFrame, ids: DataFrame, *, id_col: str, text_col: str, widt
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets' intersection is at least ``percent`` hundredths of their union."""
+    """The pairs ``a, b`` whose sets' intersection is at least ``percent`` hundredths of their union.
+
+    Nothing is aggregated after the joins, so Spark can split what one key, a hub's, brings to a task. Where several sets
+    share an id a pair may come more than once.
+    """
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("__x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("items").alias("__y")), "b")
     common = F.size(F.array_intersect("__x", "__y"))
-    return both.where(100 * common >= percent * (F.size("__x") + F.size("__y") - common)).select("a", "b").distinct()
+    return both.where(100 * common >= percent * (F.size("__x") + F.size("__y") - common)).select("a", "b")
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -115,7 +120,8 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     sets = checkpointed(sets_of(docs, members.select(F.col("rep").alias("id")).distinct(), **how))
 
     near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    hub = members.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("h")).select("band", F.col("h.rep").alias("hub"), F.col("h.n").alias("m"))
+    # A table of its own, so that the join with it can split what a large bucket brings to a task.
+    hub = checkpointed(members.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("h")).select("band", F.col("h.rep").alias("hub"), F.col("h.n").alias("m")))
     pairs = members.join(hub, "band").where((F.col("rep") != F.col("hub")) & near(F.col("n"), F.col("m"))).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     links = checkpointed(verified(pairs, sets, percent))
     labels = components(links)
@@ -136,18 +142,29 @@ _DENSE = 32_000_000
 def _apart(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``a, b``: a forest of the links between components that share a bucket and are not those of its hub.
 
-    Buckets of the same members are looked at once. A bucket's hub has been compared with all of it and is left out.
+    Buckets of the same members are looked at once. A bucket's hub has been compared with all of it and is left out. The
+    others of its largest component are linked already: only the strays, all that are not in it, are compared, with them
+    and with each other, block by block, each two blocks in a task of their own.
     """
-    live = members.join(labels.select(F.col("vertex").alias("rep"), "component"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
+    live = checkpointed(members.join(labels.select(F.col("vertex").alias("rep"), "component"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("comp")))
     same = F.bit_xor(F.xxhash64("rep"))
-    seen = live.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("m"), same.alias("x"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1 AND m > 2")
-    seen = seen.groupBy("hub", "m", "x").agg(F.min("band").alias("band"))
-    each = live.join(seen.withColumn("g", F.ceil(F.col("m") / BLOCK)), "band").where("rep <> hub").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")))
-    each = each.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-    each = each.select("rep", "comp", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    parts = live.groupBy("band", "comp").agg(F.count("*").alias("n"), F.min("rep").alias("hub"), same.alias("x"))
+    seen = parts.groupBy("band").agg(F.min("hub").alias("hub"), F.sum("n").alias("m"), F.bit_xor("x").alias("x"), F.max(F.struct("n", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1 AND m > 2")
+    seen = checkpointed(seen.groupBy("hub", "m", "x").agg(F.min("band").alias("band"), F.max("main").alias("main")))
+    blocks = lambda n: F.greatest(F.lit(1).cast("long"), F.ceil(n / BLOCK)).cast("long")
+    each = live.join(seen, "band").where("rep <> hub").withColumn("stray", F.col("comp") != F.col("main.comp"))
+    each = each.withColumns({"strays": blocks(F.col("m") - F.col("main.n")), "mains": blocks(F.col("main.n"))})
+    own = F.pmod(F.xxhash64("rep"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("mains")))
+    each = each.withColumn("own", own)
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    # Blocks j of the main component are 0 and up, those of strays -1 and down.
+    beside = F.transform(upto("mains"), lambda j: F.struct(F.col("own").alias("i"), j.alias("j")))
+    among = F.transform(upto("strays"), lambda j: F.struct(F.least("own", j).alias("i"), (-1 - F.greatest("own", j)).alias("j")))
+    of_main = F.transform(upto("strays"), lambda i: F.struct(i.alias("i"), F.col("own").alias("j")))
+    each = each.select("rep", "comp", "band", F.explode(F.when(F.col("stray"), F.concat(beside, among)).otherwise(of_main)).alias("at")).select("rep", "comp", "band", "at.i", "at.j")
     full = each.join(sets.select(F.col("id").alias("rep"), "items"), "rep").select("band", "i", "j", "rep", "comp", "items")
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = full.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = full.repartition(tasks, "band", "i", "j").sortWithinPartitions("band", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -174,17 +191,20 @@ def _apart(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
 
 
 def linked(reps: np.ndarray, comps: np.ndarray, items: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the links between sets of different components, as two arrays of ends."""
+    """A forest of the links between sets of different components, as two arrays of ends. Only those that are not in the
+    component of most are compared with all."""
     n = len(reps)
-    if n < 2 or (comps == comps[0]).all():
+    kinds, which, often = np.unique(comps, return_inverse=True, return_counts=True)
+    if n < 2 or len(kinds) < 2:
         return reps[:0], reps[:0]
+    strays = np.flatnonzero(which != np.argmax(often))
     size = np.array([len(x) for x in items])
     owner = np.repeat(np.arange(n), size)
     _, code, count = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
     shared = count[code] > 1
     owner, code = owner[shared], np.unique(code[shared], return_inverse=True)[1]
     width = int(code.max()) + 1 if len(code) else 0
-    common = np.zeros((n, n), np.float32)
+    common = np.zeros((len(strays), n), np.float32)
     step = max(1, _DENSE // n)
     order = np.argsort(code, kind="stable")
     owner, code = owner[order], code[order]
@@ -192,15 +212,18 @@ def linked(reps: np.ndarray, comps: np.ndarray, items: list[np.ndarray], percent
         at = slice(*np.searchsorted(code, [lo, lo + step]))
         held = np.zeros((n, min(step, width - lo)), np.float32)
         held[owner[at], code[at] - lo] = 1
-        common += held @ held.T
-    i, j = np.nonzero((100 * common >= percent * (size[:, None] + size[None, :] - common)) & (comps[:, None] != comps[None, :]))
+        common += held[strays] @ held.T
+    i, j = np.nonzero((100 * common >= percent * (size[strays][:, None] + size[None, :] - common)) & (comps[strays][:, None] != comps[None, :]))
+    i = strays[i]
     by = np.argsort(reps, kind="stable")
     low = np.empty(n, np.int64)
     low[by] = np.arange(n)
     start = low.copy()
     while True:
         before = low.copy()
-        np.minimum.at(low, i, low[j])
+        m = np.minimum(low[i], low[j])
+        np.minimum.at(low, i, m)
+        np.minimum.at(low, j, m)
         low = np.minimum(low, low[by[low]])
         if (before == low).all():
             break
