@@ -96,13 +96,14 @@ def _parents(nodes: DataFrame, level: int, across: bool) -> DataFrame:
 
 
 def tree(leaf_rows: DataFrame, most_pos: int, most_file: int) -> Tree:
-    """Builds the levels over leaves whose positions and files go up to the given numbers."""
+    """Builds the levels over leaves whose positions and files go up to the given numbers. Each is written before the next
+    is made of it, so that neither building nor looking at one comes back to the leaves."""
     levels = [leaf_rows.select(F.lit(0).alias("level"), "file", "pos", "lo", "hi", F.concat_ws(":", "lo", "hi", "hash").alias("hash"))]
     while most_pos > 0:
-        levels.append(_parents(levels[-1], len(levels), False))
+        levels.append(checkpointed(_parents(levels[-1], len(levels), False)))
         most_pos //= FANOUT
     while True:
-        levels.append(_parents(levels[-1], len(levels), True))
+        levels.append(checkpointed(_parents(levels[-1], len(levels), True)))
         if most_file <= 0:
             return Tree(levels)
         most_file //= FANOUT
