@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import checkpointed
+from millrace.llm.shared import checkpointed, unique_name
 
 SPACES = "[ \\t-\\r]+"
 
@@ -99,25 +99,27 @@ def plan(meta: DataFrame, levels: list[str], *, budget: float, weights: dict[str
     return checkpointed(leaves.join(bounds.select(*levels, "__range"), levels, "left").join(last, levels, "left").withColumn("cut", cut).drop("__range", "__last"))
 
 
-def order_hash(seed: int) -> Column:
+def order_hash(seed: int, epochs: str = "epochs", key: str = "__key") -> Column:
     """Places documents in a leaf's order for its epoch; those that share a key are taken together."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("__key"), F.lit("null"))).cast("binary"))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(epochs).cast("string"), F.coalesce(F.col(key), F.lit("null"))).cast("binary"))
 
 
 def mix(docs: DataFrame, levels: dict[str, Column], *, budget: float, weights: dict[str, dict[str, int]] | None = None, max_epochs: int = 4, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the levels as text (null: empty), ``n_tokens`` and ``copies``; documents without copies go.
 
-    Columns of ``docs`` that have one of these names are replaced. No text is shuffled. An empty table gives none. Leaves
-    without tokens keep their documents once; equal ids in a leaf are taken or left together.
+    Columns of ``docs`` that have one of these names are replaced, others of any name pass through. No text is shuffled. An
+    empty table gives none. Leaves without tokens keep their documents once; equal ids in a leaf, and null ones, are taken or
+    left together; of equal hashes none is before the other, so ties are taken together too. Null texts have no tokens.
     """
-    names = list(levels)
-    marked = docs.select("*", *[F.coalesce(c.cast("string"), F.lit("")).alias(f"__l{i}") for i, c in enumerate(levels.values())], n_tokens(F.col(text_col)).alias("__tokens"), F.col(id_col).cast("string").alias("__key"))
+    names, mine = list(levels), unique_name("mix")
+    level, tokens, key, epochs, cut, times = [f"{mine}_{i}" for i in range(len(names))], f"{mine}_tokens", f"{mine}_key", f"{mine}_epochs", f"{mine}_cut", f"{mine}_copies"
+    marked = docs.select("*", *[F.coalesce(c.cast("string"), F.lit("")).alias(to) for to, c in zip(level, levels.values())], n_tokens(F.col(text_col)).alias(tokens), F.col(id_col).cast("string").alias(key))
     inner = [f"__l{i}" for i in range(len(names))]
-    meta = checkpointed(marked.select(*inner, "__tokens", "__key"))
+    meta = checkpointed(marked.select(*[F.col(a).alias(b) for a, b in zip(level, inner)], F.col(tokens).alias("__tokens"), F.col(key).alias("__key")))
     inner_weights = {inner[i]: (weights or {}).get(n) for i, n in enumerate(names)}
     leaves = plan(meta, inner, budget=budget, weights=inner_weights, max_epochs=max_epochs, seed=seed)
-    out = marked.join(_small(leaves.select(*inner, "epochs", "cut")).withColumnRenamed("epochs", "__e").withColumnRenamed("cut", "__cut"), inner)
-    copies = F.col("__e") + (F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__e").cast("string"), F.coalesce(F.col("__key"), F.lit("null"))).cast("binary")) <= F.col("__cut")).cast("long")
-    out = out.withColumn("__copies", copies).where(F.col("__copies") > 0)
+    leaves = leaves.select(*[F.col(a).alias(b) for a, b in zip(inner, level)], F.col("epochs").alias(epochs), F.col("cut").alias(cut))
+    out = marked.join(_small(leaves), level)
+    out = out.withColumn(times, F.col(epochs) + (order_hash(seed, epochs, key) <= F.col(cut)).cast("long")).where(F.col(times) > 0)
     replaced = {*names, "n_tokens", "copies"}
-    return out.select(*[c for c in docs.columns if c not in replaced], *[F.col(a).alias(b) for a, b in zip(inner, names)], F.col("__tokens").alias("n_tokens"), F.col("__copies").alias("copies"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in replaced], *[F.col(a).alias(b) for a, b in zip(level, names)], F.col(tokens).alias("n_tokens"), F.col(times).alias("copies"))

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from millrace.llm import graph
 from millrace.llm.arrow import append_columns, emit_rows, texts
-from millrace.llm.shared import checkpointed
+from millrace.llm.shared import checkpointed, unique_name
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _AT = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -248,14 +248,16 @@ def find(docs: DataFrame, *, text_col: str = "text", found: DataFrame | None = N
     """``docs`` with ``n_email, n_ip, n_card, n_phone, base_sha256, spans``, and the sanitised text where it is asked for.
 
     Each base span becomes ``[EMAIL]`` and so on (of overlapping ones the union, by the first's kind); a disclosing term
-    becomes ``[TERM]``, or nothing if it discloses as much as the threshold for removal. A null text is empty. Columns
-    that have one of the new names are replaced. An empty table gives none.
+    becomes ``[TERM]``, or nothing if it discloses as much as the threshold for removal; of two disclosures the stronger
+    decides. A null text is empty, texts of any length are searched whole, repeated rows stay and are treated alike. Columns
+    that have one of the new names are replaced, others of any name pass through. An empty table gives none.
     """
     found = disclosures(docs, text_col=text_col, **how) if found is None else found
     rows = found.select("entity", "term", "removed", "group").limit(most_sent + 1).collect()
     inputs, extra = [text_col], None
     if len(rows) > most_sent:
-        docs, extra = _with_terms(docs, text_col, found), "__terms"
+        extra = unique_name("terms")
+        docs = _with_terms(docs, text_col, found, extra)
         inputs.append(extra)
         rows = []
     known: dict[int, list[tuple[str, bool]]] = {}
@@ -316,8 +318,10 @@ def sanitise(text: str, spans: list[Span], gone: set[int]) -> str:
     return "".join(out) + text[at:]
 
 
-def _with_terms(docs: DataFrame, text_col: str, found: DataFrame) -> DataFrame:
-    """``docs`` with the disclosing terms of each text's entities, brought to it by the hash of the text."""
+def _with_terms(docs: DataFrame, text_col: str, found: DataFrame, into: str) -> DataFrame:
+    """``docs`` with the disclosing terms of each text's entities, brought to it by the hash of the text. Texts without
+    entities, as null and empty ones, have keys of their own, and copies of a text that is large are split by Spark."""
+    mine = unique_name("key")
 
     def make():
         def fn(col):
@@ -333,12 +337,22 @@ def _with_terms(docs: DataFrame, text_col: str, found: DataFrame) -> DataFrame:
         return fn
 
     def hashed():
-        return lambda col: [pa.array([xxhash.xxh3_64_intdigest(t) >> 1 for t in texts(col)], pa.int64())]
+        at = -1 - (int.from_bytes(os.urandom(7)) << 1)
+
+        def fn(col):
+            nonlocal at
+            keys = []
+            for t in texts(col):
+                at -= 1
+                keys.append(xxhash.xxh3_64_intdigest(t) >> 1 if base_spans(t) else at)
+            return [pa.array(keys, pa.int64())]
+
+        return fn
 
     held = emit_rows(docs, [text_col], "__key long, entity long", make).distinct()
     groups = found.where("term IS NULL").select("entity", "group")
     held = held.unionByName(held.join(groups, "entity").select("__key", F.col("group").alias("entity"))).distinct()
     terms = held.join(found.where("term IS NOT NULL").select("entity", "term", "removed"), "entity").groupBy("__key", "term").agg(F.max("removed").alias("removed"))
-    terms = terms.groupBy("__key").agg(F.collect_list(F.struct("term", "removed")).alias("__terms"))
-    keyed = append_columns(docs, [text_col], [T.StructField("__key", T.LongType())], hashed)
-    return keyed.join(terms, "__key", "left").drop("__key")
+    terms = checkpointed(terms.groupBy(F.col("__key").alias(mine)).agg(F.collect_list(F.struct("term", "removed")).alias(into)))
+    keyed = append_columns(docs, [text_col], [T.StructField(mine, T.LongType())], hashed)
+    return keyed.join(terms, mine, "left").drop(mine)

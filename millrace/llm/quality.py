@@ -110,7 +110,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """Learns from all labelled rows: two rows of sums come to the driver, whatever the corpus' size.
 
     Labels other than 0 and 1 and null ids teach nothing; of several labels of an id the largest counts; documents
-    that share an id all count.
+    that share an id all count, repeated rows too, and texts are taken whole, null ones as empty. Empty tables teach nothing:
+    scores are then 0.5.
     """
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__y"))
     facts = with_statistics(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__text", "__f").drop("__text")
@@ -128,7 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Discriminant, *, text_col: str = "text", into: str = "score") -> DataFrame:
-    """``docs`` with the score of each whole text in ``into`` (which replaces a column of that name); null is empty."""
+    """``docs`` with the score of each whole text in ``into`` (which replaces a column of that name); null is empty. Equal
+    texts have equal scores, repeated rows stay, other columns of any name pass through, and an empty table gives none."""
 
     def make():
         def fn(col):
