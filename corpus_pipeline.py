@@ -1,7 +1,10 @@
 """A corpus pipeline: documents that the quality classifier rejects go, one document of each group of near-duplicates
 stays, personal data is sanitised, sources are mixed to target weights, and texts are encoded as pieces.
 
-Each stage gets the documents that its predecessor kept. All but the last return the columns of ``documents``.
+Each stage gets the documents that its predecessor kept. All but the last return the columns of ``documents``, and further
+columns of any name pass through them. In every stage a null text counts as empty (and stays null), texts of any length are
+taken whole, and an empty table gives none. Repeated rows are scored, sanitised and encoded alike and mixed together; they
+and rows of null ids stay in the stage of near-duplicates, which tells documents by their ids. Ties are as the operators say.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import mixing, neardup, pieces, privacy, quality
 from millrace.llm.queries import MIX, PIECE_MODEL, tree_levels
+from millrace.llm.shared import unique_name
 
 #: Documents of a lower score are rejected.
 LEAST_QUALITY = 0.5
@@ -20,29 +24,34 @@ LEAST_QUALITY = 0.5
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that score well enough; the classifier learns from the labelled ones among them."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = quality.fit(docs, labels)
-    return quality.score(docs, model, into="__score").where(F.col("__score") >= LEAST_QUALITY).select(*docs.columns)
+    labels, score = spark.read.parquet(f"{sf_dir}/labels.parquet"), unique_name("score")
+    scored = quality.score(docs, quality.fit(docs, labels), into=score)
+    return _only(scored.where(F.col(score) >= LEAST_QUALITY), docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group that links of similarity 0.8 join."""
-    return neardup.keep_one(docs, width=5, percent=80).select(*docs.columns)
+    return _only(neardup.keep_one(docs, width=5, percent=80), docs.columns)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without personal data and disclosing terms; ``n_chars`` follows the text."""
-    clean = privacy.find(docs, sanitised="__clean")
-    text = F.when(F.col("text").isNotNull(), F.col("__clean")).alias("text")
-    n_chars = F.char_length(text).cast("long").alias("n_chars")
-    return clean.select(*[text if c == "text" else n_chars if c == "n_chars" else F.col(c) for c in docs.columns])
+    mine = unique_name("kept")
+    kept = {c: f"{mine}_{i}" for i, c in enumerate(docs.columns)}
+    # What the operator returns may have the names of columns there are: these wait under others.
+    clean = privacy.find(docs.select(F.col("text"), *[F.col(f"`{c}`").alias(k) for c, k in kept.items()]), sanitised="clean")
+    text = F.when(F.col("text").isNotNull(), F.col("clean"))
+    new = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    return clean.select(*[new.get(c, F.col(k)).alias(c) for c, k in kept.items()])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents by target weights, once for each epoch that takes them."""
-    mixed = mixing.mix(docs.withColumns({f"__{c}": F.col(c) for c in docs.columns}), tree_levels(), **MIX)
-    each = mixed.withColumn("__epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return each.select(*[F.col(f"__{c}").alias(c) for c in docs.columns])
+    mine = unique_name("kept")
+    kept = {c: f"{mine}_{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(c) for c in ("doc_id", "text", "lang", "source")], *[F.col(f"`{c}`").alias(k) for c, k in kept.items()])
+    mixed = mixing.mix(rows, tree_levels(), **MIX)
+    return mixed.select(*[F.col(k).alias(c) for c, k in kept.items()], F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias(mine)).drop(mine)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +60,10 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces")
 
 
+def _only(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", keep_quality),
     ("near_duplicates", keep_one_of_each),
