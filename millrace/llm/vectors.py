@@ -13,9 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.arrow import emit_rows
 from millrace.llm.graph import components
@@ -23,7 +25,7 @@ from millrace.llm.shared import checkpointed
 
 PROBES = 4
 BLOCK = 2048
-SPREAD = 64
+SPREAD = 0.25
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -86,54 +88,63 @@ def buckets(x: np.ndarray, tables: int, axes: int, seed: int = 0) -> np.ndarray:
 
 
 def shape(count: int, dim: int) -> tuple[int, int]:
-    """Axes of a bucket and number of tables: buckets hold some tens of unrelated vectors at any count, and a pair of
-    cosine 0.9 is missed by all tables about once in a thousand."""
+    """Axes of a bucket and number of tables: at any count few unrelated vectors share a bucket, so few are sent for
+    comparison, and a pair of cosine 0.9 is missed by all tables about once in a thousand."""
     size = 1 << max(1, (max(dim, 2) - 1).bit_length())
     axes = max(1, math.ceil(math.log(max(count, 1) / SPREAD + 1) / math.log(2 * size)))
-    return axes, {1: 3, 2: 6, 3: 12}.get(axes, 8 * axes - 8)
+    tables = {1: 3, 2: 6, 3: 12}.get(axes, 8 * axes - 8)
+    return axes, tables + (tables // 4 if size > 256 else 0)
 
 
-def _units(ids: pa.Array, vectors: pa.Array):
-    """Ids, unit vectors and digests by length; vectors that are null, zero or not finite go."""
-    by_dim: dict[int, list] = {}
-    for i, v in zip(ids.to_pylist(), vectors.to_pylist()):
-        if v and i is not None and all(c is not None and math.isfinite(c) for c in v) and any(v):
-            by_dim.setdefault(len(v), []).append((i, v))
-    for dim, found in by_dim.items():
-        x = np.array([v for _, v in found], np.float64)
-        x /= np.abs(x).max(1, keepdims=True)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        yield dim, [i for i, _ in found], x, [xxhash.xxh3_128_digest(np.array(v, np.float64).tobytes()) for _, v in found]
+def _by_length(vectors: pa.Array):
+    """For each length of vectors, their places and their values as a matrix; null lists have none, null values are NaN."""
+    lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    values = pc.fill_null(vectors.flatten().cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False)
+    start = np.cumsum(lengths) - lengths
+    for dim in np.unique(lengths[lengths > 0]).tolist():
+        at = np.flatnonzero(lengths == dim)
+        yield at, values[start[at][:, None] + np.arange(dim)[None, :]]
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, whatever their magnitude; a row's result does not depend on the others."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """``id, key, vec`` of the vectors that are neither null nor zero and hold finite values alone; of the type they have."""
+    kind = vectors.schema[vec_col].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    stored = pa.list_(pa.float32() if single else pa.float64())
+
     def make():
         def fn(ids, vecs):
-            if ids is not None:
-                for _, keys, x, digests in _units(ids, vecs):
-                    yield [pa.array(keys, pa.int64()), pa.array(digests, pa.binary()), pa.array(list(x), pa.list_(pa.float64()))]
+            if ids is None:
+                return
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            for at, x in _by_length(vecs):
+                ok = known[at] & np.isfinite(x).all(1) & x.any(1)
+                at, x = pa.array(at[ok]), np.ascontiguousarray(x[ok]) + 0.0  # -0.0 is 0.0
+                yield [ids.take(at).cast(pa.int64()), pa.array([xxhash.xxh3_128_digest(v.tobytes()) for v in x], pa.binary()), vecs.take(at).cast(stored)]
 
         return fn
 
-    return emit_rows(vectors, [id_col, vec_col], "id long, key binary, unit array<double>", make)
+    return emit_rows(vectors, [id_col, vec_col], f"id long, key binary, vec array<{'float' if single else 'double'}>", make)
 
 
 def _placed(reps: DataFrame, tables: int, axes: int) -> DataFrame:
     def make():
-        def fn(ids, copies, units):
+        def fn(ids, vecs):
             if ids is None:
                 return
-            rows: dict[int, list[int]] = {}
-            lists = units.to_pylist()
-            for i, u in enumerate(lists):
-                rows.setdefault(len(u), []).append(i)
-            for at in rows.values():
-                b = buckets(np.array([lists[i] for i in at]), tables, axes).reshape(len(at), -1)
-                yield [ids.take(pa.array(at)), copies.take(pa.array(at)), pa.array(list(b), pa.list_(pa.int64()))]
+            for at, x in _by_length(vecs):
+                b = buckets(unit(x), tables, axes).reshape(len(at), -1)
+                yield [ids.take(pa.array(at)), pa.array(list(b), pa.list_(pa.int64()))]
 
         return fn
 
-    return emit_rows(reps, ["rep", "copies", "unit"], "rep long, copies long, buckets array<long>", make)
+    return emit_rows(reps, ["rep", "vec"], "rep long, buckets array<long>", make)
 
 
 def _compare(ids: np.ndarray, copies: np.ndarray, x: np.ndarray, keys: np.ndarray, side: np.ndarray, bucket: int, least: float, two: bool):
@@ -194,7 +205,7 @@ def _blocks(entries: DataFrame, tables: int, least: float) -> DataFrame:
             if b.num_rows < 2:
                 return None
             ids, copies, side = (b[c].to_numpy() for c in ("rep", "copies", "side"))
-            x = np.stack(b["unit"].to_numpy(zero_copy_only=False))
+            x = unit(np.stack(b["vec"].to_numpy(zero_copy_only=False)).astype(np.float64))
             keys = np.stack(b["buckets"].to_numpy(zero_copy_only=False)).reshape(len(ids), tables, PROBES)
             counts, label = _compare(ids, copies, x, keys, side, bucket, least, lo != hi)
             v, e = counts > 0, label != np.arange(len(ids))
@@ -228,19 +239,23 @@ def links(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embeddi
 
     Vectors that are null, zero, or hold nulls or values that are not finite, and rows with a null id, are linked with
     nothing. Vectors of different lengths are never linked. Equal vectors are one class, compared once. Rows that share
-    an id count as so many vectors and lie in the components of their vectors. An empty table gives none.
+    an id count as so many vectors and lie in the components of their vectors. Other columns, whatever their names, are not
+    looked at. An empty table gives none.
+
+    Ids alone are dealt out by buckets; a vector is sent once for each bucket, or block of one, that it shares with another.
     """
     usable = checkpointed(_usable(vectors, id_col, vec_col))
-    reps = checkpointed(usable.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("unit").alias("unit")))
-    count, dim = reps.agg(F.count("*"), F.max(F.size("unit"))).first()
+    reps = checkpointed(usable.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec")))
+    usable = usable.select("id", "key")
+    count, dim = reps.agg(F.count("*"), F.max(F.size("vec"))).first()
     axes, tables = shape(count, dim or 2)
-    placed = checkpointed(_placed(reps, tables, axes).join(reps.select("rep", "unit"), "rep"))
+    placed = checkpointed(_placed(reps, tables, axes))
     each = placed.select("rep", F.explode(F.array_distinct("buckets")).alias("bucket"))
     shared = each.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").withColumn("g", F.ceil(F.col("m") / block))
     entries = each.join(shared.select("bucket", "g"), "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")))
     entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
     entries = entries.select("rep", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"))
-    full = entries.join(placed, "rep").select("bucket", "i", "j", "side", "rep", "copies", "unit", "buckets")
+    full = entries.join(placed, "rep").join(reps.select("rep", "copies", "vec"), "rep").select("bucket", "i", "j", "side", "rep", "copies", "vec", "buckets")
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = checkpointed(_blocks(full.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"), tables, least))
     counts = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("linked"))
