@@ -18,17 +18,18 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField]
     field that has the name of an existing column replaces it.
     """
     names = [f.name for f in fields]
-    kept = [f for f in df.schema.fields if f.name not in names]
-    schema = T.StructType(kept + fields)
+    kept = [i for i, f in enumerate(df.schema.fields) if f.name not in names]
+    inside = [df.columns.index(n) for n in inputs]
+    # Columns go by their places: Spark hands on no name that has a dot in it.
+    schema = T.StructType([T.StructField(f"c{i}", df.schema[i].dataType) for i in kept] + [T.StructField(f"n{i}", f.dataType) for i, f in enumerate(fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for b in batches:
-            at = {n: i for i, n in enumerate(b.schema.names)}
-            new = fn(*[b.column(at[n]) for n in inputs])
-            yield pa.RecordBatch.from_arrays([b.column(at[f.name]) for f in kept] + list(new), [f.name for f in kept] + names)
+            new = fn(*[b.column(i) for i in inside])
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in kept] + list(new), schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, schema).toDF(*[df.columns[i] for i in kept], *names)
 
 
 def emit_rows(df: DataFrame, inputs: list[str], schema: str | T.StructType, make: Callable) -> DataFrame:
@@ -43,13 +44,12 @@ def emit_rows(df: DataFrame, inputs: list[str], schema: str | T.StructType, make
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for b in batches:
-            at = {n: i for i, n in enumerate(b.schema.names)}
-            for arrays in fn(*[b.column(at[n]) for n in inputs]) or ():
+            for arrays in fn(*b.columns) or ():
                 yield pa.RecordBatch.from_arrays(arrays, names)
         for arrays in fn(*[None for _ in inputs]) or ():
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return df.select(*[F.col(f"`{n}`") for n in inputs]).mapInArrow(run, out)
+    return df.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(inputs)]).mapInArrow(run, out)
 
 
 def raw(column: pa.Array) -> list[bytes]:

@@ -1,29 +1,5 @@
-"""Folders that every executor sees, for tables that cut lineage."""
+"""Tables that cut lineage, and names that no table has: the library's own, for the operators here."""
 
-from __future__ import annotations
+from millrace.scratch import checkpointed, ensure_checkpoint_dir, unique_name
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Makes ``spark.checkpoint.dir`` the checkpoint folder. Where it is unset, a local one is made in local mode alone: on a
-    cluster other machines would not see it."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        to = spark.conf.get("spark.checkpoint.dir", None)
-        if to is None and not (sc.master == "local" or sc.master.startswith("local[")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(to or tempfile.mkdtemp(prefix="millrace-"))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read from there: a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def unique_name(prefix: str) -> str:
-    return f"__{prefix}_{uuid.uuid4().hex[:8]}"
+__all__ = ["checkpointed", "ensure_checkpoint_dir", "unique_name"]
