@@ -3,6 +3,7 @@ functions; all that follows from their numbers is column expressions."""
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -141,19 +142,23 @@ def random_split(df: DataFrame, weights: list[float], seed: int = 0, key: str |
     return [df.where((at >= lo) & (at < hi)) for lo, hi in zip(edges, edges[1:])]
 
 
-def deal_blocks(sizes: list[int], ranks: int) -> dict[int, list[tuple[int, int]]]:
-    """Blocks and sample counts for each rank, the same number of samples each: ranks take blocks in turn, and one that
-    is short takes on from the first blocks again."""
+def deal_blocks(sizes: list[int], ranks: int, shuffle: bool = False, seed: int = 0) -> dict[int, list[tuple[int, int]]]:
+    """Blocks and sample counts for each rank, the same number of samples each: ranks take blocks in turn, in a seeded
+    order if they are shuffled, and one that is short takes on from the first blocks again."""
     if not sizes or ranks < 1 or ranks > len(sizes):
         raise ValueError("there must be at least as many blocks as ranks")
+    order = list(range(len(sizes)))
+    if shuffle:
+        random.Random(seed).shuffle(order)
     each = -(-sum(sizes) // ranks)
     out = {}
     for r in range(ranks):
         picked, left, i = [], each, r
         while left > 0:
-            take = min(sizes[i % len(sizes)], left)
+            block = order[i % len(sizes)]
+            take = min(sizes[block], left)
             if take:
-                picked.append((i % len(sizes), take))
+                picked.append((block, take))
             left -= take
             i += ranks if i + ranks < len(sizes) else 1
         out[r] = picked

@@ -43,6 +43,11 @@ class SplitSource(DataSource):
     def read_split(self, split: dict) -> Iterator[pa.RecordBatch]:
         raise NotImplementedError
 
+    def push(self, filters: list) -> list:
+        """Takes the filters that the source applies by itself and gives back the others, which Spark then applies. It is
+        asked before ``plan``, in sessions with ``spark.sql.python.filterPushdown.enabled``."""
+        return filters
+
     def reader(self, schema) -> DataSourceReader:
         return _SplitReader(self)
 
@@ -56,6 +61,9 @@ class _SplitReader(DataSourceReader):
     def __init__(self, source: SplitSource):
         self.source = source
 
+    def pushFilters(self, filters: list) -> Iterable:
+        return self.source.push(list(filters))
+
     def partitions(self) -> list[InputPartition]:
         return [_Split(s) for s in self.source.plan()]
 

@@ -26,6 +26,8 @@ def test_media(spark):
     assert len(media.with_hash(spark.createDataFrame([(b"x",)], "slice_binary binary")).first().slice_sha256) == 64
     dealt = media.deal_blocks([4, 1, 7, 2, 2, 9, 3], 3)
     assert len({sum(n for _, n in v) for v in dealt.values()}) == 1
+    mixed = [media.deal_blocks([4, 1, 7, 2, 2, 9, 3], 3, True, seed) for seed in (1, 1, 2)]
+    assert mixed[0] == mixed[1] != mixed[2] and len({sum(n for _, n in v) for v in mixed[2].values()}) == 1
     parts = media.random_split(spark.range(1000), [0.7, 0.3], 3, "id")
     assert sum(p.count() for p in parts) == 1000 and 600 < parts[0].count() < 800
     rows = media.scene_rows(spark.createDataFrame([(7, [1.0], 2.0)], "global_index long, boundaries array<double>, duration_sec double"), index_col="global_index").collect()
