@@ -44,12 +44,12 @@ class SplitSource(DataSource):
         raise NotImplementedError
 
     def push(self, filters: list) -> list:
-        """Takes the filters that the source applies by itself and gives back the others, which Spark then applies. It is
-        asked before ``plan``, in sessions with ``spark.sql.python.filterPushdown.enabled``."""
+        """Takes the filters that the source applies by itself and gives back the others, which Spark then applies. A source
+        that has it is asked before ``plan``, and needs a session with ``spark.sql.python.filterPushdown.enabled``."""
         return filters
 
     def reader(self, schema) -> DataSourceReader:
-        return _SplitReader(self)
+        return _SplitReader(self) if type(self).push is SplitSource.push else _PushingReader(self)
 
 
 class _Split(InputPartition):
@@ -61,11 +61,13 @@ class _SplitReader(DataSourceReader):
     def __init__(self, source: SplitSource):
         self.source = source
 
-    def pushFilters(self, filters: list) -> Iterable:
-        return self.source.push(list(filters))
-
     def partitions(self) -> list[InputPartition]:
         return [_Split(s) for s in self.source.plan()]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         yield from self.source.read_split(partition.value)
+
+
+class _PushingReader(_SplitReader):
+    def pushFilters(self, filters: list) -> Iterable:
+        return self.source.push(list(filters))

@@ -161,6 +161,26 @@ def test_frame_sources(spark):
     spark.dataSource.register(Blocks)
     assert spark.read.format("blocks").load().count() == 100
 
+    class Pushed(Blocks):
+        @classmethod
+        def name(cls):
+            return "pushed"
+
+        def push(self, filters):
+            self.least = [f.value for f in filters if type(f).__name__ == "GreaterThanOrEqual" and f.attribute == ("block",)]
+            return [f for f in filters if f.attribute != ("block",) or type(f).__name__ not in ("GreaterThanOrEqual", "IsNotNull")]
+
+        def plan(self):
+            return [{"block": b} for b in range(5) if all(b >= x for x in self.least)]
+
+    spark.dataSource.register(Pushed)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        df = spark.read.format("pushed").load().where("block >= 3 AND id < 5")
+        assert df.rdd.getNumPartitions() == 2 and df.count() == 10
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
 
 def test_versioned_table(spark, tmp_path):
     t = VersionedTable(spark, f"{tmp_path}/t")
