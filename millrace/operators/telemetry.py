@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.scratch import checkpointed
+
 
 def tumbling_latest(events: DataFrame, ts: str, source: str, group: str, seconds: int, tie: str, **sums: str) -> DataFrame:
     """``window_start, group, n_sources`` and sums, over tumbling windows of event time.
@@ -28,11 +30,27 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataF
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
+def _in_ranges(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` dealt out by ranges of columns, ``__part`` the range, and written: a key's rows may lie in several ranges, so
+    a key of any size is spread over tasks."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpointed(df.repartitionByRange(n, *columns).withColumn("__part", F.spark_partition_id()))
+
+
 def rate(df: DataFrame, key: str, ts: Column, value: str, order: list[str]) -> DataFrame:
-    """The change of a value a second since the key's row before; null for the first and where no time has passed."""
-    w = Window.partitionBy(key).orderBy(*order)
-    seconds = ts - F.lag(ts).over(w)
-    return df.withColumn("rate", F.when(seconds > 0, (F.col(value) - F.lag(value).over(w)) / seconds))
+    """The change of a value a second since the key's row before; null for the first and where no time has passed.
+
+    Rows are compared within ranges of key and order; each range of a key begins with the last row of the key's range
+    before, one row a key and range, so no key's rows meet in one task.
+    """
+    rows = _in_ranges(df.withColumn("__t", ts), [key, *order]).withColumn("__real", F.lit(1))
+    last = rows.groupBy(key, "__part").agg(F.max_by(F.struct("__t", F.col(value).alias("v")), F.struct(*order)).alias("__last"))
+    before = last.withColumn("__last", F.lag("__last").over(Window.partitionBy(key).orderBy("__part"))).where("__last IS NOT NULL")
+    before = before.select(key, "__part", F.col("__last.__t").alias("__t"), F.col("__last.v").alias(value), F.lit(0).alias("__real"))
+    w = Window.partitionBy(key, "__part").orderBy("__real", *order)
+    seconds = F.col("__t") - F.lag("__t").over(w)
+    out = rows.unionByName(before, allowMissingColumns=True).withColumn("rate", F.when(seconds > 0, (F.col(value) - F.lag(value).over(w)) / seconds))
+    return out.where("__real = 1").drop("__t", "__part", "__real")
 
 
 def rate_limited(df: DataFrame, key: str, ts: str, interval: float, tie: str) -> DataFrame:
@@ -102,13 +120,21 @@ def error_groups(errors: DataFrame, kind: str, message: str, ts: str) -> DataFra
 
 
 def exact_percentiles(df: DataFrame, by: list[str], value: str, ps: dict[str, float]) -> DataFrame:
-    """The element at ``floor(n p)``, from 0, of a group's sorted values. Values are counted, and a window ranks the
-    distinct ones, so groups of any size are never collected."""
+    """The element at ``floor(n p)``, from 0, of a group's sorted values; null values don't count.
+
+    Values are counted, and ranked by running sums within ranges of group and value; each range of a group begins with
+    the count of the ranges before, one row a group and range. So groups of any size are neither collected nor sorted in one task.
+    """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
-    upto = F.sum("__n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("__upto", upto).withColumn("__all", F.sum("__n").over(Window.partitionBy(*by)))
-    at = lambda p: F.least(F.floor(F.col("__all") * p), F.col("__all") - 1)
-    return ranked.groupBy(*by).agg(*[F.min(F.when(F.col("__upto") > at(p), F.col(value))).alias(k) for k, p in ps.items()])
+    placed = _in_ranges(counts, [*by, value]).withColumn("__all", F.lit(None).cast("long"))
+    sums = placed.groupBy(*by, "__part").agg(F.sum("__n").alias("__sum"))
+    group, so_far = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("__part")
+    before = sums.select(*by, "__part", F.lit(None).cast(df.schema[value].dataType).alias(value), (F.sum("__sum").over(so_far) - F.col("__sum")).alias("__n"), F.sum("__sum").over(group).alias("__all"))
+    at = Window.partitionBy(*by, "__part")
+    upto = F.sum("__n").over(at.orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = placed.unionByName(before).withColumn("__upto", upto).withColumn("__all", F.max("__all").over(at)).where(F.col(value).isNotNull())
+    place = lambda p: F.least(F.floor(F.col("__all") * p), F.col("__all") - 1)
+    return ranked.groupBy(*by).agg(*[F.min(F.when(F.col("__upto") > place(p), F.col(value))).alias(k) for k, p in ps.items()])
 
 
 #: The bounds that readers of these histograms know.

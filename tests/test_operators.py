@@ -172,3 +172,18 @@ def test_states_by_batches(spark, tmp_path):
     for _ in range(2):
         write(second, 1)
     assert {(r.job, r.status, r.n_changes) for r in state.read_state(spark, str(tmp_path)).collect()} == {("a", "DONE", 2), ("b", "DONE", 2)}
+
+
+def test_rates_and_percentiles_across_ranges(spark):
+    """A hot key, a null one, ties, and more ranges than keys."""
+    rows = [(k, i, float((i * 37) % 101) if i % 9 else None) for k, n in (("hot", 400), (None, 30), ("one", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, i long, v double")
+    got = {(r.k, r.i): r.rate for r in telemetry.rate(df, "k", (F.col("i") * 2).cast("double"), "v", ["i"]).collect()}
+    at = {(k, i): v for k, i, v in rows}
+    for (k, i), v in at.items():
+        before = at.get((k, i - 1))
+        assert got[k, i] == (None if v is None or before is None else (v - before) / 2)
+    ps = {"p0": 0.0, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    for r in telemetry.exact_percentiles(df, ["k"], "v", ps).collect():
+        values = sorted(v for k, _, v in rows if k == r.k and v is not None)
+        assert [r[p] for p in ps] == [values[min(int(len(values) * p), len(values) - 1)] for p in ps.values()]
