@@ -5,9 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.scalar import split_id
 from millrace.scratch import checkpointed
 
 
+def records(df: DataFrame, stage: str, parents: Column, sequence: Column, *, worker: Column, seconds: Column, inputs: Column, outputs: Column, ts: Column, data_range: Column | None = None) -> DataFrame:
+    """One lineage record a row: ``split_id, stage_id, parent_ids, worker_id, processing_time, input_records,
+    output_records, timestamp, data_range``. The id follows from the stage, the parents in any order, and the number."""
+    none = F.lit(None).cast("map<string,string>")
+    return df.select(
+        split_id(stage, parents, sequence).alias("split_id"), F.lit(stage).alias("stage_id"), F.array_sort(parents).alias("parent_ids"), worker.cast("string").alias("worker_id"), seconds.cast("double").alias("processing_time"),
+        inputs.cast("long").alias("input_records"), outputs.cast("long").alias("output_records"), ts.cast("double").alias("timestamp"), (none if data_range is None else data_range).alias("data_range"),
+    )
+
+
 def nodes(records: DataFrame) -> DataFrame:
     """One row a split: the last record of it."""
     last = F.max_by(F.struct(*[c for c in records.columns if c not in ("split_id", "parent_ids")]), F.col("timestamp"))

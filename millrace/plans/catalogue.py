@@ -18,7 +18,7 @@ from millrace.sources.files import files, plan_splits, row_slice
 from millrace.sources.frames import dataframe
 from millrace.sources.sampling import sample_rows
 from millrace.sources.versioned import VersionedTable
-from millrace.streaming.incremental import replace_batch, run_available
+from millrace.streaming.incremental import commit_batches, replace_batch, run_available
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -581,6 +581,26 @@ def lineage_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.nodes(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("split_id"), F.col("l_partkey").alias("part"), F.expr("cast(l_linenumber * 1000000 + l_partkey AS double)").alias("timestamp")))
 
 
+@query("""
+SELECT 'load:' || substr(sha256(CASE WHEN l_partkey::varchar < l_suppkey::varchar THEN l_partkey || ',' || l_suppkey ELSE l_suppkey || ',' || l_partkey END || '|' || l_linenumber), 1, 12) AS split_id,
+  'load' AS stage_id, l_orderkey::varchar AS worker_id, l_quantity AS processing_time, l_linenumber::bigint AS input_records, (l_linenumber * 2)::bigint AS output_records
+FROM lineitem""")
+def lineage_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parents, n = F.array(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")), F.col("l_linenumber")
+    out = lineage.records(table(spark, sf_dir, "lineitem"), "load", parents, n, worker=F.col("l_orderkey"), seconds=F.col("l_quantity"), inputs=n, outputs=n * 2, ts=F.lit(0.0))
+    return out.drop("parent_ids", "timestamp", "data_range")
+
+
+@query("SELECT event_id, user_id FROM events")
+def stream_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream into a versioned table, in two phases; its last batch comes again and changes nothing."""
+    at = fresh_dir(spark, "commits")
+    write = commit_batches(f"{at}/out", "events")
+    run_available(_event_stream(spark, sf_dir).select("event_id", "user_id"), f"{at}/state", each=write)
+    write(table(spark, sf_dir, "events").select("event_id", "user_id"), 0)
+    return VersionedTable(spark, f"{at}/out").read()
+
+
 @query("""
 WITH RECURSIVE e AS (SELECT DISTINCT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer),
 d AS (SELECT DISTINCT parent AS split, 0 AS depth FROM e WHERE parent NOT IN (SELECT child FROM e) UNION SELECT e.child, d.depth + 1 FROM d JOIN e ON e.parent = d.split)

@@ -39,14 +39,23 @@ class VersionedTable:
         finally:
             stream.close()
 
-    def write(self, df: DataFrame, mode: str = "append", blob_columns: list[str] | None = None) -> int:
+    def write(self, df: DataFrame, mode: str = "append", blob_columns: list[str] | None = None, batch: tuple[str, int] | None = None) -> int:
         """A new version: ``create`` fails if there is a table, ``overwrite`` starts anew. Row positions are left out;
-        blob columns become binary and are marked so."""
+        blob columns become binary and are marked so.
+
+        Files come first and are seen by none until their manifest is there. A ``batch``, the name of a stream and a number,
+        is told in the manifest: one that is no larger than the stream's last is there already and not written again.
+        """
         if mode not in MODES:
             raise ValueError(f"mode is one of {', '.join(MODES)}")
         have = self.versions()
         if mode == "create" and have:
             raise FileExistsError(self.path)
+        batches = dict(self._manifest(have[-1]).get("batches", {})) if have else {}
+        if batch is not None:
+            if batches.get(batch[0], -1) >= batch[1]:
+                return have[-1]
+            batches[batch[0]] = batch[1]
         df = df.drop(*ROW_COLUMNS)
         for c in blob_columns or []:
             if c in df.columns:
@@ -59,7 +68,7 @@ class VersionedTable:
                 raise ValueError(f"column {f['name']} is {kept['type']}, not {f['type']}")
         folder = f"data/{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{folder}")
-        return self._publish((have[-1] if have else 0) + 1, {"folders": [*old["folders"], folder], "schema": {"type": "struct", "fields": list(fields.values())}})
+        return self._publish((have[-1] if have else 0) + 1, {"folders": [*old["folders"], folder], "schema": {"type": "struct", "fields": list(fields.values())}, "batches": batches})
 
     def _publish(self, version: int, manifest: dict) -> int:
         """Writes a manifest whole under a name of its own and then claims the version by creating ``<version>.lock``, which

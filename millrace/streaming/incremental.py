@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.versioned import VersionedTable
+
 
 def stream_files(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
     """A stream of a folder's files, oldest first; a bound of files a batch keeps memory and latency in check."""
@@ -53,3 +55,13 @@ def replace_batch(path: str) -> Callable[[DataFrame, int], None]:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
+
+
+def commit_batches(path: str, stream: str) -> Callable[[DataFrame, int], None]:
+    """A batch writer in two phases: a batch's files, then the manifest of a version that tells the batch. Whenever the
+    writer fails or comes again, readers see each batch of a stream once."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        VersionedTable(batch.sparkSession, path).write(batch, batch=(stream, number))
+
+    return write
