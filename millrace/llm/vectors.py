@@ -149,8 +149,7 @@ def _placed(reps: DataFrame, tables: int, axes: int) -> DataFrame:
 
 def _compare(ids: np.ndarray, copies: np.ndarray, x: np.ndarray, keys: np.ndarray, side: np.ndarray, bucket: int, least: float, two: bool):
     """Counts and a forest of the links whose first shared bucket this is. With ``two`` sides only links across count."""
-    n, tables = len(ids), keys.shape[1]
-    table = bucket >> 52
+    n, table = len(ids), bucket >> 52
     counts, label = np.zeros(n, np.int64), np.arange(n)
     pairs_i, pairs_j = [], []
     for lo in range(0, n, 512):
@@ -163,12 +162,15 @@ def _compare(ids: np.ndarray, copies: np.ndarray, x: np.ndarray, keys: np.ndarra
         i, j = i[ok], j[ok]
         for at in range(0, len(i), 20000):
             p, q = i[at : at + 20000], j[at : at + 20000]
-            first = np.full(len(p), tables)
-            for t in range(int(table), -1, -1):
-                first[(keys[p, t][:, :, None] == keys[q, t][:, None, :]).any((1, 2))] = t
+            # Most close pairs share a bucket of the first tables, and go at once.
+            for t in range(int(table)):
+                if not len(p):
+                    break
+                new = ~(keys[p, t][:, :, None] == keys[q, t][:, None, :]).any((1, 2))
+                p, q = p[new], q[new]
             a, b = keys[p, int(table)], keys[q, int(table)]
             lowest = np.where((a[:, :, None] == b[:, None, :]).any(2), a, np.iinfo(np.int64).max).min(1)
-            own = (first == table) & (lowest == bucket)
+            own = lowest == bucket
             pairs_i.append(p[own])
             pairs_j.append(q[own])
     if not pairs_i:
