@@ -155,9 +155,12 @@ class Transducer:
         self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
         sign = SIGN.encode()
         self.raw = [bytes([int(p[3:5], 16)]) if t == BYTE else b" \xe2\x81\x87 " if t == UNKNOWN else b"" if t == CONTROL else p.encode().replace(sign, b" ") if self.escape else p.encode() for p, t in zip(self.pieces, self.types)]
+        # What has been learned of pairs and parts: the newer half, and the one before, so that what is frequent stays.
         self.pairs: dict[str, dict[str, bool]] = defaultdict(dict)
+        self.older_pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def normalise(self, text: str) -> str:
         if self.map:
@@ -234,11 +237,12 @@ class Transducer:
 
     def neighbours(self, a: str, b: str) -> bool:
         """Whether the arc from ``a`` to ``b`` is finite; an empty ``a`` is the start."""
-        found = self.merge(a + b) == ([a, b] if a else [b])
+        found = self.older_pairs[a].get(b) if a in self.older_pairs else None
+        if found is None:
+            found = self.merge(a + b) == ([a, b] if a else [b])
         self.n_pairs += 1
-        if self.n_pairs > 1_000_000:
-            self.pairs.clear()
-            self.n_pairs = 0
+        if self.n_pairs > 600_000:
+            self.older_pairs, self.pairs, self.n_pairs = self.pairs, defaultdict(dict), 0
         self.pairs[a][b] = found
         return found
 
@@ -283,12 +287,18 @@ class Transducer:
         return out[::-1]
 
     def part(self, text: str) -> list[int]:
+        if self.user is None or not self.bpe:
+            found = self.shortest(text)
+        else:
+            found = [p for i, x in enumerate(self.user.split(text)) for p in ([x] if i % 2 else self.shortest(x))]
         out: list[int] = []
-        for i, frozen in enumerate(self.user.split(text) if self.user and self.bpe else [text]):
-            for piece in [frozen] if i % 2 else self.shortest(frozen):
-                ids = self.spelt(piece)
-                if ids != (self.unknown,) or not out or out[-1] != self.unknown:  # a run of unknown characters is one
-                    out += ids
+        ids = self.ids
+        for piece in found:
+            k = ids.get(piece)
+            if k is not None:
+                out.append(k)
+            elif self.bytes or not out or out[-1] != self.unknown:  # a run of unknown characters is one
+                out += self.spelt(piece)
         return out
 
     def packed(self, text: str) -> bytes:
@@ -297,10 +307,11 @@ class Transducer:
         for part in self.cut.findall(self.normalise(text)):
             ids = known.get(part)
             if ids is None:
-                ids = array("i", self.part(part)).tobytes()
+                ids = self.older.get(part) or array("i", self.part(part)).tobytes()
                 if len(part) <= 48:
-                    if len(known) > 500_000:
-                        known.clear()
+                    if len(known) > 300_000:
+                        self.older, self.known = known, {}
+                        known = self.known
                     known[part] = ids
             out.append(ids)
         return b"".join(out)
