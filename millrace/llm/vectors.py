@@ -193,7 +193,7 @@ def _compare(ids: np.ndarray, copies: np.ndarray, x: np.ndarray, keys: np.ndarra
     return counts, by_id[low]
 
 
-def _blocks(entries: DataFrame, tables: int, least: float) -> DataFrame:
+def _blocks(entries: DataFrame, least: float) -> DataFrame:
     """``kind, a, b`` from entries sorted by block: kind 0 has a vertex and a count, kind 1 a link of the forest.
 
     Blocks are told apart as sorted rows stream by, so no more than one block and one batch is held.
@@ -208,7 +208,7 @@ def _blocks(entries: DataFrame, tables: int, least: float) -> DataFrame:
                 return None
             ids, copies, side = (b[c].to_numpy() for c in ("rep", "copies", "side"))
             x = unit(np.stack(b["vec"].to_numpy(zero_copy_only=False)).astype(np.float64))
-            keys = np.stack(b["buckets"].to_numpy(zero_copy_only=False)).reshape(len(ids), tables, PROBES)
+            keys = np.stack(b["buckets"].to_numpy(zero_copy_only=False)).reshape(len(ids), -1, PROBES)
             counts, label = _compare(ids, copies, x, keys, side, bucket, least, lo != hi)
             v, e = counts > 0, label != np.arange(len(ids))
             kind = np.concatenate([np.zeros(v.sum(), np.int32), np.ones(e.sum(), np.int32)])
@@ -257,9 +257,12 @@ def links(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embeddi
     entries = each.join(shared.select("bucket", "g"), "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")))
     entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
     entries = entries.select("rep", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"))
-    full = entries.join(placed, "rep").join(reps.select("rep", "copies", "vec"), "rep").select("bucket", "i", "j", "side", "rep", "copies", "vec", "buckets")
+    full = entries.join(placed, "rep").join(reps.select("rep", "copies", "vec"), "rep")
+    # A bucket's block asks for the buckets of its own table and of those before it.
+    keys = F.slice("buckets", F.lit(1), (F.shiftright("bucket", 52).cast("int") + 1) * PROBES)
+    full = full.select("bucket", "i", "j", "side", "rep", "copies", "vec", keys.alias("buckets"))
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = checkpointed(_blocks(full.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"), tables, least))
+    found = checkpointed(_blocks(full.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"), least))
     counts = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("linked"))
     labels = components(found.where("kind = 1").select("a", "b"))
     known = reps.select("key", "rep", "copies").join(counts, "rep", "left").join(labels.withColumnRenamed("vertex", "rep"), "rep", "left")
