@@ -132,8 +132,8 @@ def op9_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_classlm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(quality.fold("doc_id", 5) == 1, F.lit(False))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
-    return classlm.scores(docs, docs.where(~F.col("held_out")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"), (~held_out).alias("learns"))
+    return classlm.scores(docs, "learns").drop("learns")
 
 
 QUERIES = {"op1_quality": op1_quality, "op2_fingerprints": op2_fingerprints, "op3_privacy": op3_privacy, "op4_mixing": op4_mixing, "op5_neardup": op5_neardup, "op6_pieces": op6_pieces, "op7_warc": op7_warc, "op8_vectors": op8_vectors, "op9_extract": op9_extract, "op10_classlm": op10_classlm}

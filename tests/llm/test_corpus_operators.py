@@ -327,6 +327,28 @@ def brute_class_model(train, most):
     return score
 
 
+@pytest.mark.parametrize("parts", ["4", "1"])
+def test_classlm_of_words_that_are_not_sent(spark, docs, parts):
+    """Words beyond those that go to all tasks get classes by their neighbours too, and their texts' scores show it."""
+    learn = F.coalesce(quality.fold("doc_id", 5) != 1, F.lit(True))
+    some = docs.select("doc_id", "text", learn.alias("learns"))
+    toks = {k: [*t.encode().lower().split()] for k, t in texts_of(docs).items()}
+    train = [ws for k, ws in toks.items() if zlib.crc32(str(k).encode()) % 5 != 1]
+    c = Counter(w for ws in train for w in ws)
+    sent = 1 + sum(n >= classlm.LEAST for n in c.values())
+    assert 300 < sent < len(c) / 2
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        whole, marked, cut = ({r.doc_id: r for r in classlm.scores(some, t, **more).collect()} for t, more in ((some.where("learns"), {"sent": sent}), ("learns", {"sent": sent}), ("learns", {"known": sent})))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    score = brute_class_model(train, 10**9)
+    for k in [*toks][:: len(toks) // 60]:
+        assert abs(whole[k].score - score(toks[k])) < 1e-6
+    assert all(abs(whole[k].score - marked[k].score) < 1e-6 and whole[k].n_known == marked[k].n_known for k in toks)
+    assert any(abs(whole[k].score - cut[k].score) > 1e-3 for k in toks)  # a bound on the words shows
+
+
 def test_classlm_of_odd_rows(odd):
     out = classlm.scores(odd, odd.where("doc_id > 3")).collect()
     assert len(out) == len(ROWS) and all(r.score <= 0 and r.n_tokens >= 1 for r in out) and len({r.score for r in out if r.doc_id in (1, 5)}) == 1
