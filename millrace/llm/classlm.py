@@ -13,7 +13,6 @@ reach the texts by a join on the word.
 
 from __future__ import annotations
 
-import functools
 import math
 import os
 from collections import Counter
@@ -47,14 +46,14 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) - 2**63
 
 
-@functools.lru_cache(1 << 16)
-def _ending(last: bytes) -> int:
-    return 1 + FREQUENT + xxhash.xxh3_64_intdigest(last) % ENDINGS
-
-
 def ending(word: bytes) -> int:
     """The unit of a word that is not frequent, by its last three bytes."""
-    return _ending(word[-3:])
+    return 1 + FREQUENT + xxhash.xxh3_64_intdigest(word[-3:]) % ENDINGS
+
+
+def number_kind(sent: int) -> type:
+    """What holds ``Units``' numbers if so many words are sent."""
+    return np.int32 if sent < 1 << (31 - _BITS) else np.int64
 
 
 class Units(dict):
@@ -65,6 +64,7 @@ class Units(dict):
         super().__init__()
         self.places = {h: 1 + i for i, h in enumerate(hashes.tolist())}
         self.frequent = {h: 1 + i for i, h in enumerate(frequent.tolist())}
+        self.kind = number_kind(len(hashes))
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 400_000:
@@ -75,7 +75,7 @@ class Units(dict):
         return v
 
     def of(self, ws: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, ws), np.int32, len(ws))
+        return np.fromiter(map(self.__getitem__, ws), self.kind, len(ws))
 
 
 def blobs(starts: np.ndarray, values: np.ndarray) -> pa.Array:
@@ -93,7 +93,7 @@ def numbers(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
     return (starts - starts[0]) // np.dtype(kind).itemsize, values
 
 
-def pieces_of(starts: np.ndarray, most: int = 400_000):
+def pieces_of(starts: np.ndarray, most: int = 200_000):
     """Ranges of rows that have ``most`` values or are one row."""
     lo, n = 0, len(starts) - 1
     while lo < n:
@@ -206,26 +206,30 @@ def encoded(df: DataFrame, text_col: str, shared, names: tuple[str, str, str]) -
             nonlocal at
             if cols[0] is None:
                 return
-            vs, rare = [], []
-            for text in raw(cols[-1]):
+            vs, rare, lo, size = [], [], 0, 0
+            for i, text in enumerate(raw(cols[-1])):
                 ws = [*words(text), END]
                 v = units.of(ws)
                 vs.append(v.tobytes())
                 rare.append(np.array([word_hash(ws[i]) for i in np.flatnonzero(v < 1 << _BITS).tolist()], np.int64).tobytes())
-            rows = pa.array(np.arange(at, at + len(vs)))
-            at += len(vs)
-            yield [*cols[:-1], rows, pa.array(vs, pa.binary()), pa.array(rare, pa.binary())]
+                size += len(ws)
+                if size > 1_000_000 or i == len(cols[0]) - 1:
+                    rows = pa.array(np.arange(at, at + len(vs)))
+                    yield [*(c.slice(lo, len(vs)) for c in cols[:-1]), rows, pa.array(vs, pa.binary()), pa.array(rare, pa.binary())]
+                    at += len(vs)
+                    vs, rare, lo, size = [], [], i + 1, 0
 
         return fn
 
     return checkpointed(emit_rows(df, [f.name for f in kept] + [text_col], schema, make))
 
 
-def unit_pairs(train: DataFrame, col: str) -> np.ndarray:
+def unit_pairs(train: DataFrame, col: str, shared) -> np.ndarray:
     """Counts of neighbouring units over all training text; texts begin and end at the end. The table's size is fixed."""
 
     def make():
         table = np.zeros(UNITS * UNITS, np.int32)
+        kind = number_kind(len(shared.value[0]))
 
         def fn(texts):
             if texts is None:
@@ -234,7 +238,7 @@ def unit_pairs(train: DataFrame, col: str) -> np.ndarray:
                     some = at[lo : lo + _ROWS]
                     yield [pa.array(some.astype(np.int32)), pa.array(table[some].astype(np.int64))]
                 return
-            starts, v = numbers(texts, np.int32)
+            starts, v = numbers(texts, kind)
             for lo, hi in pieces_of(starts):
                 # Each text closes with the end, unit 0, so the next one begins at it.
                 u = np.concatenate([[0], v[starts[lo] : starts[hi]] & (2**_BITS - 1)])
@@ -279,7 +283,7 @@ def neighbours_classes(train: DataFrame, col: str, rare_col: str, shared, betwee
             nonlocal size
             code, n = np.unique(np.concatenate(ours or [np.zeros(0, np.int64)]), return_counts=True)
             place = code // wide
-            found = [(hashes[place], of[ends[place]], code % wide, n), *others]
+            found = [(hashes[place], of[ends[place]].astype(small), (code % wide).astype(slots), n.astype(np.uint32)), *others]
             key, was, slot, n = (np.concatenate(x) for x in zip(*found))
             ours.clear()
             others.clear()
@@ -289,7 +293,7 @@ def neighbours_classes(train: DataFrame, col: str, rare_col: str, shared, betwee
             bucket = bucket[order]
             starts = np.flatnonzero(np.diff(bucket, prepend=-1))
             cuts = np.append(starts, len(bucket))
-            yield [pa.array(bucket[starts].astype(np.int32)), blobs(cuts, key[order]), *(blobs(cuts, x[order].astype(kind)) for x, kind in ((was, small), (slot, slots), (n, np.uint32)))]
+            yield [pa.array(bucket[starts].astype(np.int32)), blobs(cuts, key[order]), *(blobs(cuts, x[order]) for x in (was, slot, n))]
 
         def fn(texts, rare):
             nonlocal size
@@ -297,7 +301,7 @@ def neighbours_classes(train: DataFrame, col: str, rare_col: str, shared, betwee
                 if size:
                     yield from flush()
                 return
-            (starts, v), (cuts, words) = numbers(texts, np.int32), numbers(rare, np.int64)
+            (starts, v), (cuts, words) = numbers(texts, number_kind(len(hashes))), numbers(rare, np.int64)
             for lo, hi in pieces_of(starts):
                 some = v[starts[lo] : starts[hi]]
                 unit, place = some & (2**_BITS - 1), (some >> _BITS).astype(np.int64) - 1
@@ -310,9 +314,9 @@ def neighbours_classes(train: DataFrame, col: str, rare_col: str, shared, betwee
                     at = np.flatnonzero(place < 0)
                     key, real = words[cuts[lo] : cuts[hi]], unit[at] > FREQUENT  # the end may be among them
                     at, key = at[real], key[real]
-                    others.append((np.repeat(key, 2), np.repeat(k[at], 2), np.stack([before[at], classes + after[at]], 1).ravel(), np.ones(2 * len(at), np.int64)))
+                    others.append((np.repeat(key, 2), np.repeat(k[at].astype(small), 2), np.stack([before[at], classes + after[at]], 1).ravel().astype(slots), np.ones(2 * len(at), np.uint32)))
                     size += 2 * len(at)
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield from flush()
 
         return fn
@@ -385,8 +389,6 @@ def scores(docs: DataFrame, train: DataFrame | str, *, id_col: str = "doc_id", t
     """
     spark = docs.sparkSession
     rest, sent = known is None, sent if known is None else known
-    if sent >= 1 << (31 - _BITS):
-        raise ValueError(f"{sent} words can't be sent")
     learnt = docs.where(F.col(f"`{train}`")) if isinstance(train, str) else train
     vocab = checkpointed(vocabulary(learnt, text_col))
     total, distinct = (x or 0 for x in vocab.agg(F.sum("n"), F.count("*")).first())
@@ -412,7 +414,7 @@ def scores(docs: DataFrame, train: DataFrame | str, *, id_col: str = "doc_id", t
     texts = encoded(texts, text_col, shared, (row, coded, rare))
     learnt = texts.where(learns) if isinstance(train, str) else encoded(train.select(F.col(f"`{text_col}`")), text_col, shared, (row, coded, rare))
 
-    pairs = unit_pairs(learnt, coded)
+    pairs = unit_pairs(learnt, coded, shared)
     unit_class = exchange(pairs, classes)
     member = np.zeros((UNITS, classes))
     member[np.arange(UNITS), unit_class] = 1
@@ -452,11 +454,12 @@ def scores(docs: DataFrame, train: DataFrame | str, *, id_col: str = "doc_id", t
         # A word that isn't sent has the place -1, the last.
         counts, cls = np.append(counts, -1), np.append(cls, -1)
         each = np.log10(np.where(counts >= 0, counts + 0.5, 1.0))
+        kind = number_kind(len(counts) - 1)
 
         def fn(*cols):
             if cols[0] is None:
                 return
-            starts, v = numbers(cols[-1], np.int32)
+            starts, v = numbers(cols[-1], kind)
             for lo, hi in pieces_of(starts):
                 some = v[starts[lo] : starts[hi]]
                 place = (some >> _BITS) - 1
