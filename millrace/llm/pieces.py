@@ -13,8 +13,8 @@ Machines are compiled from a model file:
   pieces weighs the negated score of its piece.
 
 Composed with an input they give a lattice, whose shortest path in the tropical semiring is the encoding.
-``Transducer.machine`` is that composition as such; ``Transducer.shortest`` relaxes the same arcs, found by the last two
-characters that they read.
+``Transducer.machine`` is that composition as such; ``Transducer.shortest`` follows the same arcs, found by two or three of
+the characters that they read. A text is cut where no piece spans, and a part's ids are remembered.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ import hashlib
 import re
 import sys
 from array import array
-from collections import defaultdict
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable
 from pathlib import Path
 
 import numpy as np
@@ -107,6 +108,44 @@ def _fields(data: bytes):
         i += size
 
 
+class Remembered(dict):
+    """What ``make`` gives for a key of up to 48 characters, made once: ``most`` newer ones and as many from before, so that
+    what is frequent stays."""
+
+    def __init__(self, make: Callable, most: int):
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 48:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+def spans(pieces: Iterable[str]) -> list[set[str]]:
+    """Characters other than the sign that stand in pieces beside others, in groups, the one of most pairs first: no piece
+    has characters of two groups."""
+    pairs = {a + b for p in pieces for a, b in zip(p, p[1:]) if SIGN not in (a, b)}
+    root = {c: c for pair in pairs for c in pair}
+
+    def find(c: str) -> str:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    groups, count = defaultdict(set), Counter(find(a) for a, _ in pairs)
+    for c in root:
+        groups[find(c)].add(c)
+    return [groups[r] for r in sorted(groups, key=lambda r: (-count[r], r))]
+
+
 class Transducer:
     """The compiled machines of a model file's bytes."""
 
@@ -143,24 +182,32 @@ class Transducer:
         #: The user's own symbols: a BPE model's merges don't cross them, and no model's normaliser touches them.
         self.user = re.compile("(" + "|".join(map(re.escape, own)) + ")") if own else None
         joined = own or any(re.search(f"[^{SIGN}]{SIGN}", p) for p in self.ids)
-        inner = {c for p in self.ids if len(p) > 1 for c in p}
-        apart = "".join(re.escape(c) for c in "\n\t\r" if c not in inner)
+        # Unknown characters in a row are written as one, so they must not be parted.
+        joined = joined or not self.bytes and not {SIGN}.union(*(p for p in self.ids if len(p) > 1)) <= self.ids.keys()
+        groups = spans(self.ids)
+        runs = [*groups[:7], *([set().union(*groups[7:])] if groups[7:] else [])]
+        runs = ["[" + "".join(map(re.escape, sorted(g))) + "]+" for g in runs]
+        if not self.bytes:
+            runs.append(f"[^{SIGN}" + "".join(re.escape(p) for p in self.ids if len(p) == 1) + "]+")
         # No piece spans these cuts, so the shortest paths of the parts make up that of the whole.
-        self.cut = re.compile("(?s).+" if joined else f"{SIGN}*[^{SIGN}{apart}]+|{SIGN}+" + (f"|[{apart}]" if apart else ""))
-        lengths = defaultdict(set)
+        self.cut = re.compile("(?s).+" if joined else f"{SIGN}*(?:{'|'.join([*runs, f'[^{SIGN}]'])})|{SIGN}+")
+        ends, heads = defaultdict(set), defaultdict(lambda: {1})
         for p in self.ids:
             if len(p) > 1:
-                lengths[p[-2:]].add(len(p))
+                ends[p[-2:]].add(len(p))
+                heads[p[:3]] |= {len(p), 2} if p[:2] in self.ids else {len(p)}
         #: Lengths of the pieces that end in two characters, the longest first.
-        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
+        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
+        #: Lengths of the arcs that begin with three characters, or with two, the longest first.
+        self.heads = {k: tuple(sorted(v, reverse=True)) for k, v in heads.items()}
         sign = SIGN.encode()
         self.raw = [bytes([int(p[3:5], 16)]) if t == BYTE else b" \xe2\x81\x87 " if t == UNKNOWN else b"" if t == CONTROL else p.encode().replace(sign, b" ") if self.escape else p.encode() for p, t in zip(self.pieces, self.types)]
-        # What has been learned of pairs and parts: the newer half, and the one before, so that what is frequent stays.
+        # What has been learned of pairs: the newer half, and the one before, so that what is frequent stays.
         self.pairs: dict[str, dict[str, bool]] = defaultdict(dict)
         self.older_pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        #: Parts' ids, packed.
+        self.known = Remembered(lambda part: array("i", self.part(part)).tobytes(), 300_000)
 
     def normalise(self, text: str) -> str:
         if self.map:
@@ -247,39 +294,48 @@ class Transducer:
         return found
 
     def shortest(self, text: str) -> list[str]:
-        """The pieces, and characters without one, along the shortest path through the lattice of a text.
+        """The pieces, and characters without one, along the shortest path through the lattice of a text."""
+        return self.finite(text) if self.bpe else self.cheapest(text)
 
-        Positions are relaxed in order, each by the arcs that end there. Weights of a BPE model's arcs are 0 or infinite,
-        so the first finite one is the least and ends the search; the state of neighbours is the last piece, of which
-        each position has one that is reached.
+    def finite(self, text: str) -> list[str]:
+        """The shortest path of a BPE model. Its arcs weigh 0 or infinity, so the first finite path found is the shortest.
+
+        Arcs are followed from the left, the longest first; where none leads on, the last one is taken back. A text's first
+        characters have one finite path, the result of their merges: so no position is reached twice.
         """
-        n, ids = len(text), self.ids
-        last, lengths = [""] * (n + 1), self.lengths
-        if self.bpe:
-            pairs = self.pairs
-            for i in range(1, n + 1):
-                for size in lengths.get(text[i - 2 : i], ()) if i > 1 else ():
-                    if size > i:
-                        continue
-                    arc = text[i - size : i]
-                    if arc in ids:
-                        before = last[i - size]
-                        ok = pairs[before].get(arc)
-                        if ok or ok is None and self.neighbours(before, arc):
-                            last[i] = arc
-                            break
-                else:
-                    last[i] = text[i - 1]
-        else:
-            far = [0.0] + [INF] * n
-            for i in range(1, n + 1):
-                # From the longest arc to the shortest: of equal paths the one whose last piece begins first stays.
-                for size in (*(lengths.get(text[i - 2 : i], ()) if i > 1 else ()), 1):
-                    arc = text[i - size : i] if size <= i else ""
+        n, ids, pairs, heads, one = len(text), self.ids, self.pairs, self.heads, (1,)
+        out, i, last, near, below = [], 0, "", self.pairs[""], n + 1
+        while i < n:
+            for size in heads.get(text[i : i + 3]) or heads.get(text[i : i + 2]) or one:
+                if size < below:
+                    arc = text[i : i + size]
                     if size == 1 or arc in ids:
-                        cost = far[i - size] + self.weight(arc)
-                        if cost < far[i]:
-                            far[i], last[i] = cost, arc
+                        ok = near.get(arc)
+                        if ok or ok is None and self.neighbours(last, arc):
+                            break
+            else:
+                if not out:
+                    raise ValueError("no path reads the text")
+                below = len(out.pop())
+                i, last = i - below, out[-1] if out else ""
+                near = pairs[last]
+                continue
+            out.append(arc)
+            i, last, near, below = i + len(arc), arc, pairs[arc], n + 1
+        return out
+
+    def cheapest(self, text: str) -> list[str]:
+        """The shortest path of a unigram model: positions are relaxed in order, each by the arcs that end there."""
+        n, ids, lengths = len(text), self.ids, self.lengths
+        last, far = [""] * (n + 1), [0.0] + [INF] * n
+        for i in range(1, n + 1):
+            # From the longest arc to the shortest: of equal paths the one whose last piece begins first stays.
+            for size in (*(lengths.get(text[i - 2 : i], ()) if i > 1 else ()), 1):
+                arc = text[i - size : i] if size <= i else ""
+                if size == 1 or arc in ids:
+                    cost = far[i - size] + self.weight(arc)
+                    if cost < far[i]:
+                        far[i], last[i] = cost, arc
         out, i = [], n
         while i:
             out.append(last[i])
@@ -303,18 +359,7 @@ class Transducer:
 
     def packed(self, text: str) -> bytes:
         """The ids of a whole text as 32-bit integers."""
-        known, out = self.known, []
-        for part in self.cut.findall(self.normalise(text)):
-            ids = known.get(part)
-            if ids is None:
-                ids = self.older.get(part) or array("i", self.part(part)).tobytes()
-                if len(part) <= 48:
-                    if len(known) > 300_000:
-                        self.older, self.known = known, {}
-                        known = self.known
-                    known[part] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.known.__getitem__, self.cut.findall(self.normalise(text))))
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text; the empty text has none. Lone surrogates, which no UTF-8 text has, are refused."""
