@@ -13,8 +13,9 @@ Machines are compiled from a model file:
   pieces weighs the negated score of its piece.
 
 Composed with an input they give a lattice, whose shortest path in the tropical semiring is the encoding.
-``Transducer.machine`` is that composition as such; ``Transducer.shortest`` follows the same arcs, found by two or three of
-the characters that they read. A text is cut where no piece spans, and a part's ids are remembered.
+``Transducer.machine`` is that composition as such; ``Transducer.shortest`` follows the same arcs, found along the trie or by
+the last two characters that they read. A text is cut where no piece spans. Of a block of texts each distinct stretch from one
+sign to the next is encoded once; its ids, and those of the parts that it is cut into, are remembered.
 """
 
 from __future__ import annotations
@@ -191,15 +192,23 @@ class Transducer:
             runs.append(f"[^{SIGN}" + "".join(re.escape(p) for p in self.ids if len(p) == 1) + "]+")
         # No piece spans these cuts, so the shortest paths of the parts make up that of the whole.
         self.cut = re.compile("(?s).+" if joined else f"{SIGN}*(?:{'|'.join([*runs, f'[^{SIGN}]'])})|{SIGN}+")
-        ends, heads = defaultdict(set), defaultdict(lambda: {1})
+        #: Whether a text is one part.
+        self.joined = bool(joined)
+        self.stretches = re.compile(f"{SIGN}+[^{SIGN}]*")
+        ends = defaultdict(set)
         for p in self.ids:
             if len(p) > 1:
                 ends[p[-2:]].add(len(p))
-                heads[p[:3]] |= {len(p), 2} if p[:2] in self.ids else {len(p)}
         #: Lengths of the pieces that end in two characters, the longest first.
         self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
-        #: Lengths of the arcs that begin with three characters, or with two, the longest first.
-        self.heads = {k: tuple(sorted(v, reverse=True)) for k, v in heads.items()}
+        #: The trie: nodes by the next character, and under "" the arcs that end on the way to a node, the longest first.
+        self.trie: dict = {"": ()}
+        for p in sorted(self.ids, key=len):  # pieces come after those that they begin with
+            at = self.trie
+            for c in p:
+                at = at.get(c) or at.setdefault(c, {"": at[""] or (c,)})
+            at[""] = (p, *(x for x in at[""] if x != p))
+        self.ranks = {p: -self.scores[i] for p, i in self.ids.items()}
         sign = SIGN.encode()
         self.raw = [bytes([int(p[3:5], 16)]) if t == BYTE else b" \xe2\x81\x87 " if t == UNKNOWN else b"" if t == CONTROL else p.encode().replace(sign, b" ") if self.escape else p.encode() for p, t in zip(self.pieces, self.types)]
         # What has been learned of pairs: the newer half, and the one before, so that what is frequent stays.
@@ -208,6 +217,9 @@ class Transducer:
         self.n_pairs = 0
         #: Parts' ids, packed.
         self.known = Remembered(lambda part: array("i", self.part(part)).tobytes(), 300_000)
+        #: Packed ids of a sign with what stands between it and the next.
+        self.signed = Remembered(lambda rest: self.parts(SIGN + rest), 300_000)
+        self.raw_bytes, self.raw_sizes = np.frombuffer(b"".join(self.raw), np.uint8), np.array([len(x) for x in self.raw], np.int64)
 
     def normalise(self, text: str) -> str:
         if self.map:
@@ -271,16 +283,17 @@ class Transducer:
 
     def merge(self, text: str) -> list[str]:
         """The result of merging the characters of a short text by rank; of equal ranks the leftmost first."""
-        parts, ids, scores = list(text), self.ids, self.scores
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                k = ids.get(parts[i] + parts[i + 1])
-                if k is not None and (best is None or scores[k] > best):
-                    best, at = scores[k], i
-            if best is None:
-                return parts
+        parts, ranks = list(text), self.ranks
+        beside = [ranks.get(a + b, INF) for a, b in zip(parts, parts[1:])]
+        while beside and (best := min(beside)) < INF:
+            at = beside.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del beside[at]
+            if at:
+                beside[at - 1] = ranks.get(parts[at - 1] + parts[at], INF)
+            if at < len(beside):
+                beside[at] = ranks.get(parts[at] + parts[at + 1], INF)
+        return parts
 
     def neighbours(self, a: str, b: str) -> bool:
         """Whether the arc from ``a`` to ``b`` is finite; an empty ``a`` is the start."""
@@ -303,16 +316,17 @@ class Transducer:
         Arcs are followed from the left, the longest first; where none leads on, the last one is taken back. A text's first
         characters have one finite path, the result of their merges: so no position is reached twice.
         """
-        n, ids, pairs, heads, one = len(text), self.ids, self.pairs, self.heads, (1,)
-        out, i, last, near, below = [], 0, "", self.pairs[""], n + 1
+        n, pairs, trie = len(text), self.pairs, self.trie
+        out, i, last, near, below = [], 0, "", pairs[""], n + 1
         while i < n:
-            for size in heads.get(text[i : i + 3]) or heads.get(text[i : i + 2]) or one:
-                if size < below:
-                    arc = text[i : i + size]
-                    if size == 1 or arc in ids:
-                        ok = near.get(arc)
-                        if ok or ok is None and self.neighbours(last, arc):
-                            break
+            node, at = trie, i
+            while at < n and (then := node.get(text[at])):
+                node, at = then, at + 1
+            for arc in node[""] or (text[i],):
+                if len(arc) < below:
+                    ok = near.get(arc)
+                    if ok or ok is None and self.neighbours(last, arc):
+                        break
             else:
                 if not out:
                     raise ValueError("no path reads the text")
@@ -357,18 +371,72 @@ class Transducer:
                 out += self.spelt(piece)
         return out
 
-    def packed(self, text: str) -> bytes:
-        """The ids of a whole text as 32-bit integers."""
-        return b"".join(map(self.known.__getitem__, self.cut.findall(self.normalise(text))))
+    def parts(self, text: str) -> bytes:
+        """The packed ids of a normalised text, part by part."""
+        return b"".join(map(self.known.__getitem__, self.cut.findall(text)))
+
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of whole texts one after the other, and where each text's begin and the last one's end."""
+        if self.joined:
+            packed = [self.parts(self.normalise(x)) for x in texts]
+            codes, bounds = np.arange(len(texts)), np.arange(len(texts) + 1)
+        else:
+            words, heads, bounds = [], {}, [0]
+            for text in map(self.normalise, texts):
+                head, sign, rest = text.partition(SIGN)
+                if head:
+                    heads[len(words)] = head
+                    words.append("")
+                if sign:
+                    words += [x[1:] for x in self.stretches.findall(text)] if SIGN + SIGN in text else rest.split(SIGN)
+                bounds.append(len(words))
+            found = pa.array(words, pa.large_string()).dictionary_encode()
+            packed, codes = list(map(self.signed.__getitem__, found.dictionary.to_numpy(zero_copy_only=False))), found.indices.to_numpy()
+            if heads:
+                codes = codes.copy()
+                codes[list(heads)] = np.arange(len(packed), len(packed) + len(heads))
+                packed += map(self.parts, heads.values())
+        ids, starts = gathered(np.frombuffer(b"".join(packed), np.int32), np.array([len(x) // 4 for x in packed], np.int64), codes)
+        return ids, starts[bounds]
+
+    def decoded(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """The texts of ids that stand one after the other."""
+        said, starts = gathered(self.raw_bytes, self.raw_sizes, ids)
+        said, at = said.tobytes(), starts[bounds].tolist()
+        out = [said[i:j].decode(errors="replace") for i, j in zip(at, at[1:])]
+        return [x[1:] if x.startswith(" ") else x for x in out] if self.prefix else out
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text; the empty text has none. Lone surrogates, which no UTF-8 text has, are refused."""
-        return array("i", self.packed(text)).tolist()
+        return self.encoded([text])[0].tolist()
 
     def decode(self, ids) -> str:
         """The text of ids. Control pieces are silent, broken byte runs become replacement characters."""
-        text = b"".join(map(self.raw.__getitem__, ids)).decode(errors="replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        ids = np.asarray(ids, np.int64)
+        return self.decoded(ids, np.array([0, len(ids)]))[0]
+
+
+def gathered(values: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``values``, of the given sizes, that ``codes`` name, one after the other, and where each begins and the
+    last one ends."""
+    n = sizes[codes]
+    starts = np.concatenate([[0], np.cumsum(n)])
+    at = np.repeat((np.cumsum(sizes) - sizes)[codes] - starts[:-1], n)
+    at += np.arange(len(at))
+    return values[at], starts
+
+
+def blocks(rows: list[str], most: int = 4_000_000) -> Iterable[list[str]]:
+    """Texts in blocks of some ``most`` characters; each text is whole."""
+    block, n = [], 0
+    for x in rows:
+        block.append(x)
+        n += len(x)
+        if n >= most:
+            yield block
+            block, n = [], 0
+    if block:
+        yield block
 
 
 def compiled(model: bytes) -> Transducer:
@@ -399,7 +467,14 @@ def encode(docs: DataFrame, model: bytes, *, text_col: str = "text", into: str =
 
     def make():
         t = compiled(shared.value)
-        return lambda col: [pa.array([np.frombuffer(t.packed(x), np.int32) for x in texts(col)], pa.list_(pa.int32()))]
+
+        def fn(col):
+            found = [t.encoded(block) for block in blocks(texts(col))]
+            sizes = [np.diff(bounds) for _, bounds in found]
+            ids = np.concatenate([np.empty(0, np.int32), *(x for x, _ in found)])
+            return [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], *sizes]).cumsum(), pa.int32()), pa.array(ids, pa.int32()))]
+
+        return fn
 
     return append_columns(docs, [text_col], [T.StructField(into, T.ArrayType(T.IntegerType()))], make)
 
@@ -430,13 +505,13 @@ def digest(docs: DataFrame, model: bytes, *, text_col: str = "text") -> DataFram
 
         def fn(col):
             count, ids_sha, text_sha, exact = [], [], [], []
-            for x in texts(col):
-                packed = t.packed(x)
-                back = t.decode(array("i", packed))
-                count.append(len(packed) // 4)
-                ids_sha.append(hashlib.sha256(packed).hexdigest())
-                text_sha.append(hashlib.sha256(back.encode()).hexdigest())
-                exact.append(back == x)
+            for block in blocks(texts(col)):
+                ids, bounds = t.encoded(block)
+                for x, i, j, back in zip(block, bounds.tolist(), bounds[1:].tolist(), t.decoded(ids, bounds)):
+                    count.append(j - i)
+                    ids_sha.append(hashlib.sha256(ids[i:j]).hexdigest())
+                    text_sha.append(hashlib.sha256(back.encode()).hexdigest())
+                    exact.append(back == x)
             return [pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(exact, pa.bool_())]
 
         return fn

@@ -113,6 +113,38 @@ def test_pieces_equal_the_library():
         assert "▁" in x or t.decode(t.encode(x)) == x
 
 
+def test_pieces_work_once_for_each_word():
+    import sentencepiece
+
+    sp, t = sentencepiece.SentencePieceProcessor(model_file=MODEL), pieces.Transducer(pieces.load(MODEL))
+
+    class Counted:
+        cut, n = t.cut, 0
+
+        def findall(self, text):
+            self.n += len(text)
+            return self.cut.findall(text)
+
+    t.cut = counted = Counted()
+    for x in ["the cat sat on the mat, " * 200, "a mat on the cat  sat, the " * 200]:
+        assert t.encode(x) == sp.encode(x) and counted.n < 100
+
+
+def test_pieces_of_blocks():
+    import sentencepiece
+
+    rng = random.Random(11)
+    texts = ["", " ", "a", "▁", "  a", "a  ", "▁▁a▁ b", "x" * 60 + " y", "\n\n", "\0 a\0", "日本 \U0001f600"] + ["".join(rng.choice("abet ▁\n.é") for _ in range(rng.randint(0, 30))) for _ in range(200)]
+    for more in (b"", b"\x1a\x02" + bytes([3 << 3, 0]), b"\x1a\x02" + bytes([5 << 3, 0])):  # also without the leading sign, and with plain spaces
+        sp, t = sentencepiece.SentencePieceProcessor(model_proto=pieces.load(MODEL) + more), pieces.Transducer(pieces.load(MODEL) + more)
+        for most in (1, 50, 10**6):
+            for block in pieces.blocks(texts, most):
+                ids, at = t.encoded(block)
+                assert [ids[i:j].tolist() for i, j in zip(at, at[1:])] == [sp.encode(x) for x in block]
+                assert t.decoded(ids, at) == [t.decode(sp.encode(x)) for x in block]
+        assert [x for b in pieces.blocks(texts, 50) for x in b] == texts and not list(pieces.blocks([]))
+
+
 def test_unigram_path_is_the_cheapest():
     def field(n, data):
         return bytes([n << 3 | 2, len(data)]) + data
