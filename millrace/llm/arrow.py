@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,8 +11,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], make: Callable) -> DataFrame:
-    """``df`` with new columns computed batch by batch.
+#: Bytes of a batch that are worked on at once, where rows need no others.
+PORTION = 2_000_000
+
+
+def give_back() -> None:
+    """Returns to the system what Arrow and the C library keep of freed memory. Workers go on to other stages, and wait beside
+    them, so they would hold the most that any stage took."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def in_portions(run: Callable) -> Callable:
+    """``run`` on slices of some ``PORTION`` bytes of the batches, each row whole; freed memory is given back after each batch
+    and at the task's end."""
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = max(1, b.num_rows * PORTION // max(1, b.nbytes))
+            for i in range(0, b.num_rows, rows):
+                yield b.slice(i, rows)
+            give_back()
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(slices(batches))
+        give_back()
+
+    return lean
+
+
+def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], make: Callable, *, portions: bool = False) -> DataFrame:
+    """``df`` with new columns computed batch by batch, or in smaller ``portions``.
 
     ``make()`` runs once in each task and returns a function from the input Arrow arrays to one Arrow array per
     field. Every existing column passes through unchanged, so rows are neither joined back nor shuffled. A new
@@ -29,11 +60,12 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField]
             new = fn(*[b.column(i) for i in inside])
             yield pa.RecordBatch.from_arrays([b.column(i) for i in kept] + list(new), schema.names)
 
-    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, schema).toDF(*[df.columns[i] for i in kept], *names)
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(in_portions(run) if portions else run, schema).toDF(*[df.columns[i] for i in kept], *names)
 
 
-def emit_rows(df: DataFrame, inputs: list[str], schema: str | T.StructType, make: Callable) -> DataFrame:
-    """Rows that ``make()``'s function yields for the batches of ``df``: an iterator of lists of Arrow arrays.
+def emit_rows(df: DataFrame, inputs: list[str], schema: str | T.StructType, make: Callable, *, portions: bool = False) -> DataFrame:
+    """Rows that ``make()``'s function yields for the batches of ``df``, or for smaller ``portions``: an iterator of lists of
+    Arrow arrays.
 
     The function gets the input arrays, or ``None`` in place of them when the task has no more batches, so that it
     can flush what it has gathered.
@@ -49,7 +81,7 @@ def emit_rows(df: DataFrame, inputs: list[str], schema: str | T.StructType, make
         for arrays in fn(*[None for _ in inputs]) or ():
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return df.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(inputs)]).mapInArrow(run, out)
+    return df.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(inputs)]).mapInArrow(in_portions(run) if portions else run, out)
 
 
 def raw(column: pa.Array) -> list[bytes]:

@@ -73,7 +73,7 @@ def sketches(docs: DataFrame, *, id_col: str, text_col: str, width: int) -> Data
 
         return fn
 
-    return emit_rows(docs, [id_col, text_col], "id long, n long, key binary, bands array<long>", make)
+    return emit_rows(docs, [id_col, text_col], "id long, n long, key binary, bands array<long>", make, portions=True)
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, *, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -89,7 +89,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, *, id_col: str, text_col: str, widt
         return fn
 
     wanted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text")).join(ids, "id", "left_semi")
-    return emit_rows(wanted, ["id", "__text"], "id long, items array<long>", make)
+    return emit_rows(wanted, ["id", "__text"], "id long, items array<long>", make, portions=True)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

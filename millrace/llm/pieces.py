@@ -216,9 +216,9 @@ class Transducer:
         self.older_pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
         #: Parts' ids, packed.
-        self.known = Remembered(lambda part: array("i", self.part(part)).tobytes(), 300_000)
+        self.known = Remembered(lambda part: array("i", self.part(part)).tobytes(), 150_000)
         #: Packed ids of a sign with what stands between it and the next.
-        self.signed = Remembered(lambda rest: self.parts(SIGN + rest), 300_000)
+        self.signed = Remembered(lambda rest: self.parts(SIGN + rest), 50_000)
         self.raw_bytes, self.raw_sizes = np.frombuffer(b"".join(self.raw), np.uint8), np.array([len(x) for x in self.raw], np.int64)
 
     def normalise(self, text: str) -> str:
@@ -301,7 +301,7 @@ class Transducer:
         if found is None:
             found = self.merge(a + b) == ([a, b] if a else [b])
         self.n_pairs += 1
-        if self.n_pairs > 600_000:
+        if self.n_pairs > 300_000:
             self.older_pairs, self.pairs, self.n_pairs = self.pairs, defaultdict(dict), 0
         self.pairs[a][b] = found
         return found
@@ -476,7 +476,7 @@ def encode(docs: DataFrame, model: bytes, *, text_col: str = "text", into: str =
 
         return fn
 
-    return append_columns(docs, [text_col], [T.StructField(into, T.ArrayType(T.IntegerType()))], make)
+    return append_columns(docs, [text_col], [T.StructField(into, T.ArrayType(T.IntegerType()))], make, portions=True)
 
 
 def decode(rows: DataFrame, model: bytes, *, ids_col: str = "pieces", into: str = "text") -> DataFrame:
@@ -517,4 +517,4 @@ def digest(docs: DataFrame, model: bytes, *, text_col: str = "text") -> DataFram
         return fn
 
     fields = [T.StructField("n_pieces", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("exact", T.BooleanType())]
-    return append_columns(docs, [text_col], fields, make)
+    return append_columns(docs, [text_col], fields, make, portions=True)

@@ -209,7 +209,7 @@ def disclosures(docs: DataFrame, *, text_col: str = "text", threshold: float = 0
         return fn
 
     spark = docs.sparkSession
-    counts = emit_rows(docs, [text_col], "term string, entity long, a long, b long, n long", words)
+    counts = emit_rows(docs, [text_col], "term string, entity long, a long, b long, n long", words, portions=True)
     counts = checkpointed(counts.groupBy("term", "entity", "a", "b").agg(F.sum("n").alias("n")))
     members = graph.components(counts.where("a IS NOT NULL"))
     members = checkpointed(members.select(F.col("vertex").alias("entity"), F.shiftrightunsigned(F.xxhash64("component", F.lit("class")), 1).alias("group")))
@@ -224,7 +224,7 @@ def disclosures(docs: DataFrame, *, text_col: str = "text", threshold: float = 0
     other_size = 1 if len(sizes) < MOST_SENT else sizes[-1]["m"]
     known = spark.sparkContext.broadcast((n_all, {r["term"]: r["n_term"] for r in frequent}, {r["entity"]: r["m"] for r in sizes}, other_size))
 
-    rows = checkpointed(emit_rows(docs, [text_col], "doc long, entity long, term string, near boolean, around long", pairs))
+    rows = checkpointed(emit_rows(docs, [text_col], "doc long, entity long, term string, near boolean, around long", pairs, portions=True))
     # A document counts once for a class, whatever it holds of it.
     held = rows.where("term = ''").join(members, "entity").select("group", "doc").distinct().groupBy(F.col("group").alias("entity")).agg(F.count("*").alias("n_entity"))
     rows = rows.where("term <> ''")
@@ -301,7 +301,7 @@ def find(docs: DataFrame, *, text_col: str = "text", found: DataFrame | None = N
     fields = [T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:4]] + [T.StructField(x, T.StringType()) for x in ("base_sha256", "spans")]
     if sanitised:
         fields.append(T.StructField(sanitised, T.StringType()))
-    out = append_columns(docs, inputs, fields, make)
+    out = append_columns(docs, inputs, fields, make, portions=True)
     return out.drop(extra) if extra else out
 
 

@@ -103,7 +103,7 @@ def with_statistics(docs: DataFrame, text: str, into: str) -> DataFrame:
 
         return fn
 
-    return append_columns(docs, [text], [T.StructField(into, T.ArrayType(T.DoubleType()))], make)
+    return append_columns(docs, [text], [T.StructField(into, T.ArrayType(T.DoubleType()))], make, portions=True)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Discriminant:
@@ -139,4 +139,4 @@ def score(docs: DataFrame, model: Discriminant, *, text_col: str = "text", into:
 
         return fn
 
-    return append_columns(docs, [text_col], [T.StructField(into, T.DoubleType())], make)
+    return append_columns(docs, [text_col], [T.StructField(into, T.DoubleType())], make, portions=True)
