@@ -6,13 +6,25 @@ import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 #: Bytes of a batch that are worked on at once, where rows need no others.
 PORTION = 2_000_000
+#: Freed memory is given back when so many bytes have been worked on.
+BETWEEN = 8 * PORTION
+#: Spark's setting for the bytes after which it ends a batch and sends it to a worker.
+SENT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def send_portions(spark: SparkSession) -> None:
+    """Spark sends batches of some ``PORTION`` bytes from now on, unless the session has set a size. As a rule it ends them after
+    10,000 rows: of whole texts these take tens of MB, which the JVM holds several times over, beyond its heap, and the worker
+    once. Rows stay whole, and no result depends on where batches end. The setting is the session's: plans have none."""
+    if SENT not in spark.conf.getAll:
+        spark.conf.set(SENT, str(PORTION))
 
 
 def give_back() -> None:
@@ -24,15 +36,20 @@ def give_back() -> None:
 
 
 def in_portions(run: Callable) -> Callable:
-    """``run`` on slices of some ``PORTION`` bytes of the batches, each row whole; freed memory is given back after each batch
-    and at the task's end."""
+    """``run`` on slices of some ``PORTION`` bytes of the batches, each row whole; freed memory is given back after each large
+    batch, or some small ones, and at the task's end."""
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
         for b in batches:
-            rows = max(1, b.num_rows * PORTION // max(1, b.nbytes))
+            # Of equal numbers of rows: a batch that is little over a portion stays one.
+            rows = max(1, -(-b.num_rows // max(1, round(b.nbytes / PORTION))))
             for i in range(0, b.num_rows, rows):
                 yield b.slice(i, rows)
-            give_back()
+            done += b.nbytes
+            if done >= BETWEEN:
+                give_back()
+                done = 0
 
     def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(slices(batches))
@@ -42,12 +59,14 @@ def in_portions(run: Callable) -> Callable:
 
 
 def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], make: Callable, *, portions: bool = False) -> DataFrame:
-    """``df`` with new columns computed batch by batch, or in smaller ``portions``.
+    """``df`` with new columns computed batch by batch, or in smaller ``portions`` (see ``send_portions``).
 
     ``make()`` runs once in each task and returns a function from the input Arrow arrays to one Arrow array per
     field. Every existing column passes through unchanged, so rows are neither joined back nor shuffled. A new
     field that has the name of an existing column replaces it.
     """
+    if portions:
+        send_portions(df.sparkSession)
     names = [f.name for f in fields]
     kept = [i for i, f in enumerate(df.schema.fields) if f.name not in names]
     inside = [df.columns.index(n) for n in inputs]
@@ -64,12 +83,14 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField]
 
 
 def emit_rows(df: DataFrame, inputs: list[str], schema: str | T.StructType, make: Callable, *, portions: bool = False) -> DataFrame:
-    """Rows that ``make()``'s function yields for the batches of ``df``, or for smaller ``portions``: an iterator of lists of
-    Arrow arrays.
+    """Rows that ``make()``'s function yields for the batches of ``df``, or for smaller ``portions`` (see ``send_portions``): an
+    iterator of lists of Arrow arrays.
 
     The function gets the input arrays, or ``None`` in place of them when the task has no more batches, so that it
     can flush what it has gathered.
     """
+    if portions:
+        send_portions(df.sparkSession)
     out = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     names = out.names
 

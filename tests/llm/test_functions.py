@@ -7,6 +7,7 @@ import time
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 
 from millrace.llm import arrow, classlm, extract, neardup, pieces, privacy, quality, vectors, warc
 from millrace.llm.words import WordHashes, shingles, words
@@ -351,6 +352,24 @@ def test_portions_are_small_and_lose_no_row():
     assert max(b.nbytes for b in seen[1:]) < 2 * arrow.PORTION and seen[0].num_rows < 2000 and seen[0]["t"][0].as_py() == "x" * 9_000_000
 
 
+def test_spark_sends_workers_small_batches(spark):
+    # A slice shares its batch's buffers, so their size is that of what was sent.
+    def make():
+        return lambda column: [pa.array([column.buffers()[2].size] * len(column), pa.int64())]
+
+    session = spark.newSession()
+    docs = session.range(0, 9000, 1, 1).selectExpr("id", "if(id = 70, repeat('y', 5000000), repeat('x', 2000)) AS text")
+    new = [T.StructField("sent", T.LongType())]
+    rows = arrow.append_columns(docs, ["text"], new, make, portions=True).selectExpr("id", "length(text) AS n", "sent").collect()
+    assert sorted((r.id, r.n) for r in rows) == [(i, 5_000_000 if i == 70 else 2000) for i in range(9000)]
+    assert max(r.sent for r in rows if r.id > 70) < 2 * arrow.PORTION
+    sent = arrow.emit_rows(docs.where("id > 70"), ["text"], "sent long", lambda: lambda c: None if c is None else [[pa.array([c.buffers()[2].size], pa.int64())]], portions=True)
+    assert max(r.sent for r in sent.collect()) < 2 * arrow.PORTION
+    # What the session has set stays.
+    session.conf.set(arrow.SENT, "1g")
+    assert arrow.append_columns(docs, ["text"], new, make, portions=True).selectExpr("min(sent)").first()[0] > 20_000_000
+
+
 def test_a_worker_gives_freed_memory_back():
     t = pieces.compiled(pieces.load(MODEL))
     rng = random.Random(5)
